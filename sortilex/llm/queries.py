@@ -37,12 +37,67 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > OVER_LIMIT)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_token_counts, op6_token_files)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc_of_id
+    from .language_id import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = (crc_of_id() % 4 == 2).alias("held_out")
+    return predict(docs, train(docs.where(~held_out)), ("doc_id", held_out))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_token_counts, op5_mixing, op6_token_files, op10_language_id)}
+
+#: The mix without histogram and plan: one sort a source.
+OP5_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), tilted AS (
+  SELECT *, CAST(floor(CAST(1000 * size AS DOUBLE) / (size + 400)) AS BIGINT) AS tilt FROM sized
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * tilt) AS BIGINT) AS tilt FROM tilted GROUP BY source
+), weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM src
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST) AS place,
+    CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS scale
+  FROM weighed
+), level AS (
+  SELECT min(place) AS place, arg_min(scale, place) AS scale FROM ranked WHERE 3 * source_size >= w * scale
+), aimed AS (
+  SELECT r.source, source_size, r.place < l.place AS capped, CASE WHEN r.place < l.place THEN CAST(3 * source_size AS DOUBLE) ELSE w * l.scale END AS target,
+    CASE WHEN source_size > 0 THEN CAST(tilt AS DOUBLE) / source_size ELSE 0 END AS mean_tilt FROM ranked r, level l
+), split AS (
+  SELECT *, CASE WHEN capped THEN 3 WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS certain FROM aimed
+), part AS (
+  SELECT *, CASE WHEN capped OR source_size = 0 THEN 0.0 ELSE target / source_size - certain END AS f, target - certain * source_size AS rest FROM split
+), keyed AS (
+  SELECT d.doc_id, d.size, p.*, d.tilt,
+    (CAST(CAST('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || d.size), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+  FROM tilted d JOIN part p ON d.source IS NOT DISTINCT FROM p.source
+), chance AS (
+  SELECT *, f + f * (1 - f) * (tilt - mean_tilt) / 1000 AS p FROM keyed
+), ordered AS (
+  SELECT *, CASE WHEN f > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM chance
+), summed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ordered
+), drawn AS (
+  SELECT *, certain + CASE WHEN f > 0 AND size > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END AS c FROM summed
+)
+SELECT doc_id, size, source_size, target, CAST(c * size AS BIGINT) AS taken, CAST(c AS BIGINT) AS copies FROM drawn
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
