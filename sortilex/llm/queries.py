@@ -71,6 +71,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), crc_of_id() % 10 == 0)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import crc_of_id
     from .language_id import predict, train
@@ -80,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs.where(~held_out)), ("doc_id", held_out))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_token_counts, op4_licenses, op5_mixing, op6_token_files, op8_lm_scoring, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_token_counts, op4_licenses, op5_mixing, op6_token_files, op8_lm_scoring, op9_near_duplicates, op10_language_id)}
 
 #: The mix without histogram and plan: one sort a source.
 OP5_SQL = r"""
