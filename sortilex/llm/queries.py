@@ -64,6 +64,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import crc_of_id
     from .lm_scoring import lm_scores
@@ -86,7 +92,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs.where(~held_out)), ("doc_id", held_out))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_token_counts, op4_licenses, op5_mixing, op6_token_files, op8_lm_scoring, op9_near_duplicates, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_token_counts, op4_licenses, op5_mixing, op6_token_files, op7_nearest, op8_lm_scoring, op9_near_duplicates, op10_language_id)}
 
 #: The mix without histogram and plan: one sort a source.
 OP5_SQL = r"""
