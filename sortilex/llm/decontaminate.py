@@ -110,29 +110,31 @@ RESULT = [
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` and, for each document: n_words, n_hit, n_items, items (ids, sorted as text) and spans.
+    """``keep`` and, for each document: n_words, n_hit, n_items, items (ids, sorted as text), hits and spans.
 
-    spans holds the hit passages as character offsets of the original text.
+    hits holds the hit passages as word numbers, spans as character offsets of the original text.
     """
     spark: SparkSession = docs.sparkSession
     keep = tuple(c for c in keep if c not in {"n_hit", "n_items", *(f.name for f in RESULT)})
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text_col))
-    df = docs.select(*keep, F.col(text_col).alias("__text"))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    df = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__text")]))
     blocks = _blocks(items, window, block_bytes)
     k, following = 0, next(blocks)
     while following is not None:
         block, following = following, next(blocks, None)
         if k:
             df = materialize(df, "decontaminate")
-        names = [*keep, *(f.name for f in RESULT), *(["__text"] if following is not None else [])]
+        more = following is not None and text_col not in keep  # the text goes along for the next block
+        names = [*keep, *(f.name for f in RESULT), *(["__text"] if more else [])]
         held, key = spark.sparkContext.broadcast(block), id(block) * 4096 + k
-        schema = T.StructType([*(docs.schema[c] for c in keep), *RESULT, *([T.StructField("__text", T.StringType())] if following is not None else [])])
+        schema = T.StructType([*(docs.schema[c] for c in keep), *RESULT, *([T.StructField("__text", T.StringType())] if more else [])])
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, key=key, names=names, first=not k) -> Iterator[pa.RecordBatch]:
             a = _automaton(key, held.value)
             types = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in RESULT])
             for batch in batches:
-                text = batch.column(batch.schema.get_field_index("__text"))
+                text = batch.column(text_at if text_at < len(keep) else batch.num_columns - 1)
                 old = None if first else [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("hits", "items")]
                 rows = []
                 for i, s in enumerate(text):
@@ -151,7 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
         df = map_batches(df, scan, schema)
         k += 1
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["last"] - h["first"] + 1)
-    return df.select(*keep, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
+    return df.select(*keep, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits", "spans")
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

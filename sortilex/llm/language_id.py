@@ -109,10 +109,10 @@ def profiles(dim: int) -> Profiles:
     return _profiles[dim]
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-    """Runs of rows (first row, texts) of bounded size; the text is the last column."""
+def _groups(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of rows (first row, texts) of bounded size."""
     texts, start, chars = [], 0, 0
-    for i, s in enumerate(batch.column(batch.num_columns - 1)):
+    for i, s in enumerate(batch.column(at)):
         texts.append(s.as_py() or "")
         chars += len(texts[-1])
         if len(texts) >= BATCH_TEXTS or chars >= BATCH_CHARS:
@@ -129,7 +129,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", d
         p, sums = profiles(dim), {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for start, texts in _groups(batch):
+            for start, texts in _groups(batch, 1):
                 own = langs[start : start + len(texts)]
                 names = sorted(set(own))
                 owner, codes = p.trigrams(texts)
@@ -160,8 +160,10 @@ def _vectors(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str | Column, ...] = ("doc_id",), text_col: str = "text", dim: int = DIM) -> DataFrame:
     """``keep``, lang_pred and score (the cosine, 0 if negative)."""
-    head = docs.select(*keep, F.col(text_col).alias("__text"))
-    kept = [f for f in head.schema.fields[:-1] if f.name not in {"lang_pred", "score"}]
+    head = docs.select(*keep)
+    kept = [f for f in head.schema.fields if f.name not in {"lang_pred", "score"}]
+    rows = docs.select(*(c for c, f in zip(keep, head.schema.fields, strict=True) if f in kept), *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    at = rows.columns.index(text_col if text_col in keep else "__text")
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(prototypes)
 
@@ -170,7 +172,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
         protos = np.array([v / np.linalg.norm(v.astype(np.float64)) for v in held.value.values()], np.float64)
         for batch in batches:
             langs, scores = [], []
-            for _, texts in _groups(batch):
+            for _, texts in _groups(batch, 1):
                 owner, codes = p.trigrams(texts)
                 if not names or not len(codes):
                     langs += [NO_LANGUAGE] * len(texts)
@@ -183,6 +185,6 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
                 some = np.bincount(owner, minlength=len(texts)) > 0
                 langs += [names[b] if s else NO_LANGUAGE for b, s in zip(best, some, strict=True)]
                 scores += np.where(some, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return map_batches(head.select(*(f.name for f in kept), "__text"), label, schema)
+    return map_batches(rows, label, schema)
