@@ -23,8 +23,9 @@ from sortilex.llm.near_dup import BROADCAST_ROWS, near_duplicates
 from sortilex.llm.packing import pack
 from sortilex.llm.queries import END_ID, tokenizer_path
 
-#: A text less similar than this to every language's profile is in none of them.
-LEAST_SCORE = 0.15
+#: A text with so many letters that is less similar than this to every language's profile is in none of them; shorter
+#: texts have too few trigrams to tell, and stay.
+LEAST_LETTERS, LEAST_SCORE = 60, 0.1
 #: Near duplicates share at least this percentage of their shingles.
 SIMILAR = 80
 
@@ -39,10 +40,11 @@ def _plain(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labels teach; texts without letters or like none of them go."""
+    """Documents in one of the languages that the labels teach; texts without letters, and long ones like none of them, go."""
     own = _marked(docs)
     labelled = predict(own, train(own.where(crc_of_id() % 4 != 2)), tuple(own.columns))
-    return _plain(labelled.where((F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= LEAST_SCORE)), docs.columns)
+    foreign = (F.col("score") < LEAST_SCORE) & (F.regexp_count("text", F.lit(r"\p{L}")) >= LEAST_LETTERS)
+    return _plain(labelled.where((F.col("lang_pred") != NO_LANGUAGE) & ~foreign), docs.columns)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
