@@ -1,15 +1,14 @@
-"""Helpers shared by the training-data operators: shared storage, word splitting, columns."""
+"""Helpers shared by the training-data operators: word splitting and columns; storage comes from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.storage import map_batches, materialize, new_path, shared_dir
+
+__all__ = ["crc_of_id", "map_batches", "materialize", "new_path", "shared_dir", "tokens", "uniform", "words"]
+
 #: Byte table: A-Z to lower case, everything that cannot be part of a word to a space.
 #: Bytes of 0x80 and above only occur inside non-ASCII characters, which all count as word characters.
 WORD_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -31,52 +30,13 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="sortilex-"))
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary"))
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def uniform(seed: str, *cols: Column | str) -> Column:
     """A number strictly between 0 and 1 that depends only on the values and the seed."""
     key = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("")) for c in cols])
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-
-
-_shipped: set[str] = set()
-
-
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow, with this package made importable on every executor."""
-    sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="sortilex-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(target))
-        _shipped.add(sc.applicationId)
-    return df.mapInArrow(function, schema)
