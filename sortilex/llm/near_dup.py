@@ -289,8 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         roots = roots.unionByName(_large_families(with_shingles(large).dropDuplicates(["cls"]), percent, block_shingles))
     roots = materialize(roots.distinct(), "dedup-roots")
     placed = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    joined = placed.where("root != cls").select("root").distinct()  # components of more than one class
-    ids = placed.join(joined, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     found = placed.join(ids, "root", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
     out = signed.select("id", "n", "cls").join(found, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).cast(kind)
