@@ -162,8 +162,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
     """``keep``, lang_pred and score (the cosine, 0 if negative)."""
     head = docs.select(*keep)
     kept = [f for f in head.schema.fields if f.name not in {"lang_pred", "score"}]
-    rows = docs.select(*(c for c, f in zip(keep, head.schema.fields, strict=True) if f in kept), *([] if text_col in keep else [F.col(text_col).alias("__text")]))
-    at = rows.columns.index(text_col if text_col in keep else "__text")
+    has_text = text_col in [c for c in keep if isinstance(c, str)]
+    rows = docs.select(*(c for c, f in zip(keep, head.schema.fields, strict=True) if f in kept), *([] if has_text else [F.col(text_col).alias("__text")]))
+    at = rows.columns.index(text_col if has_text else "__text")
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(prototypes)
 
@@ -172,7 +173,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
         protos = np.array([v / np.linalg.norm(v.astype(np.float64)) for v in held.value.values()], np.float64)
         for batch in batches:
             langs, scores = [], []
-            for _, texts in _groups(batch, 1):
+            for _, texts in _groups(batch, at):
                 owner, codes = p.trigrams(texts)
                 if not names or not len(codes):
                     langs += [NO_LANGUAGE] * len(texts)
