@@ -127,7 +127,7 @@ def signatures() -> list[Signature]:
         out.append(Signature(f"cc-{short}", rf"creative commons {name}(?: licen[cs]e)?", " creative commons ", 2, 0.8))
         out.append(Signature(f"cc-{short}", rf"cc {spaced}(?: licen[cs]e)?", f" cc {spaced} ", 2, 0.6))
     out += [Signature(label, words, f" {words} ", 1, 0.5 if label in ("proprietary", "copyleft") else 0.9) for label, words in SENTENCES]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def _has_anchor(s: Signature) -> bool:
