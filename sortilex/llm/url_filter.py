@@ -79,7 +79,8 @@ def features(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
 
     def grams(text: Column, tag: str) -> Column:
         chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-        return F.concat(*[of_size(chars, tag, n) for n in SIZES])
+        # One element, so that the characters are a variable and not an expression made anew for each n-gram.
+        return F.transform(F.array(chars), lambda c: F.concat(*[of_size(c, tag, n) for n in SIZES]))[0]
 
     return F.array_distinct(F.concat(grams(host, "host"), grams(path, "path")))
 
