@@ -12,7 +12,7 @@ has an arc for every word (add-``alpha``). One pass from left to right carries t
 
 Edge cases. Null or empty text: the end token alone. Null id: counts as empty text for the split. Repeated rows each
 count and are scored. No training texts: every token is unknown and all of them have the same weight. Empty table: empty
-result. A kept column named like a result column is replaced by the result.
+result. A kept column named like a result column is replaced by the result; names that begin with __lm_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def frequent_words(train: DataFrame, text_col: str, share: float = WORD_SHARE) -
 def encode(docs: DataFrame, vocabulary: list[bytes], kept: list[T.StructField]) -> DataFrame:
     """row id, the kept columns, n_tokens, ids (little-endian int32, with the end) and the rare words with counts."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType([T.StructField("rid", T.LongType()), *kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("rare", T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType())])))])
+    schema = T.StructType([T.StructField("__lm_rid", T.LongType()), *kept, T.StructField("n_tokens", T.LongType()), T.StructField("__lm_ids", T.BinaryType()), T.StructField("__lm_rare", T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType())])))])
     rare_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +248,13 @@ def build(counts: np.ndarray, context: np.ndarray, ngrams: dict[int, dict[int, i
 def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", word_share: float = WORD_SHARE, context_share: float = CONTEXT_SHARE, ngram_share: float = NGRAM_SHARE, alpha: float = ALPHA) -> DataFrame:
     """``keep``, held_out, n_tokens, n_known, train_tokens, base_score and score; learns from rows not held out."""
     keep = tuple(c for c in keep if c not in {*RESULT, "held_out"})
-    rows = docs.select(*keep, held_out.alias("held_out"), F.col(text_col).alias("__text"))
-    vocabulary = frequent_words(rows.where("not held_out"), "__text", word_share)
+    rows = docs.select(*keep, held_out.alias("held_out"), F.col(text_col).alias("__lm_text"))
+    vocabulary = frequent_words(rows.where("not held_out"), "__lm_text", word_share)
     coded = materialize(encode(rows, vocabulary, rows.schema.fields[:-1]), "lm-ids")
-    train_ids = coded.where("not held_out").select("ids")
+    train_ids = coded.where("not held_out").select("__lm_ids")
 
     # Rare words: their counts, by word; how many are different; and each text's sums.
-    each = coded.select("rid", "held_out", F.explode("rare").alias("r")).select("rid", "r.w", "r.n", F.when(F.col("held_out"), 0).otherwise(F.col("r.n")).alias("own"))
+    each = coded.select(F.col("__lm_rid").alias("rid"), "held_out", F.explode("__lm_rare").alias("r")).select("rid", "r.w", "r.n", F.when(F.col("held_out"), 0).otherwise(F.col("r.n")).alias("own"))
     by_word = Window.partitionBy("w").orderBy("rid")
     whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = each.withColumns({"c": F.sum("own").over(whole), "first": F.row_number().over(by_word) == 1})
@@ -272,8 +272,8 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
     ngrams = ngram_counts(train_ids, context, max(2, ngram_share * total)) if common else {2: {}, 3: {}}
     automaton = docs.sparkSession.sparkContext.broadcast(build(counts, context, ngrams, denominator, alpha))
     base_log = docs.sparkSession.sparkContext.broadcast((np.log10(counts + alpha), counts > 0))
-    kept = [f for f in coded.schema.fields if f.name not in ("n_tokens", "ids", "rare")]
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("log_c", T.DoubleType()), T.StructField("weight", T.DoubleType())])
+    kept = [f for f in coded.schema.fields if f.name not in ("n_tokens", "__lm_ids", "__lm_rare")]
+    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("__lm_known", T.LongType()), T.StructField("__lm_log", T.DoubleType()), T.StructField("__lm_weight", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, (logs, seen) = automaton.value, base_log.value
@@ -284,7 +284,7 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
             known, log_c, weight = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(known, pa.int64()), pa.array(log_c, pa.float64()), pa.array(weight, pa.float64())], names=schema.names)
 
-    scored = map_batches(coded.select(*(f.name for f in kept), "n_tokens", "ids"), run, schema)
-    joined = scored.join(rare.withColumnRenamed("rid", "__rid"), F.col("rid") == F.col("__rid"), "left").na.fill(0, ["r_log", "r_n", "r_known"])
+    scored = map_batches(coded.select(*(f.name for f in kept), "n_tokens", "__lm_ids"), run, schema)
+    joined = scored.join(rare.select(F.col("rid").alias("__lm_rid"), *(F.col(c).alias(f"__lm_{c}") for c in ("r_log", "r_n", "r_known"))), "__lm_rid", "left").na.fill(0, ["__lm_r_log", "__lm_r_n", "__lm_r_known"])
     log_d = math.log10(denominator) if denominator > 0 else 0.0
-    return joined.select(*keep, "held_out", "n_tokens", (F.col("known") + F.col("r_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("log_c") + F.col("r_log") - F.col("n_tokens") * F.lit(log_d)).alias("base_score"), (F.col("weight") + F.col("r_log") - F.col("r_n") * F.lit(log_d)).alias("score"))
+    return joined.select(*keep, "held_out", "n_tokens", (F.col("__lm_known") + F.col("__lm_r_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("__lm_log") + F.col("__lm_r_log") - F.col("n_tokens") * F.lit(log_d)).alias("base_score"), (F.col("__lm_weight") + F.col("__lm_r_log") - F.col("__lm_r_n") * F.lit(log_d)).alias("score"))
