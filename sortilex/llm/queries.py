@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import TOKEN_RE, WORD_RE
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 OVER_LIMIT = 1024
@@ -134,4 +136,35 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, CAST(c * size AS BIGINT) AS taken, CAST(c AS BIGINT) AS copies FROM drawn
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
+#: Windows of both sides, joined.
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL.format(WORD_RE)} AS w FROM documents),
+i AS (SELECT item_id, {WORDS_SQL.format(WORD_RE)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+own AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(8, len(w)) AS n, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS s FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS text FROM own),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lengths WHERE len(w) >= n),
+found AS (SELECT p.doc_id, p.s, p.n, v.item_id FROM (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS text FROM places) p JOIN windows v ON p.n = v.n AND p.text = v.text),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+#: All pairs of texts with a common shingle, and reachability.
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL.format(TOKEN_RE)} AS w FROM documents),
+places AS (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM d WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + n - 1), ' ') AS text, n FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.text = b.text AND a.n = b.n AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * common >= 85 * (s.n + t.n - common)),
+reached AS (SELECT DISTINCT x AS a, x AS b FROM links UNION SELECT a, y FROM reached JOIN links ON x = b),
+least_id AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_id l ON l.a = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_mixing": OP5_SQL, "op9_near_duplicates": OP9_SQL}
