@@ -54,7 +54,14 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+#: Rows of an Arrow batch where the session has Spark's default; rows hold whole texts, and workers hold a few batches.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow by a function of this package."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     return df.mapInArrow(function, schema)
