@@ -15,6 +15,9 @@ import numpy as np
 #: Entries of the newer half of a worker's cache (each about 150 bytes); when it is full, the older half is forgotten.
 CACHE_ENTRIES = 350_000
 
+#: A single one of these after one of these letters is cut off, so that a word is encoded once with and without it.
+END_MARKS, LETTERS = ".,;:!?", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -31,6 +34,7 @@ class PieceEncoder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.cache_entries = cache_entries
+        self.marks = dict(zip(END_MARKS, self.encode(list(END_MARKS)), strict=True))
         self.cache: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -41,15 +45,24 @@ class PieceEncoder:
         """Remember pieces (without the space before them); None marks those that can't be cut off."""
         if len(self.cache) + len(pieces) > self.cache_entries:
             self.older, self.cache = self.cache, {}
-        new = []
+        new: dict[str, None] = {}
+        ended: list[str] = []
         for p in dict.fromkeys(pieces):
             if p in self.older:
                 self.cache[p] = self.older[p]
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                new.append(p)
-            else:
+            elif not p or p[0].isspace() or p[-1].isspace():
                 self.cache[p] = None
+            elif len(p) > 1 and p[-1] in END_MARKS and p[-2] in LETTERS:
+                ended.append(p)  # a mark after a letter is a pre-token of its own
+                if p[:-1] in self.older:
+                    self.cache[p[:-1]] = self.older[p[:-1]]
+                elif p[:-1] not in self.cache:
+                    new[p[:-1]] = None
+            else:
+                new[p] = None
         self.cache.update(zip(new, self.encode([" " + p for p in new]), strict=True))
+        for p in ended:
+            self.cache[p] = self.cache[p[:-1]] + self.marks[p[-1]]
 
     def ids(self, text: str) -> bytes:
         """All ids of the text, as little-endian integers of ``dtype``."""
