@@ -9,11 +9,14 @@ text, the pieces around it are joined again and encoded as one, so results are t
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Entries of the newer half of a worker's cache (each about 150 bytes); when it is full, the older half is forgotten.
 CACHE_ENTRIES = 350_000
+#: First pieces of texts that a worker remembers; all are forgotten at once.
+FIRST_ENTRIES = 30_000
 
 #: A single one of these after one of these letters is cut off, so that a word is encoded once with and without it.
 END_MARKS, LETTERS = ".,;:!?", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -32,14 +35,24 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.dtype = np.dtype("u4" if self.wide else "u2")
+        self.code = self.dtype.char
         self.cache_entries = cache_entries
         self.marks = dict(zip(END_MARKS, self.encode(list(END_MARKS)), strict=True))
         self.cache: dict[str, bytes | None] = {}
+        self.firsts: dict[str, bytes] = {}
         self.older: dict[str, bytes | None] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def first(self, piece: str) -> bytes:
+        """Of a text's first piece, which has no space before it."""
+        if piece not in self.firsts:
+            if len(self.firsts) >= FIRST_ENTRIES:
+                self.firsts.clear()
+            self.firsts[piece] = self.encode([piece])[0]
+        return self.firsts[piece]
 
     def learn(self, pieces: list[str]) -> None:
         """Remember pieces (without the space before them); None marks those that can't be cut off."""
@@ -65,7 +78,7 @@ class PieceEncoder:
             self.cache[p] = self.cache[p[:-1]] + self.marks[p[-1]]
 
     def ids(self, text: str) -> bytes:
-        """All ids of the text, as little-endian integers of ``dtype``."""
+        """All ids of the text, as integers of ``dtype``."""
         if not text:
             return b""
         first, *rest = text.split(" ")
@@ -77,7 +90,7 @@ class PieceEncoder:
                 return self._joined([first, *rest])
         if not first or first[-1].isspace():
             return self._joined([first, *rest])
-        return self.encode([first])[0] + b"".join(out)
+        return self.first(first) + b"".join(out)
 
     def count(self, text: str, known: dict[str, int]) -> int:
         """Number of ids; known has the numbers of pieces that are looked up first."""
@@ -90,7 +103,7 @@ class PieceEncoder:
             out = [self.cache.get(p) if x is None else x for p, x in zip(missed, out, strict=True)]
         if None in out or not first or first[-1].isspace():
             return len(self._joined([first, *rest])) // self.dtype.itemsize
-        return sum(filter(None, sizes)) + (len(b"".join(out)) + len(self.encode([first])[0])) // self.dtype.itemsize
+        return sum(filter(None, sizes)) + (len(b"".join(out)) + len(self.first(first))) // self.dtype.itemsize
 
     def _joined(self, pieces: list[str]) -> bytes:
         """As ids(), for texts with spaces where no cut may be made: those pieces are joined to their neighbours."""
