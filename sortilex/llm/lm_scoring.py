@@ -1,14 +1,17 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a backoff model of all n-grams that occur at least twice.
 
-The vocabulary has two tiers. Words that make up ``word_share`` of the training tokens (at most 1 / word_share words)
-are broadcast; the others' counts are found by a shuffle on the word, so every word of every text gets its exact count
-and no count is capped. N-grams (up to 3 words) are counted over all training texts for words of at least
-``context_share`` and kept from ``ngram_share`` of the tokens on, which bounds the automaton for input of any size: at
-most 1 / ngram_share arcs an order. What is counted and shuffled grows with the input; what is broadcast doesn't.
+Every word of every text gets its exact count. N-grams (up to 3 words) are counted over all training texts and kept from
+``LEAST`` occurrences on, whatever the size of the input, so the model grows with the input. Nothing of it is broadcast
+or gathered: it is dealt out by the hash of the n-gram, and each block of texts asks for what it holds. A trip takes a
+block's different codes to their buckets and brings one answer for each back, in the same order:
 
-Kept histories are the automaton's states. A state has an arc for each kept continuation, weighted with its absolutely
-discounted log probability, and one failure arc to the next shorter history, weighted with its backoff weight; the root
-has an arc for every word (add-``alpha``). One pass from left to right carries the state along and adds up the weights.
+1. words and pairs: their counts;
+2. triples of which both pairs are kept (others can't be kept): their counts;
+3. histories: the sums over their kept continuations that make their backoff weights. Of the blocks that hold an n-gram
+   one owns it and adds its share.
+
+A text's score adds up, for each token, the absolutely discounted log probability after the longest kept history, with
+the backoff weights of the longer ones; words alone are add-``alpha``. Codes are 64-bit hashes.
 
 Edge cases. Null or empty text: the end token alone. Null id: counts as empty text for the split. Repeated rows each
 count and are scored. No training texts: every token is unknown and all of them have the same weight. Empty table: empty
@@ -18,273 +21,320 @@ result. A kept column named like a result column is replaced by the result; name
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import map_batches, materialize, tokens
 
-WORD_SHARE, CONTEXT_SHARE, NGRAM_SHARE = 2e-6, 5e-5, 1e-6
 ALPHA, DISCOUNT = 0.1, 0.5
-#: Different words that a task counts before it drops those that can't reach the share any more.
-COUNTER_WORDS = 250_000
-#: Ids: rare word, end of text, then the frequent words.
-RARE, END, FIRST = 0, 1, 2
+#: Occurrences from which on an n-gram is kept.
+LEAST = 2
+#: Bytes of text that a block takes (or one text), and tokens of all texts for each bucket.
+BLOCK_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 1_000_000, 64
+CACHE_WORDS = 400_000
 
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
+_END = np.uint64(0x5851F42D4C957F2D)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_word_code: dict[bytes, int] = {}
 
-def frequent_words(train: DataFrame, text_col: str, share: float = WORD_SHARE) -> list[bytes]:
-    """All words with at least that share of the tokens, and some others; at most 1 / share words.
 
-    A word with a share of all tokens has it in at least one task. Tasks bound their memory by lossy counting: what is
-    dropped could not have reached the share so far, and a word that comes back is credited with as much as it may
-    have lost.
-    """
+def _word_codes(own: list[bytes]) -> list[int]:
+    """Codes of words are odd, those of pairs even."""
+    if len(_word_code) > CACHE_WORDS:
+        _word_code.clear()
+    out = list(map(_word_code.get, own, repeat(0)))
+    for i, c in enumerate(out):
+        if not c:
+            out[i] = _word_code[own[i]] = xxhash.xxh64_intdigest(own[i]) | 1
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, float] = {}
-        lost, total, part = 0.0, 0, Counter()
 
-        def merge() -> None:
-            nonlocal seen, lost, part
-            for w, n in part.items():
-                seen[w] = seen.get(w, lost) + n
-            least = share * total
-            if len(seen) > COUNTER_WORDS:
-                seen = {w: n for w, n in seen.items() if n >= least}
-                lost = least
-            part = Counter()
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _A + b * _B
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))) & ~np.uint64(1)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, compressed byte place by byte place."""
+    return len(a).to_bytes(8, "little") + pa.compress(a.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+
+
+def _unpack(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    if not blob:
+        return np.empty(0, kind)
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-        for batch in batches:
-            for s in batch.column(0):
-                if s.is_valid:
-                    own = tokens(s.as_buffer().to_pybytes())
-                    total += len(own) + 1
-                    part.update(own)
-                    if len(part) > COUNTER_WORDS:
-                        merge()
-        merge()
-        top = [(w, int(n)) for w, n in seen.items() if n >= share * total]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["w", "n"])
-
-    found = map_batches(train.select(text_col), count, "w binary, n bigint")
-    best = found.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(round(1 / share))
-    return [bytes(r[0]) for r in best.select("w").collect()]
-
-
-def encode(docs: DataFrame, vocabulary: list[bytes], kept: list[T.StructField]) -> DataFrame:
-    """row id, the kept columns, n_tokens, ids (little-endian int32, with the end) and the rare words with counts."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType([T.StructField("__lm_rid", T.LongType()), *kept, T.StructField("n_tokens", T.LongType()), T.StructField("__lm_ids", T.BinaryType()), T.StructField("__lm_rare", T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType())])))])
-    rare_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
+
+def _pack_sorted(codes: np.ndarray) -> bytes:
+    return _pack(np.diff(codes, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
+
+
+def encode(docs: DataFrame, kept: list[T.StructField]) -> DataFrame:
+    """Blocks of texts: block, rows (the kept columns), n and train tokens, sizes, held, words (different codes) and ids (places in words)."""
+    row = T.StructType(kept)
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("n", T.LongType()), T.StructField("train", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "held", "words", "ids"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rid = TaskContext.get().partitionId() << 40
-        number = {w: i for i, w in enumerate(held.value, FIRST)}.get
+        block = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                sizes, ids, rare = [], [], []
+            texts = batch.column(batch.num_columns - 1)
+            lo, held_bytes = 0, 0
+            cuts = []
+            for i, s in enumerate(texts):
+                held_bytes += len(s.as_buffer()) if s.is_valid else 0
+                if held_bytes > BLOCK_BYTES or i + 1 == len(texts):
+                    cuts.append((lo, i + 1))
+                    lo, held_bytes = i + 1, 0
+            for lo, hi in cuts:
+                part = batch.slice(lo, hi - lo)
+                codes, sizes = [], []
                 for s in part.column(part.num_columns - 1):
                     own = tokens(s.as_buffer().to_pybytes()) if s.is_valid else []
-                    a = np.fromiter(map(number, own, repeat(RARE)), np.int32, len(own))
+                    codes.append(np.append(np.array(_word_codes(own), np.uint64), _END))
                     sizes.append(len(own) + 1)
-                    ids.append(np.append(a, np.int32(END)).tobytes())
-                    rare.append([{"w": w, "n": n} for w, n in Counter([own[i] for i in np.flatnonzero(a == RARE)]).items()])
-                columns = [pa.array(range(rid, rid + part.num_rows), pa.int64()), *part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, rare_type)]
-                rid += part.num_rows
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                words, ids, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")  # small numbers for frequent words
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                sizes = np.array(sizes, np.int64)
+                held = part.column(part.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool)
+                rows = pa.StructArray.from_arrays(part.columns[:-1], fields=[pa.field(f.name, c.type) for f, c in zip(kept, part.columns, strict=False)])
+                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                values = [pa.array([block], pa.int64()), listed, pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[~held].sum())], pa.int64())]
+                values += [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack(held.astype(np.int64)), _pack(words[order]), _pack(place[ids]))]
+                block += 1
+                yield pa.RecordBatch.from_arrays(values, names=schema.names)
 
     return map_batches(docs, run, schema)
 
 
-def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for s in batch.column(batch.num_columns - 1):
-        yield np.frombuffer(s.as_buffer(), np.int32)
+class Block:
+    """A block's n-grams, and what is known of them after each trip."""
+
+    def __init__(self, sizes: bytes, held: bytes, words: bytes, ids: bytes) -> None:
+        self.sizes, self.words, self.ids = _unpack(sizes), _unpack(words, np.uint64), _unpack(ids)
+        self.train = np.repeat(_unpack(held) == 0, self.sizes)
+        inner = np.ones(len(self.ids), bool)
+        inner[np.cumsum(self.sizes) - 1] = False
+        self.first = np.flatnonzero(inner)  # where pairs begin
+        h = self.words[self.ids]
+        self.codes, at = np.unique(np.concatenate((self.words, _mix(h[self.first], h[self.first + 1]))), return_inverse=True)
+        self.word_at, self.pair_at = at[: len(self.words)], at[len(self.words) :]
+
+    def counts(self) -> np.ndarray:
+        n = np.bincount(self.pair_at[self.train[self.first]], minlength=len(self.codes)).astype(np.int64)
+        n[self.word_at] = np.bincount(self.ids[self.train], minlength=len(self.words))
+        return n
+
+    def learn(self, answer: np.ndarray, least_word: float) -> None:
+        """Counts of words and pairs; finds the triples that can be kept."""
+        self.own, count = (answer & 1) == 1, answer >> 1
+        self.c1 = count[self.word_at]
+        fine = (self.c1 >= least_word)[self.ids]
+        self.c2 = np.where(fine[self.first] & fine[self.first + 1], count[self.pair_at], 0)
+        self.v, self.w = self.ids[self.first], self.ids[self.first + 1]
+        some = self.c2 > 0
+        self.next = np.flatnonzero((np.diff(self.first) == 1) & some[:-1] & some[1:])  # pairs (u, v) of triples; (v, w) follows
+        third = self.words[self.w[self.next + 1]]
+        self.codes3, self.triple_at = np.unique(_mix(self.codes[self.pair_at[self.next]], third), return_inverse=True)
+
+    def counts3(self) -> np.ndarray:
+        return np.bincount(self.triple_at[self.train[self.first[self.next]]], minlength=len(self.codes3)).astype(np.int64)
+
+    def learn3(self, answer: np.ndarray, denominator: float, alpha: float) -> None:
+        """Counts of triples, and the probabilities that don't need backoff weights."""
+        self.own3, self.c3 = (answer & 1) == 1, (answer >> 1)[self.triple_at]
+        self.p1 = (self.c1 + alpha) / denominator if denominator > 0 else np.ones(len(self.c1))
+        self.p2 = np.maximum(self.c2 - DISCOUNT, 0) / np.maximum(self.c1[self.v], 1)
+        self.p3 = np.maximum(self.c3 - DISCOUNT, 0) / np.maximum(self.c2[self.next], 1)
+        asked = np.zeros(len(self.codes), bool)
+        asked[self.word_at[self.v[self.c2 > 0]]] = True
+        asked[self.word_at[self.v[self.c1[self.v] >= LEAST]]] = True
+        asked[self.pair_at[self.c2 > 0]] = True
+        self.asked = np.flatnonzero(asked)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """This block's shares of the asked histories' sums: of kept continuations, and of their shorter histories' ones."""
+        held, lower = np.zeros(len(self.codes)), np.zeros(len(self.codes))
+        one = np.zeros(len(self.codes), np.int64)
+        one[self.pair_at] = np.arange(len(self.pair_at))
+        j = one[np.unique(self.pair_at[(self.c2 > 0) & self.own[self.pair_at]])]
+        np.add.at(held, self.word_at[self.v[j]], self.p2[j])
+        np.add.at(lower, self.word_at[self.v[j]], self.p1[self.w[j]])
+        one = np.zeros(len(self.codes3), np.int64)
+        one[self.triple_at] = np.arange(len(self.triple_at))
+        k = one[np.unique(self.triple_at[(self.c3 > 0) & self.own3[self.triple_at]])]
+        np.add.at(held, self.pair_at[self.next[k]], self.p3[k])
+        np.add.at(lower, self.pair_at[self.next[k]], self.p2[self.next[k] + 1])
+        return held[self.asked], lower[self.asked]
+
+    def score(self, held: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, score by words alone, and score of each text."""
+        backoff = np.zeros(len(self.codes))
+        backoff[self.asked] = np.where(held > 0, np.log10(np.maximum(1e-12, 1 - held) / np.maximum(1e-12, 1 - lower)), 0.0)
+        base = np.log10(self.p1)[self.ids]
+        some2, some3 = self.c2 > 0, self.c3 > 0
+        log2 = np.log10(np.where(some2, self.p2, 1.0))
+        weight = base.copy()
+        weight[self.first + 1] += np.where(some2, log2 - base[self.first + 1], backoff[self.word_at[self.v]])
+        after = np.zeros(len(self.first))  # by the pair (v, w) that ends the triple
+        triples = np.flatnonzero(np.diff(self.first) == 1)
+        after[triples + 1] = np.where(some2[triples], backoff[self.pair_at[triples]], 0.0)
+        k = np.flatnonzero(some3)
+        after[self.next[k] + 1] = np.log10(self.p3[k]) - log2[self.next[k] + 1]
+        weight[self.first + 1] += after
+        starts = np.cumsum(self.sizes) - self.sizes
+        return np.add.reduceat((self.c1[self.ids] > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(weight, starts)
+
+
+def _count(codes: np.ndarray, values: list[np.ndarray], least: float) -> tuple[list[np.ndarray], int]:
+    """2 * count (0 for n-grams below least), plus 1 for the block that owns the code; and how many words occur."""
+    different, first, at = np.unique(codes, return_index=True, return_inverse=True)
+    n = np.bincount(at, values[0]).astype(np.int64)
+    word = (different & np.uint64(1)) == 1
+    occurring = int((word & (n > 0)).sum())
+    n[~word & (n < least)] = 0
+    out = 2 * n[at]
+    out[first] += 1
+    return [out], occurring
+
+
+def _sum(codes: np.ndarray, values: list[np.ndarray], least: float) -> tuple[list[np.ndarray], int]:
+    _, at = np.unique(codes, return_inverse=True)
+    return [np.bincount(at, v)[at] for v in values], 0
+
+
+def _ask(state: DataFrame, request: Callable[[dict], tuple], bits: int) -> DataFrame:
+    """bucket, block, codes and two values: a block's different codes (in order), cut by their first bits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                codes, x, y = request(row)
+                ends = np.searchsorted(codes >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), "right")
+                cuts = [(b, lo, hi) for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
+                if cuts:
+                    blobs = [[f(v[lo:hi]) for _, lo, hi in cuts] if v is not None else [None] * len(cuts) for v, f in ((codes, _pack_sorted), (x, _pack), (y, _pack))]
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, *_ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), *(pa.array(v, pa.binary()) for v in blobs)], names=["bucket", "block", "codes", "x", "y"])
 
-def _pairs(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["code", "n"])
+    return map_batches(state, run, "bucket int, block bigint, codes binary, x binary, y binary")
 
 
-def unigram_counts(train_ids: DataFrame, size: int) -> np.ndarray:
-    """Count of every id below size."""
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows without the kept columns, one at a time."""
+    names = [c for c in batch.schema.names if c != "rows"]
+    for i in range(batch.num_rows):
+        yield {c: batch.column(c)[i].as_py() for c in names}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size, np.int64)
-        for batch in batches:
-            for a in _ids(batch):
-                np.add.at(sums, a, 1)
-        found = np.flatnonzero(sums)
-        yield _pairs(found, sums[found])
-
-    out = np.zeros(size, np.int64)
-    for code, n in map_batches(train_ids, count, "code bigint, n bigint").groupBy("code").agg(F.sum("n")).collect():
-        out[code] = n
-    return out
 
+def _trip(state: DataFrame, name: str, request: Callable[[dict], tuple], answer: Callable, kind: type, bits: int, least: float = 0) -> DataFrame:
+    """block and its answers by bucket; block -1 has what the buckets counted."""
 
-def ngram_counts(train_ids: DataFrame, context: np.ndarray, least: float) -> dict[int, dict[int, int]]:
-    """{order: {code: count}} for n-grams of 2 and 3 words with at least that count.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packets = (r for batch in batches for r in _rows(batch))
+        for bucket, own in groupby(packets, lambda r: r["bucket"]):
+            codes, xs, ys, blocks = [], [], [], []
+            for r in own:
+                codes.append(_unpack_sorted(r["codes"]))
+                xs.append(_unpack(r["x"], kind))
+                if r["y"] is not None:
+                    ys.append(_unpack(r["y"], kind))
+                blocks.append(r["block"])
+            sizes = np.array([len(c) for c in codes])
+            values = [np.concatenate(v) for v in (xs, ys) if v]
+            found, counted = answer(np.concatenate(codes), values, least)
+            cuts = np.cumsum(sizes)[:-1]
+            parts = [[_pack(p) for p in np.split(v, cuts)] for v in found]
+            x, y = parts[0], parts[1] if len(parts) > 1 else [None] * len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array([*blocks, -1], pa.int64()), pa.array([bucket] * (len(blocks) + 1), pa.int32()), pa.array([*x, None], pa.binary()), pa.array([*y, None], pa.binary()), pa.array([0] * len(blocks) + [counted], pa.int64())], names=["block", "bucket", "x", "y", "counted"])
 
-    context maps ids to context ids (0: none); a code is the context ids as digits to the base of their number.
-    """
-    base = int(context.max()) + 1
-    held = train_ids.sparkSession.sparkContext.broadcast(context)
+    asked = _ask(state, request, bits).repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "block")
+    return materialize(map_batches(asked, run, "block bigint, bucket int, x binary, y binary, counted bigint"), name)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for a in _ids(batch):
-                g = held.value[a].astype(np.int64)
-                both = (g[:-1] > 0) & (g[1:] > 0)
-                two = (g[:-1] * base + g[1:])[both]
-                triple = both[:-1] & both[1:]
-                three = ((g[:-2] * base + g[1:-1]) * base + g[2:])[triple]
-                codes += [two, three + base**3]  # the first digit tells the order
-                size += len(two) + len(three)
-                if size > 4_000_000:
-                    yield _pairs(*np.unique(np.concatenate(codes), return_counts=True))
-                    codes, size = [], 0
-        if codes:
-            yield _pairs(*np.unique(np.concatenate(codes), return_counts=True))
-
-    found = map_batches(train_ids, count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    out: dict[int, dict[int, int]] = {2: {}, 3: {}}
-    for code, n in found.collect():
-        out[2 + (code >= base**3)][code % base**3] = n
-    return out
+
+def _answers(found: DataFrame, name: str) -> DataFrame:
+    parts = found.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "x", "y"))).alias("p"))
+    return parts.select("block", F.col("p.x").alias(f"{name}x"), F.col("p.y").alias(f"{name}y"))
+
+
+def _joined(parts: list[bytes] | None, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([_unpack(p, kind) for p in parts]) if parts else np.empty(0, kind)
 
 
-@dataclass
-class Automaton:
-    """States are numbers, 0 the root; keys of arcs are state * base + context id."""
-
-    base: int
-    context: np.ndarray
-    unigram: np.ndarray
-    arcs: dict[int, tuple[float, int]]
-    root_next: list[int]
-    fail: list[int]
-    backoff: list[float]
-    to_root: list[float]
-
-    def score(self, ids: np.ndarray) -> float:
-        """Sum of the weights along one pass; rare words add their backoff only."""
-        arcs, base, fail, backoff, to_root, root_next = self.arcs, self.base, self.fail, self.backoff, self.to_root, self.root_next
-        total, state, at_root = 0.0, 0, []
-        for i, g in enumerate(self.context[ids].tolist()):
-            if g:
-                arc = arcs.get(state * base + g) if state else None
-                while arc is None and state:
-                    total += backoff[state]
-                    state = fail[state]
-                    arc = arcs.get(state * base + g) if state else None
-                if arc is None:
-                    at_root.append(i)
-                    state = root_next[g]
-                else:
-                    total += arc[0]
-                    state = arc[1]
-            else:
-                total += to_root[state]
-                state = 0
-                at_root.append(i)
-        return total + float(self.unigram[ids[at_root]].sum())
-
-
-def build(counts: np.ndarray, context: np.ndarray, ngrams: dict[int, dict[int, int]], denominator: float, alpha: float = ALPHA, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of kept n-grams; p(root) is (count + alpha) / denominator, rare words' weight is left out (0)."""
-    base = int(context.max()) + 1
-    unigram = np.log10((counts + alpha) / denominator)
-    unigram[RARE] = 0.0
-    word = np.zeros(base, np.int64)
-    word[context[context > 0]] = counts[context > 0]
-    low1 = (word + alpha) / denominator
-    two: dict[int, list[tuple[int, int]]] = {}
-    for code, n in sorted(ngrams[2].items()):
-        two.setdefault(code // base, []).append((code % base, n))
-    three: dict[int, list[tuple[int, int]]] = {}
-    for code, n in sorted(ngrams[3].items()):
-        if code // base in ngrams[2]:
-            three.setdefault(code // base, []).append((code % base, n))
-    state = {u: i for i, u in enumerate(two, 1)}  # histories of one word
-    state2 = {uv: i for i, uv in enumerate(three, 1 + len(state))}  # and of two
-    fail, backoff, to_root = [0] * (1 + len(state) + len(state2)), [0.0] * (1 + len(state) + len(state2)), [0.0] * (1 + len(state) + len(state2))
-    arcs: dict[int, tuple[float, int]] = {}
-    p2: dict[int, float] = {}
-    weight1: dict[int, float] = {}
-    for u, own in two.items():
-        p = {v: (n - discount) / word[u] for v, n in own}
-        weight1[u] = max(1e-12, 1 - sum(p.values())) / max(1e-12, 1 - sum(low1[v] for v in p))
-        backoff[state[u]] = to_root[state[u]] = math.log10(weight1[u])
-        for v, x in p.items():
-            p2[u * base + v] = x
-            arcs[state[u] * base + v] = (math.log10(x), state2.get(u * base + v, state.get(v, 0)))
-    for uv, own in three.items():
-        u_v, v = state2[uv], uv % base
-        p = {w: (n - discount) / ngrams[2][uv] for w, n in own}
-        lower = sum(p2.get(v * base + w, weight1.get(v, 1.0) * low1[w]) for w in p)
-        fail[u_v] = state.get(v, 0)
-        backoff[u_v] = math.log10(max(1e-12, 1 - sum(p.values())) / max(1e-12, 1 - lower))
-        to_root[u_v] = backoff[u_v] + to_root[fail[u_v]]
-        for w, x in p.items():
-            arcs[u_v * base + w] = (math.log10(x), state2.get(v * base + w, state.get(w, 0)))
-    return Automaton(base, context, unigram, arcs, [state.get(g, 0) for g in range(base)], fail, backoff, to_root)
-
-
-def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", word_share: float = WORD_SHARE, context_share: float = CONTEXT_SHARE, ngram_share: float = NGRAM_SHARE, alpha: float = ALPHA) -> DataFrame:
-    """``keep``, held_out, n_tokens, n_known, train_tokens, base_score and score; learns from rows not held out."""
+def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", word_share: float = 0.0, context_share: float = 0.0, ngram_share: float = 0.0, alpha: float = ALPHA) -> DataFrame:
+    """``keep``, held_out, n_tokens, n_known, train_tokens, base_score and score; learns from rows not held out.
+
+    Shares other than 0 leave out n-grams that are rarer than that share of the tokens, or hold words that are.
+    """
     keep = tuple(c for c in keep if c not in {*RESULT, "held_out"})
     rows = docs.select(*keep, held_out.alias("held_out"), F.col(text_col).alias("__lm_text"))
-    vocabulary = frequent_words(rows.where("not held_out"), "__lm_text", word_share)
-    coded = materialize(encode(rows, vocabulary, rows.schema.fields[:-1]), "lm-ids")
-    train_ids = coded.where("not held_out").select("__lm_ids")
-
-    # Rare words: their counts, by word; how many are different; and each text's sums.
-    each = coded.select(F.col("__lm_rid").alias("rid"), "held_out", F.explode("__lm_rare").alias("r")).select("rid", "r.w", "r.n", F.when(F.col("held_out"), 0).otherwise(F.col("r.n")).alias("own"))
-    by_word = Window.partitionBy("w").orderBy("rid")
-    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = each.withColumns({"c": F.sum("own").over(whole), "first": F.row_number().over(by_word) == 1})
-    known = F.col("c") > 0
-    rare = counted.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + alpha)).alias("r_log"), F.sum("n").alias("r_n"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("r_known"), F.sum((known & F.col("first")).cast("long")).alias("r_new"))
-    rare = materialize(rare, "lm-rare")
-
-    counts = unigram_counts(train_ids, FIRST + len(vocabulary))
-    total = int(coded.where("not held_out").agg(F.sum("n_tokens")).first()[0] or 0)
-    different = int((counts[END:] > 0).sum()) + int(rare.agg(F.sum("r_new")).first()[0] or 0)
+    kept = rows.schema.fields[:-1]
+    blocks = materialize(encode(rows, kept), "lm-blocks")
+    n, total = (int(x or 0) for x in blocks.agg(F.sum("n"), F.sum("train")).first())
+    bits = (max(LEAST_BUCKETS, math.ceil(n / BUCKET_TOKENS)) - 1).bit_length()
+    least, least_word = max(LEAST, ngram_share * total), max(1, word_share * total, context_share * total)
+    texts = blocks.select("block", "sizes", "held", "words", "ids")
+
+    def begin(r: dict) -> Block:
+        return Block(r["sizes"], r["held"], r["words"], r["ids"])
+
+    def ask1(r: dict) -> tuple:
+        b = begin(r)
+        return b.codes, b.counts(), None
+
+    found = _trip(texts, "lm-pairs", ask1, _count, np.int64, bits, least)
+    different = int(found.where("block < 0").agg(F.sum("counted")).first()[0] or 0)
     denominator = total + alpha * (different + 1)
-    context = np.zeros(len(counts), np.int32)
-    common = [i for i in range(END, len(counts)) if counts[i] >= max(1, context_share * total)]
-    context[common] = np.arange(1, len(common) + 1)
-    ngrams = ngram_counts(train_ids, context, max(2, ngram_share * total)) if common else {2: {}, 3: {}}
-    automaton = docs.sparkSession.sparkContext.broadcast(build(counts, context, ngrams, denominator, alpha))
-    base_log = docs.sparkSession.sparkContext.broadcast((np.log10(counts + alpha), counts > 0))
-    kept = [f for f in coded.schema.fields if f.name not in ("n_tokens", "__lm_ids", "__lm_rare")]
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("__lm_known", T.LongType()), T.StructField("__lm_log", T.DoubleType()), T.StructField("__lm_weight", T.DoubleType())])
+    answers = _answers(found, "a")
+
+    def ask2(r: dict) -> tuple:
+        b = begin(r)
+        b.learn(_joined(r["ax"]), least_word)
+        return b.codes3, b.counts3(), None
+
+    answers3 = _answers(_trip(texts.join(answers, "block"), "lm-triples", ask2, _count, np.int64, bits, least), "b")
+
+    def learned(r: dict) -> Block:
+        b = begin(r)
+        b.learn(_joined(r["ax"]), least_word)
+        b.learn3(_joined(r["bx"]), denominator, alpha)
+        return b
+
+    def ask3(r: dict) -> tuple:
+        b = learned(r)
+        return b.codes[b.asked], *b.sums()
+
+    sums = _answers(_trip(texts.join(answers, "block").join(answers3, "block", "left"), "lm-sums", ask3, _sum, np.float64, bits), "s")
+    schema = T.StructType([*kept, *(T.StructField(f"__lm_{c}", T.LongType() if c.startswith("n_") else T.DoubleType()) for c in ("n_tokens", "n_known", "base_score", "score"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, (logs, seen) = automaton.value, base_log.value
-        logs = np.where(np.arange(len(logs)) == RARE, 0.0, logs)
-        seen = seen & (np.arange(len(logs)) != RARE)
         for batch in batches:
-            found = [(int(seen[x].sum()), float(logs[x].sum()), a.score(x)) for x in _ids(batch)]
-            known, log_c, weight = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(known, pa.int64()), pa.array(log_c, pa.float64()), pa.array(weight, pa.float64())], names=schema.names)
-
-    scored = map_batches(coded.select(*(f.name for f in kept), "n_tokens", "__lm_ids"), run, schema)
-    joined = scored.join(rare.select(F.col("rid").alias("__lm_rid"), *(F.col(c).alias(f"__lm_{c}") for c in ("r_log", "r_n", "r_known"))), "__lm_rid", "left").na.fill(0, ["__lm_r_log", "__lm_r_n", "__lm_r_known"])
-    log_d = math.log10(denominator) if denominator > 0 else 0.0
-    return joined.select(*keep, "held_out", "n_tokens", (F.col("__lm_known") + F.col("__lm_r_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("__lm_log") + F.col("__lm_r_log") - F.col("n_tokens") * F.lit(log_d)).alias("base_score"), (F.col("__lm_weight") + F.col("__lm_r_log") - F.col("__lm_r_n") * F.lit(log_d)).alias("score"))
+            for i, r in enumerate(_rows(batch)):
+                b = learned(r)
+                known, base, score = b.score(_joined(r["sx"], np.float64), _joined(r["sy"], np.float64))
+                own = batch.column("rows").slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays([*own.flatten(), pa.array(b.sizes), pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
+
+    scored = map_batches(blocks.drop("n", "train").join(answers, "block").join(answers3, "block", "left").join(sums, "block", "left"), run, schema)
+    return scored.select(*keep, "held_out", F.col("__lm_n_tokens").alias("n_tokens"), F.col("__lm_n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("__lm_base_score").alias("base_score"), F.col("__lm_score").alias("score"))

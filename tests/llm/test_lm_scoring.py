@@ -74,3 +74,15 @@ def test_odd_tables(docs, clashing, empty):
     assert {(r.n_known, r.train_tokens) for r in nothing} == {(0, 0)} and all(np.isfinite(r.score) for r in nothing)
     wide = lm_scores(clashing, crc_of_id() % 10 == 0, tuple(clashing.columns))
     assert wide.columns.count("score") == 1 and wide.count() == docs.count()
+
+
+def test_rare_ngrams_count_in_a_large_table(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50, 400)) for _ in range(200)] + ["one seldom phrase w1 w2", "w3 one seldom phrase"]
+    asked = ["one seldom phrase", "w1 one seldom w2 phrase", "unknown seldom"]
+    df = spark.createDataFrame(list(enumerate(asked + texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm_scores(df, F.col("doc_id") < len(asked)).where("held_out").collect()}
+    model = Brute([split(t) for t in texts], 0, 0, 0)
+    assert (b"one", b"seldom", b"phrase") in model.grams
+    for i, t in enumerate(asked):
+        assert got[i].score == pytest.approx(model.score(split(t)), rel=1e-9)
