@@ -7,11 +7,12 @@ candidates are merged and ranked by the exact cosine of the original vectors.
 
 Only the k + 1 smallest ids of identical vectors can be among a query's k nearest, so others leave the index at once, and
 identical queries are answered once: a vector that a third of the rows share is no burden. Queries go in blocks of
-bounded size: a block's probes are broadcast, each task looks its rows up and hands on at most k + 1 rows a query.
+bounded size: a block's probes are broadcast, each task looks its rows up and hands on at most k + 1 rows a query. Queries
+whose buckets held too few rows are run once more, against every row of their length.
 
 Edge cases. Vectors that are null, empty or zero, or hold nulls or values that aren't finite take no part, as queries or
 as candidates; null ids neither. Vectors meet only those of the same length. Ties go to the smaller id. Rows that repeat
-id and vector are one candidate. Fewer than k candidates: all that were found. Empty table: empty result.
+id and vector are one candidate. Fewer than k candidates: all of them. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -95,13 +96,15 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 class BlockIndex:
-    """A block's queries, found by bucket: per table the probes' keys in order, and whose they are."""
+    """A block's queries, found by bucket: per table the probes' keys in order, and whose they are; without probes all meet all."""
 
     def __init__(self, queries: np.ndarray, tables: Tables, probes: int) -> None:
         self.queries, self.tables = queries, tables
         self.norms = np.linalg.norm(queries, axis=1)
-        keys = tables.probes(_unit(queries), probes)
         self.owner, self.keys = [], []
+        if not probes:
+            return
+        keys = tables.probes(_unit(queries), probes)
         for t in range(tables.tables):
             flat = keys[:, t, :].ravel()
             order = np.argsort(flat, kind="stable")
@@ -110,6 +113,8 @@ class BlockIndex:
 
     def candidates(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, row) that share a visited bucket in some table."""
+        if not self.keys:
+            return np.divmod(np.arange(len(self.queries) * len(rows)), len(rows))
         met = np.zeros((len(self.queries), len(rows)), bool)
         keys = self.tables.keys(np.floor(self.tables.slots(_unit(rows))))
         for t, (known, owner) in enumerate(zip(self.keys, self.owner, strict=True)):
@@ -181,6 +186,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     asked = queries.withColumn("first", F.min("id").over(Window.partitionBy("v")))
     asked = materialize(asked.select("id", "first", F.when(F.col("id") == F.col("first"), F.col("v")).alias("v")), "ann-queries")
     found = None
+
+    def search(own: DataFrame, held: list, made: Tables, probes: int) -> DataFrame:
+        part = _search(own, [r[0] for r in held], np.array([r[1] for r in held], np.float64), k + 1, made, probes)
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        return materialize(part.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"), "ann-found")
+
     for dim in [r[0] for r in asked.where("v is not null").select(F.size("v")).distinct().orderBy(F.size("v")).collect()]:
         own, made = index.where(F.size("v") == dim), Tables(dim, tables, functions, width)
         held: list = []
@@ -190,9 +201,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             if row is not None:
                 held.append(row)
             if held and (row is None or len(held) == block):
-                part = _search(own, [r[0] for r in held], np.array([r[1] for r in held], np.float64), k + 1, made, probes)
-                best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-                part = materialize(part.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"), "ann-found")
+                part = search(own, held, made, probes)
+                full = {r[0] for r in part.groupBy("query").count().where(F.col("count") > k).select("query").collect()}
+                if short := [r for r in held if r[0] not in full]:
+                    part = part.where(F.col("query").isin(list(full))) if full else part.limit(0)
+                    part = part.unionByName(search(own, short, made, 0))
                 found = part if found is None else found.unionByName(part)
                 held = []
             if row is None:

@@ -55,3 +55,21 @@ def test_probe_order_is_by_expected_score():
     order = probe_order(4, 30)
     assert order[0] == () and order[1] == (0,) and len(set(order)) == len(order) == 30
     assert all(len({min(j, 7 - j) for j in ranks}) == len(ranks) for ranks in order)
+
+
+def test_small_tables_and_rare_lengths_get_all_that_are_due(spark):
+    rng = np.random.default_rng(8)
+    sizes = {24: 5, 25: 6, 26: 10, 64: 200}
+    vectors, rows = {}, []
+    for dim, n in sizes.items():
+        for _ in range(n):
+            vectors[len(rows)] = rng.standard_normal(dim).tolist()
+            rows.append((len(rows), vectors[len(rows)]))
+    out = {}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for r in nearest(df, F.col("vec_id") < 30).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(30):
+        assert len(out[q]) == min(5, sizes[len(vectors[q])] - 1)
+        if len(vectors[q]) < 26:
+            assert out[q] == [i for i, _ in brute(vectors, q, 5)]
