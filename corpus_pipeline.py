@@ -3,9 +3,9 @@
 Documents pass unchanged, with their own columns, until the last stage writes their tokens. Extra columns pass too; where
 one is named like a stage's result, the stage's rows still hold the document's own values.
 
-Edge cases. An empty table passes every stage. Null or empty texts have no language and go in the first stage. Documents
-without an id, and rows that share one, can't be told apart by id: the second stage keeps the former and keeps or drops
-the latter together.
+Edge cases. An empty table passes every stage. Null or empty texts have no language and go in the first stage. The
+second stage decides by row: documents without an id and rows that share one are told apart by their shingles, and one row
+stays of each component.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from sortilex.llm.common import crc_of_id, materialize
 from sortilex.llm.decontaminate import WINDOW, decontaminate
 from sortilex.llm.language_id import NO_LANGUAGE, predict, train
 from sortilex.llm.mixing import mix, repeat_copies
-from sortilex.llm.near_dup import BROADCAST_ROWS, near_duplicates
+from sortilex.llm.near_dup import BROADCAST_ROWS, add_class, near_duplicates
 from sortilex.llm.packing import pack
 from sortilex.llm.queries import END_ID, tokenizer_path
 
@@ -48,9 +48,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    dropped = materialize(near_duplicates(docs, SIMILAR).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "pipeline-dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row, with the smallest id, of each group of near duplicates."""
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows = materialize(near_duplicates(docs, SIMILAR, with_class=True).select("doc_id", "cls", "root"), "pipeline-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls"))
+    best = materialize(rows.where("cls is not null").groupBy("root").agg(first.alias("w")).select("w.doc_id", "w.cls"), "pipeline-best")
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.first("cls").alias("cls"))
+    shared = materialize(ids.where("n > 1").select("doc_id"), "pipeline-shared")
+    gone = ids.where("n = 1 and cls is not null").join(best, ["doc_id", "cls"], "left_anti").select("doc_id")
+    gone = materialize(gone.unionByName(shared), "pipeline-dropped")
+    clear = docs.where("doc_id is not null").join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if shared.isEmpty() and rows.where("doc_id is null").isEmpty():
+        return clear
+    # Rows that an id doesn't tell apart: by their class, made anew.
+    unclear = docs.where("doc_id is null").unionByName(docs.join(small(shared), "doc_id", "left_semi").select(*docs.columns))
+    unclear = add_class(unclear, "__cls")
+    won = unclear.join(best.toDF("__id", "__best"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__cls") == F.col("__best")), "left_semi").dropDuplicates(["doc_id", "__cls"])
+    return clear.unionByName(won.unionByName(unclear.where("__cls is null")).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, materialize, tokens
 from .components import components
@@ -99,6 +100,20 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"id {kind}, n bigint, cls binary, sig binary")
 
 
+def add_class(docs: DataFrame, name: str, text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """The documents with the class that sign gives them."""
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(s.as_buffer().to_pybytes() if s.is_valid else None, size) for s in batch.column(at)]
+            cls = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cls], names=schema.names)
+
+    return map_batches(docs, run, schema)
+
+
 def _plant(classes: DataFrame) -> DataFrame:
     """A row for each class and tree: the tree, its sort key, the class and the compared bytes."""
 
@@ -254,9 +269,10 @@ def _large_families(members: DataFrame, percent: int, block_shingles: int) -> Da
     return dealt.select("cls").join(components(links).toDF("cls", "root"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, family_shingles: int = FAMILY_SHINGLES, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, family_shingles: int = FAMILY_SHINGLES, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, with_class: bool = False) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links) and kept, a row for each document.
 
+    with_class adds cls, which stands for the shingle set, and root, a class of the component; both are null without shingles.
     Documents are linked if 100 times the shared shingles are at least ``percent`` times all of both.
     """
     kind = docs.schema[id_col].dataType
@@ -290,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     roots = materialize(roots.distinct(), "dedup-roots")
     placed = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    found = placed.join(ids, "root", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    found = placed.join(ids, "root", "left").select("cls", "root", F.coalesce("component_id", "least").alias("component_id"))
     out = signed.select("id", "n", "cls").join(found, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).cast(kind)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *(("cls", "root") if with_class else ()))

@@ -37,3 +37,12 @@ def test_foreign_and_short_texts(spark, sf):
     rows = [(1, "Re.", "en", "s", 3), (2, "123 !!!", "en", "s", 7), (3, "日本語の文章です。" * 20, "en", "s", 9), (4, "the river and the tree were there with the others in the evening " * 3, "en", "s", 9)]
     out = cp.language_id(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").where("doc_id != 3").unionByName(spark.createDataFrame([(3, rows[2][1], None, "s", 9)], "doc_id bigint, text string, lang string, source string, n_chars bigint")), sf)
     assert {r.doc_id for r in out.collect()} == {1, 4}
+
+
+def test_near_dup_decides_by_row(spark, sf):
+    same, near = " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(59))
+    clean, other, none = (" ".join(f"{c}{i}" for i in range(60)) for c in "bcd")
+    rows = [(1, same), (2, near), (2, clean), (3, other), (3, other), (None, none), (None, none), (None, same), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, cp.near_dup(spark, df, sf).collect()), key=key) == sorted([(1, same), (2, clean), (3, other), (None, none), (4, None), (4, None)], key=key)
