@@ -3,7 +3,7 @@
 1. Documents with the same shingle set form a class; one of them stands for all.
 2. Every tree of the forest sorts the classes by its own stretch of the signature. In a sorted order the neighbours are
    those with the longest common prefix, so the depth adapts to how crowded a region is. A class and its nearest
-   neighbours in an order become a candidate if their signatures agree in at least ``candidate`` of 64 places.
+   neighbours in an order become a candidate if their signatures agree in at least ``candidate`` of all 128 places.
    Candidates are a few for each class and tree, whatever the size of a group.
 3. Candidates make families (connected components). A link between two documents lies within one family unless all
    trees miss it. Within a family links are found on the full sets: documents are compared with all others one at a
@@ -35,7 +35,9 @@ from pyspark.sql import types as T
 from .common import map_batches, materialize, tokens
 from .components import components
 
-SHINGLE, TREES, DEPTH, COMPARED = 5, 16, 8, 64
+SHINGLE, TREES, DEPTH = 5, 16, 8
+#: All places of the signature.
+COMPARED = TREES * DEPTH
 #: Share of compared places for a candidate, and how many neighbours before it a class is compared with.
 CANDIDATE, NEIGHBOURS = 0.58, 3
 #: Shingles of a family that one task takes (8 bytes each), and of a block or a chunk of pivots beyond that.

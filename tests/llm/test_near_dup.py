@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from sortilex.llm.components import components, union_find
-from sortilex.llm.near_dup import near_duplicates
+from sortilex.llm.near_dup import candidates, near_duplicates
 
 
 def shingles(text):
@@ -80,3 +81,12 @@ def test_components(spark, local_edges):
         ours.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, groups.values()))
     assert components(spark.createDataFrame([], "a bigint, b bigint"), local_edges).count() == 0
+
+
+def test_candidates_by_the_whole_signature(spark):
+    a = np.arange(128, dtype=np.uint32)
+    near, far = a.copy(), a + 128
+    near[:28] += 1  # 36 of the first 64 places agree, and 100 of all
+    rows = [(c, bytearray(x.tobytes())) for c, x in ((b"a", a), (b"b", near), (b"c", far))]
+    found = candidates(spark.createDataFrame(rows, "cls binary, sig binary")).collect()
+    assert [(bytes(r.a), bytes(r.b)) for r in found] == [(b"a", b"b")]
