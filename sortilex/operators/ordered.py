@@ -33,43 +33,76 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "pos", local_
     return dealt.withColumn(name, own.cast("bigint") - 1).join(starts, "__range").withColumn(name, F.col(name) + F.col("__start")).drop("__range", "__start")
 
 
-def _lookup(probes: DataFrame, index: DataFrame, answer: str, strict: bool, back: bool, local_bytes: int) -> DataFrame:
-    """Merges both sides in one order and fills each probe from the nearest index row on one side of it."""
-    first = 0 if back != strict else 1  # side that sorts first among equal keys: the index's, if equality counts
+def nearest(probes: DataFrame, index: DataFrame, answer: str, names: dict[str, str], local_bytes: int = LOCAL_BYTES) -> DataFrame:
+    """Adds to each probe (klen, key) the ``answer`` of the index rows nearest to it, all in one pass over one order.
+
+    ``names`` has the columns to add, by what they hold: ``at_most`` and ``below`` (the last index row up to, or before, the
+    probe), ``at_least`` and ``above``; null where there is none. Index keys are unique. Frames only ever grow from the
+    partition's start: looking ahead sorts the other way round.
+    """
     probe_type = probes.select(F.struct("*").alias("p")).schema["p"].dataType
-    rows = index.select("klen", "key", F.lit(first).alias("__side"), F.col(answer).alias("__answer"), F.lit(None).cast(probe_type).alias("__probe"))
-    asked = probes.select("klen", "key", F.lit(1 - first).alias("__side"), F.lit(None).cast(index.schema[answer].dataType).alias("__answer"), F.struct("*").alias("__probe"))
-    both, order = rows.unionByName(asked), (F.col("klen"), F.col("key"), F.col("__side"))
-    nearest, edge = (F.last, F.max_by) if back else (F.first, F.min_by)
-    upto = (Window.unboundedPreceding, 0) if back else (0, Window.unboundedFollowing)
-    others = (Window.unboundedPreceding, -1) if back else (1, Window.unboundedFollowing)
+    entry = F.struct("klen", "key", F.col(answer).alias("answer"))
+    rows = index.select("klen", "key", F.lit(0).alias("__side"), entry.alias("__at"), F.lit(None).cast(probe_type).alias("__probe"))
+    asked = probes.select("klen", "key", F.lit(1).alias("__side"), F.lit(None).cast(rows.schema["__at"].dataType).alias("__at"), F.struct("*").alias("__probe"))
+    both, wide = rows.unionByName(asked), True
     if estimated_bytes(both) <= local_bytes:
-        filled = both.withColumn("__found", nearest("__answer", ignorenulls=True).over(Window.orderBy(*order).rowsBetween(*upto)))
+        filled, wide = both.withColumn("__range", F.lit(0)), False
     else:
-        dealt = _ranges(both, order)
-        edges = dealt.where("__answer is not null").groupBy("__range").agg(edge("__answer", F.struct("klen", "key")).alias("__edge"))
-        edges = dealt.select("__range").distinct().join(edges, "__range", "left")
-        carried = edges.select("__range", nearest("__edge", ignorenulls=True).over(Window.orderBy("__range").rowsBetween(*others)).alias("__carried"))
-        within = nearest("__answer", ignorenulls=True).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(*upto))
-        filled = dealt.withColumn("__found", within).join(carried, "__range").withColumn("__found", F.coalesce("__found", "__carried"))
-    return filled.where("__probe is not null").select("__probe.*", F.col("__found").alias(answer))
+        filled = _ranges(both, (F.col("klen"), F.col("key"), F.col("__side")))
+        ends = filled.groupBy("__range").agg(F.max(F.when(F.col("__side") == 0, F.struct("klen", "key", "__at")))["__at"].alias("__last"), F.min(F.when(F.col("__side") == 0, F.struct("klen", "key", "__at")))["__at"].alias("__first"))
+        earlier = F.last("__last", ignorenulls=True).over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+        later = F.last("__first", ignorenulls=True).over(Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1))
+        filled = filled.join(ends.select("__range", earlier.alias("__earlier"), later.alias("__later")), "__range")
+    out = []
+    for with_equal, strict, carried, way in (("at_most", "below", "__earlier", F.asc), ("at_least", "above", "__later", F.desc)):
+        if not {with_equal, strict} & names.keys():
+            continue
+        order = Window.partitionBy("__range").orderBy(way("klen"), way("key"), "__side")  # of equal keys, the index's first
+        beyond = F.last("__at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        filled = filled.withColumn("__beyond", F.coalesce(beyond, F.col(carried)) if wide else beyond)
+        here = F.last(F.when(F.col("__side") == 0, F.struct("__at", "__beyond")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        filled = filled.withColumn(f"__{with_equal}", here).drop("__beyond")
+        near = F.coalesce(F.col(f"__{with_equal}.__at"), F.col(carried)) if wide else F.col(f"__{with_equal}.__at")
+        equal = (F.col(f"__{with_equal}.__at.klen") == F.col("klen")) & (F.col(f"__{with_equal}.__at.key") == F.col("key"))
+        far = F.when(equal, F.col(f"__{with_equal}.__beyond")).otherwise(near)
+        out += [x["answer"].alias(names[kind]) for kind, x in ((with_equal, near), (strict, far)) if kind in names]
+    return filled.where(F.col("__side") == 1).select("__probe.*", *out)
 
 
 def floor_lookup(probes: DataFrame, index: DataFrame, answer: str, strict: bool = False, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """Adds to each probe (klen, key) the ``answer`` of the last index row at or before it (strict: before), else null."""
-    return _lookup(probes, index, answer, strict, True, local_bytes)
+    return nearest(probes, index, answer, {"below" if strict else "at_most": answer}, local_bytes)
 
 
 def ceiling_lookup(probes: DataFrame, index: DataFrame, answer: str, strict: bool = False, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """Adds the ``answer`` of the first index row at or after each probe (strict: after), else null."""
-    return _lookup(probes, index, answer, strict, False, local_bytes)
-
-
-def step(entries: DataFrame, by: int = 1) -> DataFrame:
+    return nearest(probes, index, answer, {"above" if strict else "at_least": answer}, local_bytes)
+
+
+def adjacent(entries: DataFrame, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+    """Adds the keys before and after each entry's (``previous``, ``next``; null past either end), without a join of the table."""
+    before = lambda order: F.lag("key").over(order)
+    after = lambda order: F.lead("key").over(order)
+    if estimated_bytes(entries) <= local_bytes:
+        order = Window.orderBy("klen", "key")
+        return entries.withColumns({"previous": before(order), "next": after(order)})
+    dealt = _ranges(entries, (F.col("klen"), F.col("key")))
+    ends = dealt.groupBy("__range").agg(F.min(F.struct("klen", "key"))["key"].alias("f"), F.max(F.struct("klen", "key"))["key"].alias("l"))
+    seams = Window.orderBy("__range")  # one short row a range
+    ends = ends.select("__range", F.lag("l").over(seams).alias("__earlier"), F.lead("f").over(seams).alias("__later"))
+    own = Window.partitionBy("__range").orderBy("klen", "key")
+    out = dealt.join(ends, "__range").withColumns({"previous": F.coalesce(before(own), "__earlier"), "next": F.coalesce(after(own), "__later")})
+    return out.drop("__range", "__earlier", "__later")
+
+
+def step(entries: DataFrame, by: int = 1, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """Each entry with the key ``by`` places on in the order (negative: back), as ``other``; null past either end."""
-    placed = with_position(entries, "klen", "key")
+    if abs(by) == 1:
+        near, far = ("next", "previous") if by > 0 else ("previous", "next")
+        return adjacent(entries, local_bytes).drop(far).withColumnRenamed(near, "other")
+    placed = with_position(entries, "klen", "key", local_bytes=local_bytes)
     other = placed.select((F.col("pos") - by).alias("pos"), F.col("key").alias("other"))
-    return placed.join(other, "pos", "left")
+    return placed.join(other, "pos", "left").drop("pos")
 
 
 def erase(entries: DataFrame, keys: DataFrame) -> DataFrame:

@@ -369,18 +369,15 @@ def locate_key_end_exclusive(spark, sf_dir):
   arg_min(key, idx) FILTER (WHERE NOT {BELOW.format('key')}) AS at_least, arg_min(key, idx) FILTER (WHERE NOT {AT_MOST.format('key')}) AS above FROM p, k GROUP BY probe""")
 def nearest_keys(spark, sf_dir):
     """Floor and ceiling lookups, with and without equality."""
-    index = _one_block(spark, sf_dir).select("klen", "key", F.col("key").alias("found"))
-    out = _probes(spark, sf_dir)
-    for name, lookup, strict in (("at_most", O.floor_lookup, False), ("below", O.floor_lookup, True), ("at_least", O.ceiling_lookup, False), ("above", O.ceiling_lookup, True)):
-        out = lookup(out, index, "found", strict=strict).withColumn(name, text("found")).drop("found")
+    index = _one_block(spark, sf_dir).select("klen", "key", text("key").alias("found"))
+    out = O.nearest(_probes(spark, sf_dir), index, "found", {c: c for c in ("at_most", "below", "at_least", "above")})
     return out.select(text("key").alias("probe"), "at_most", "below", "at_least", "above")
 
 
 @query(f"SELECT key, lead(key) OVER (ORDER BY strlen(key), key) AS next, lag(key) OVER (ORDER BY strlen(key), key) AS previous FROM ({ENTRIES})")
 def next_and_previous(spark, sf_dir):
-    rows = orders(spark, sf_dir).select("klen", "key")
-    ahead = O.step(rows, 1).select("key", F.col("other").alias("next"))
-    return ahead.join(O.step(rows, -1).select("key", F.col("other").alias("previous")), "key").select(text("key").alias("key"), text("next").alias("next"), text("previous").alias("previous"))
+    found = O.adjacent(orders(spark, sf_dir).select("klen", "key"))
+    return found.select(text("key").alias("key"), text("next").alias("next"), text("previous").alias("previous"))
 
 
 @query(f"SELECT arg_min(key, pos) AS first_key, arg_max(key, pos) AS last_key FROM ({RANKED})")
