@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.storage import map_batches, materialize, new_path, shared_dir
 
-__all__ = ["crc_of_id", "map_batches", "materialize", "new_path", "shared_dir", "tokens", "uniform", "words"]
+__all__ = ["crc_of_id", "map_batches", "materialize", "new_path", "shared_dir", "tokens", "uniform", "words", "worker_cache"]
 
 #: Byte table: A-Z to lower case, everything that cannot be part of a word to a space.
 #: Bytes of 0x80 and above only occur inside non-ASCII characters, which all count as word characters.
@@ -30,6 +33,18 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+Cache = TypeVar("Cache")
+_cache: dict[tuple, object] = {}
+
+
+def worker_cache(key: tuple, make: Callable[[], Cache]) -> Cache:
+    """What this Python process remembers under a key. Workers outlive tasks, so whatever another operator left goes."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]
+
+
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")

@@ -1,17 +1,22 @@
-"""Language-model scoring with a backoff model of all n-grams that occur at least twice.
+"""Language-model scoring by a weighted backoff automaton of all n-grams that occur at least twice.
 
-Every word of every text gets its exact count. N-grams (up to 3 words) are counted over all training texts and kept from
-``LEAST`` occurrences on, whatever the size of the input, so the model grows with the input. Nothing of it is broadcast
-or gathered: it is dealt out by the hash of the n-gram, and each block of texts asks for what it holds. A trip takes a
-block's different codes to their buckets and brings one answer for each back, in the same order:
+States are the empty history, words, and pairs of words; state (u, v) is kept if the pair occurs ``LEAST`` times in the
+training texts. A kept n-gram is an arc out of its history's state. Weights are smoothed by interpolated absolute
+discounting: with c the counts, the arc of w out of state h has probability (c(hw) - D) / c(h) + fail(h) * p(w | h'), where
+h' is h without its first word, and every other word takes the failure arc to h' at weight
+fail(h) = 1 - sum over h's arcs of (c(hw) - D) / c(h). Words alone, out of the empty history, are add-``alpha``, so each
+state's probabilities sum to 1. A text runs through the automaton once, from left to right, from the empty history.
 
-1. words and pairs: their counts;
-2. triples of which both pairs are kept (others can't be kept): their counts;
-3. histories: the sums over their kept continuations that make their backoff weights. Of the blocks that hold an n-gram
-   one owns it and adds its share.
+The automaton grows with the corpus and is never gathered or broadcast: it is dealt out by n-gram, counted in its buckets,
+and each block of texts gets back the part that its own texts can walk through. Everything sent is a whole number, so
+results are the same in any order:
 
-A text's score adds up, for each token, the absolutely discounted log probability after the longest kept history, with
-the backoff weights of the longer ones; words alone are add-``alpha``. Codes are 64-bit hashes.
+1. a block sends its different pairs and triples with their counts, a packet a bucket, and gets back the counts of kept
+   ones and each pair's failure mass; buckets hand on each word's failure mass;
+2. a block sends its different words with their counts, and gets back their counts and failure masses.
+
+A word is known by a 64-bit code, a word after a known history by 32 bits of it. Blocks and buckets grow with the square
+root of the input beyond ``EVEN_BYTES``, so that packets don't shrink as their number grows.
 
 Edge cases. Null or empty text: the end token alone. Null id: counts as empty text for the split. Repeated rows each
 count and are scored. No training texts: every token is unknown and all of them have the same weight. Empty table: empty
@@ -31,30 +36,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize, tokens
+from ..sources.storage import estimated_bytes
+from .common import map_batches, materialize, tokens, worker_cache
 
 ALPHA, DISCOUNT = 0.1, 0.5
 #: Occurrences from which on an n-gram is kept.
 LEAST = 2
 #: Bytes of text that a block takes (or one text), and tokens of all texts for each bucket.
 BLOCK_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 1_000_000, 64
-CACHE_WORDS = 400_000
+EVEN_BYTES = 64 << 30
+CACHE_WORDS = 300_000
 
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_word_code: dict[bytes, int] = {}
+_PARTS = "block bigint, bucket int, parts array<binary>, counted bigint"
 
 
-def _word_codes(own: list[bytes]) -> list[int]:
-    """Codes of words are odd, those of pairs even."""
-    if len(_word_code) > CACHE_WORDS:
-        _word_code.clear()
-    out = list(map(_word_code.get, own, repeat(0)))
-    for i, c in enumerate(out):
-        if not c:
-            out[i] = _word_code[own[i]] = xxhash.xxh64_intdigest(own[i]) | 1
+def _word_codes(own: list[bytes], known: dict[bytes, int]) -> list[int]:
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    out = list(map(known.get, own, repeat(0)))
+    if 0 in out:
+        for i, c in enumerate(out):
+            if not c:
+                out[i] = known[own[i]] = xxhash.xxh64_intdigest(own[i]) or 1
     return out
 
 
@@ -64,181 +71,196 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))) & ~np.uint64(1)
+    return x ^ (x >> np.uint64(32))
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, compressed byte place by byte place."""
-    return len(a).to_bytes(8, "little") + pa.compress(a.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+    """Whole numbers from 0, in as few bytes each as the largest needs, compressed byte place by byte place."""
+    if not len(a):
+        return b""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(a).to_bytes(7, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes, kind: type = np.int64) -> np.ndarray:
+def _unpack(blob: bytes) -> np.ndarray:
     if not blob:
-        return np.empty(0, kind)
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+        return np.empty(0, np.int64)
+    n, width = int.from_bytes(blob[:7], "little"), blob[7]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(blob[8:], decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
 
 
-def _pack_sorted(codes: np.ndarray) -> bytes:
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """64-bit codes in ascending order."""
     return _pack(np.diff(codes, prepend=np.uint64(0)))
 
 
-def _unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
+def _unpack_codes(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob).view(np.uint64), dtype=np.uint64)
+
+
+def _upper(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(32)).astype("<u4")
+
 
+def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by place."""
+    return np.bincount(at, values, n).astype(np.int64)
 
-def encode(docs: DataFrame, kept: list[T.StructField]) -> DataFrame:
+
+def encode(docs: DataFrame, kept: list[T.StructField], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of texts: block, rows (the kept columns), n and train tokens, sizes, held, words (different codes) and ids (places in words)."""
-    row = T.StructType(kept)
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("n", T.LongType()), T.StructField("train", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "held", "words", "ids"))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(kept))), T.StructField("n", T.LongType()), T.StructField("train", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "held", "words", "ids"))])
+
+    def finish(block: int, parts: list[pa.RecordBatch], codes: list[np.ndarray]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        sizes = np.array([len(c) for c in codes], np.int64)
+        words, ids, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small numbers for frequent words
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        held = table.column(table.num_columns - 1).to_numpy().astype(bool)
+        rows = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns], fields=[pa.field(f.name, c.type) for f, c in zip(kept, table.columns, strict=True)])
+        listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        values = [pa.array([block], pa.int64()), listed, pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[~held].sum())], pa.int64())]
+        values += [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack(held.astype(np.int64)), words[order].tobytes(), _pack(place[ids]))]
+        return pa.RecordBatch.from_arrays(values, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 40
+        block, known = TaskContext.get().partitionId() << 40, worker_cache(("word codes",), dict)
+        parts, codes, taken = [], [], 0
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            lo, held_bytes = 0, 0
-            cuts = []
-            for i, s in enumerate(texts):
-                held_bytes += len(s.as_buffer()) if s.is_valid else 0
-                if held_bytes > BLOCK_BYTES or i + 1 == len(texts):
-                    cuts.append((lo, i + 1))
-                    lo, held_bytes = i + 1, 0
-            for lo, hi in cuts:
-                part = batch.slice(lo, hi - lo)
-                codes, sizes = [], []
-                for s in part.column(part.num_columns - 1):
-                    own = tokens(s.as_buffer().to_pybytes()) if s.is_valid else []
-                    codes.append(np.append(np.array(_word_codes(own), np.uint64), _END))
-                    sizes.append(len(own) + 1)
-                words, ids, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-                order = np.argsort(-n, kind="stable")  # small numbers for frequent words
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                sizes = np.array(sizes, np.int64)
-                held = part.column(part.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool)
-                rows = pa.StructArray.from_arrays(part.columns[:-1], fields=[pa.field(f.name, c.type) for f, c in zip(kept, part.columns, strict=False)])
-                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-                values = [pa.array([block], pa.int64()), listed, pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[~held].sum())], pa.int64())]
-                values += [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack(held.astype(np.int64)), _pack(words[order]), _pack(place[ids]))]
-                block += 1
-                yield pa.RecordBatch.from_arrays(values, names=schema.names)
+            lo = 0
+            for i, s in enumerate(batch.column(batch.num_columns - 1)):
+                own = tokens(s.as_buffer().to_pybytes()) if s.is_valid else []
+                codes.append(np.append(np.array(_word_codes(own, known), np.uint64), _END))
+                taken += len(s.as_buffer()) if s.is_valid else 0
+                if taken >= block_bytes:
+                    yield finish(block, [*parts, batch.slice(lo, i + 1 - lo).select(list(range(len(kept))))], codes)
+                    block, lo, parts, codes, taken = block + 1, i + 1, [], [], 0
+            if lo < batch.num_rows:
+                parts.append(batch.slice(lo).select(list(range(len(kept)))))
+        if codes:
+            yield finish(block, parts, codes)
 
     return map_batches(docs, run, schema)
 
 
-class Block:
-    """A block's n-grams, and what is known of them after each trip."""
+class Texts:
+    """A block's texts as word numbers, with their different pairs and triples in the order of the packets."""
+
+    def __init__(self, row: dict) -> None:
+        self.sizes, self.ids = _unpack(row["sizes"]), _unpack(row["ids"])
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.train = np.repeat(_unpack(row["held"]) == 0, self.sizes)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.ids[self.train], minlength=len(self.words))
 
-    def __init__(self, sizes: bytes, held: bytes, words: bytes, ids: bytes) -> None:
-        self.sizes, self.words, self.ids = _unpack(sizes), _unpack(words, np.uint64), _unpack(ids)
-        self.train = np.repeat(_unpack(held) == 0, self.sizes)
+    def find(self, bits: int) -> Texts:
+        n = len(self.words)
         inner = np.ones(len(self.ids), bool)
         inner[np.cumsum(self.sizes) - 1] = False
         self.first = np.flatnonzero(inner)  # where pairs begin
-        h = self.words[self.ids]
-        self.codes, at = np.unique(np.concatenate((self.words, _mix(h[self.first], h[self.first + 1]))), return_inverse=True)
-        self.word_at, self.pair_at = at[: len(self.words)], at[len(self.words) :]
-
-    def counts(self) -> np.ndarray:
-        n = np.bincount(self.pair_at[self.train[self.first]], minlength=len(self.codes)).astype(np.int64)
-        n[self.word_at] = np.bincount(self.ids[self.train], minlength=len(self.words))
-        return n
-
-    def learn(self, answer: np.ndarray, least_word: float) -> None:
-        """Counts of words and pairs; finds the triples that can be kept."""
-        self.own, count = (answer & 1) == 1, answer >> 1
-        self.c1 = count[self.word_at]
-        fine = (self.c1 >= least_word)[self.ids]
-        self.c2 = np.where(fine[self.first] & fine[self.first + 1], count[self.pair_at], 0)
-        self.v, self.w = self.ids[self.first], self.ids[self.first + 1]
-        some = self.c2 > 0
-        self.next = np.flatnonzero((np.diff(self.first) == 1) & some[:-1] & some[1:])  # pairs (u, v) of triples; (v, w) follows
-        third = self.words[self.w[self.next + 1]]
-        self.codes3, self.triple_at = np.unique(_mix(self.codes[self.pair_at[self.next]], third), return_inverse=True)
-
-    def counts3(self) -> np.ndarray:
-        return np.bincount(self.triple_at[self.train[self.first[self.next]]], minlength=len(self.codes3)).astype(np.int64)
-
-    def learn3(self, answer: np.ndarray, denominator: float, alpha: float) -> None:
-        """Counts of triples, and the probabilities that don't need backoff weights."""
-        self.own3, self.c3 = (answer & 1) == 1, (answer >> 1)[self.triple_at]
-        self.p1 = (self.c1 + alpha) / denominator if denominator > 0 else np.ones(len(self.c1))
-        self.p2 = np.maximum(self.c2 - DISCOUNT, 0) / np.maximum(self.c1[self.v], 1)
-        self.p3 = np.maximum(self.c3 - DISCOUNT, 0) / np.maximum(self.c2[self.next], 1)
-        asked = np.zeros(len(self.codes), bool)
-        asked[self.word_at[self.v[self.c2 > 0]]] = True
-        asked[self.word_at[self.v[self.c1[self.v] >= LEAST]]] = True
-        asked[self.pair_at[self.c2 > 0]] = True
-        self.asked = np.flatnonzero(asked)
-
-    def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """This block's shares of the asked histories' sums: of kept continuations, and of their shorter histories' ones."""
-        held, lower = np.zeros(len(self.codes)), np.zeros(len(self.codes))
-        one = np.zeros(len(self.codes), np.int64)
-        one[self.pair_at] = np.arange(len(self.pair_at))
-        j = one[np.unique(self.pair_at[(self.c2 > 0) & self.own[self.pair_at]])]
-        np.add.at(held, self.word_at[self.v[j]], self.p2[j])
-        np.add.at(lower, self.word_at[self.v[j]], self.p1[self.w[j]])
-        one = np.zeros(len(self.codes3), np.int64)
-        one[self.triple_at] = np.arange(len(self.triple_at))
-        k = one[np.unique(self.triple_at[(self.c3 > 0) & self.own3[self.triple_at]])]
-        np.add.at(held, self.pair_at[self.next[k]], self.p3[k])
-        np.add.at(lower, self.pair_at[self.next[k]], self.p2[self.next[k] + 1])
-        return held[self.asked], lower[self.asked]
-
-    def score(self, held: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known tokens, score by words alone, and score of each text."""
-        backoff = np.zeros(len(self.codes))
-        backoff[self.asked] = np.where(held > 0, np.log10(np.maximum(1e-12, 1 - held) / np.maximum(1e-12, 1 - lower)), 0.0)
-        base = np.log10(self.p1)[self.ids]
-        some2, some3 = self.c2 > 0, self.c3 > 0
-        log2 = np.log10(np.where(some2, self.p2, 1.0))
-        weight = base.copy()
-        weight[self.first + 1] += np.where(some2, log2 - base[self.first + 1], backoff[self.word_at[self.v]])
-        after = np.zeros(len(self.first))  # by the pair (v, w) that ends the triple
-        triples = np.flatnonzero(np.diff(self.first) == 1)
-        after[triples + 1] = np.where(some2[triples], backoff[self.pair_at[triples]], 0.0)
-        k = np.flatnonzero(some3)
-        after[self.next[k] + 1] = np.log10(self.p3[k]) - log2[self.next[k] + 1]
-        weight[self.first + 1] += after
-        starts = np.cumsum(self.sizes) - self.sizes
-        return np.add.reduceat((self.c1[self.ids] > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(weight, starts)
-
-
-def _count(codes: np.ndarray, values: list[np.ndarray], least: float) -> tuple[list[np.ndarray], int]:
-    """2 * count (0 for n-grams below least), plus 1 for the block that owns the code; and how many words occur."""
-    different, first, at = np.unique(codes, return_index=True, return_inverse=True)
-    n = np.bincount(at, values[0]).astype(np.int64)
-    word = (different & np.uint64(1)) == 1
-    occurring = int((word & (n > 0)).sum())
-    n[~word & (n < least)] = 0
-    out = 2 * n[at]
-    out[first] += 1
-    return [out], occurring
-
-
-def _sum(codes: np.ndarray, values: list[np.ndarray], least: float) -> tuple[list[np.ndarray], int]:
-    _, at = np.unique(codes, return_inverse=True)
-    return [np.bincount(at, v)[at] for v in values], 0
-
-
-def _ask(state: DataFrame, request: Callable[[dict], tuple], bits: int) -> DataFrame:
-    """bucket, block, codes and two values: a block's different codes (in order), cut by their first bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                codes, x, y = request(row)
-                ends = np.searchsorted(codes >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), "right")
-                cuts = [(b, lo, hi) for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
-                if cuts:
-                    blobs = [[f(v[lo:hi]) for _, lo, hi in cuts] if v is not None else [None] * len(cuts) for v, f in ((codes, _pack_sorted), (x, _pack), (y, _pack))]
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, *_ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), *(pa.array(v, pa.binary()) for v in blobs)], names=["bucket", "block", "codes", "x", "y"])
+        different, at = np.unique(self.ids[self.first] * n + self.ids[self.first + 1], return_inverse=True)
+        u, v = np.divmod(different, max(1, n))
+        bucket = (_mix(self.words[u], self.words[v]) >> np.uint64(64 - bits)).astype(np.int64)
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(self.words)] = np.arange(n)
+        order = np.argsort(bucket * n + rank[u], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.u, self.v, self.bucket, self.pair_at = u[order], v[order], bucket[order], place[at]
+        self.next = np.flatnonzero(np.diff(self.first) == 1)  # pairs (u, v) that the pair (v, w) follows
+        triples, self.triple_at = np.unique(self.pair_at[self.next] * n + self.ids[self.first[self.next] + 2], return_inverse=True)
+        self.history, self.w = np.divmod(triples, max(1, n))
+        return self
+
+    def pair_counts(self) -> np.ndarray:
+        return np.bincount(self.pair_at[self.train[self.first]], minlength=len(self.u))
+
+    def triple_counts(self) -> np.ndarray:
+        return np.bincount(self.triple_at[self.train[self.first[self.next]]], minlength=len(self.w))
+
+    def packets(self, bits: int) -> Iterator[tuple[int, list[bytes]]]:
+        """Bucket and parts: first words, their numbers of pairs, second words, counts, numbers of triples, third words, counts."""
+        first, second, third = self.words[self.u], _upper(self.words[self.v]), _upper(self.words[self.w])
+        n2, n3, after = self.pair_counts(), self.triple_counts(), np.bincount(self.history, minlength=len(self.u))
+        ends = np.searchsorted(self.bucket, np.arange(1 << bits), "right")
+        ends3 = np.concatenate(([0], np.cumsum(after)))
+        for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if hi > lo:
+                head = np.flatnonzero(np.concatenate(([True], first[lo + 1 : hi] != first[lo : hi - 1])))
+                lo3, hi3 = ends3[lo], ends3[hi]
+                yield b, [_pack_codes(first[lo:hi][head]), _pack(np.diff(np.append(head, hi - lo))), second[lo:hi].tobytes(), _pack(n2[lo:hi]), _pack(after[lo:hi]), third[lo3:hi3].tobytes(), _pack(n3[lo3:hi3])]
+
+
+def count_bucket(packets: list[list[bytes]], least: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Each packet's answer (counts of kept pairs, their failure masses, counts of kept triples), and words' failure masses.
+
+    A mass is the sum of 2 * count - 1 over the arcs kept.
+    """
+    heads = [(_unpack_codes(p[0]), _unpack(p[1])) for p in packets]
+    second, after = [np.frombuffer(p[2], "<u4") for p in packets], [_unpack(p[4]) for p in packets]
+    third = [np.frombuffer(p[5], "<u4") for p in packets]
+    sizes, sizes3 = [len(s) for s in second], [len(t) for t in third]
+    words, at = np.unique(np.concatenate([np.repeat(c, n) for c, n in heads]), return_inverse=True)
+    pairs, at = np.unique(at.astype(np.uint64) << np.uint64(32) | np.concatenate(second), return_inverse=True)
+    n2 = _sum(at, np.concatenate([_unpack(p[3]) for p in packets]), len(pairs))
+    n2[n2 < least] = 0
+    history = np.repeat(at, np.concatenate(after))
+    triples, at3 = np.unique(history.astype(np.uint64) << np.uint64(32) | np.concatenate(third), return_inverse=True)
+    n3 = _sum(at3, np.concatenate([_unpack(p[6]) for p in packets]), len(triples))
+    n3[n3 < least] = 0
+    mass2 = _sum((triples >> np.uint64(32)).astype(np.int64), np.maximum(2 * n3 - 1, 0), len(pairs))
+    mass1 = _sum((pairs >> np.uint64(32)).astype(np.int64), np.maximum(2 * n2 - 1, 0), len(words))
+    cuts, cuts3 = np.cumsum(sizes)[:-1], np.cumsum(sizes3)[:-1]
+    answers = zip(np.split(n2[at], cuts), np.split(mass2[at], cuts), np.split(n3[at3], cuts3), strict=True)
+    return [[_pack(x) for x in a] for a in answers], words[mass1 > 0], mass1[mass1 > 0]
+
+
+class Automaton:
+    """The part of the automaton that a block's texts can walk through.
+
+    ``fail1`` and ``fail2`` are the failure arcs' weights by word and pair, ``arc1`` to ``arc3`` the arcs' probabilities by
+    word, pair and triple; 0 where there is no arc.
+    """
 
-    return map_batches(state, run, "bucket int, block bigint, codes binary, x binary, y binary")
+    def __init__(self, texts: Texts, c1: np.ndarray, mass1: np.ndarray, c2: np.ndarray, mass2: np.ndarray, c3: np.ndarray, total: int, different: int, alpha: float) -> None:
+        self.texts, self.known, self.state2 = texts, c1 > 0, c2 > 0
+        self.fail1 = 1 - mass1 / np.maximum(2 * c1, 1)
+        self.fail2 = np.where(self.state2, 1 - mass2 / np.maximum(2 * c2, 1), 1.0)
+        self.arc1 = (c1 + alpha) / (total + alpha * (different + 1))
+        arc2 = np.maximum(c2 - DISCOUNT, 0) / np.maximum(c1[texts.u], 1)
+        self.arc2 = np.where(self.state2, arc2 + self.fail1[texts.u] * self.arc1[texts.v], 0)
+        arc3 = np.maximum(c3 - DISCOUNT, 0) / np.maximum(c2[texts.history], 1)
+        self.arc3 = np.where(c3 > 0, arc3, 0)
+
+    def walk(self) -> np.ndarray:
+        """Each token's probability, on one way through all texts.
+
+        The state before a token is the longest kept history, so it follows from the two words before, and all tokens
+        take their arcs, and the failure arcs before them, together.
+        """
+        t = self.texts
+        p = self.arc1[t.ids]  # out of the empty history
+        failed = self.fail1[t.ids[t.first]] * p[t.first + 1]
+        arc = self.arc2[t.pair_at]
+        p[t.first + 1] = np.where(arc > 0, arc, failed)  # out of a word
+        at = t.first[t.next] + 2
+        p[at] = self.arc3[t.triple_at] + self.fail2[t.pair_at[t.next]] * p[at]  # out of a pair; no state fails at weight 1
+        return p
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, log10 probability by words alone, and by the automaton, of each text."""
+        t = self.texts
+        starts = np.cumsum(t.sizes) - t.sizes
+        per_text = lambda x: np.add.reduceat(x, starts)
+        return per_text(self.known[t.ids].astype(np.int64)), per_text(np.log10(self.arc1)[t.ids]), per_text(np.log10(self.walk()))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -248,93 +270,93 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {c: batch.column(c)[i].as_py() for c in names}
 
 
-def _trip(state: DataFrame, name: str, request: Callable[[dict], tuple], answer: Callable, kind: type, bits: int, least: float = 0) -> DataFrame:
-    """block and its answers by bucket; block -1 has what the buckets counted."""
+def _sent(rows: list[tuple[int, int, list[bytes], int]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.int64())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "bucket", "parts", "counted"])
+
 
+def _by_first_bits(codes: np.ndarray, values: np.ndarray, bits: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Codes in ascending order and their values, a packet for each bucket."""
+    ends = np.searchsorted(codes >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), "right").tolist()
+    for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        if hi > lo:
+            yield b, [_pack_codes(codes[lo:hi]), _pack(values[lo:hi])]
+
+
+def _buckets(sent: DataFrame, answer: Callable[[int, list[dict]], Iterator[tuple]], name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packets = (r for batch in batches for r in _rows(batch))
         for bucket, own in groupby(packets, lambda r: r["bucket"]):
-            codes, xs, ys, blocks = [], [], [], []
-            for r in own:
-                codes.append(_unpack_sorted(r["codes"]))
-                xs.append(_unpack(r["x"], kind))
-                if r["y"] is not None:
-                    ys.append(_unpack(r["y"], kind))
-                blocks.append(r["block"])
-            sizes = np.array([len(c) for c in codes])
-            values = [np.concatenate(v) for v in (xs, ys) if v]
-            found, counted = answer(np.concatenate(codes), values, least)
-            cuts = np.cumsum(sizes)[:-1]
-            parts = [[_pack(p) for p in np.split(v, cuts)] for v in found]
-            x, y = parts[0], parts[1] if len(parts) > 1 else [None] * len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([*blocks, -1], pa.int64()), pa.array([bucket] * (len(blocks) + 1), pa.int32()), pa.array([*x, None], pa.binary()), pa.array([*y, None], pa.binary()), pa.array([0] * len(blocks) + [counted], pa.int64())], names=["block", "bucket", "x", "y", "counted"])
-
-    asked = _ask(state, request, bits).repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "block")
-    return materialize(map_batches(asked, run, "block bigint, bucket int, x binary, y binary, counted bigint"), name)
+            yield _sent(list(answer(bucket, list(own))))
 
+    return materialize(map_batches(sent.repartition("bucket").sortWithinPartitions("bucket", "block"), run, _PARTS), name)
 
-def _answers(found: DataFrame, name: str) -> DataFrame:
-    parts = found.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "x", "y"))).alias("p"))
-    return parts.select("block", F.col("p.x").alias(f"{name}x"), F.col("p.y").alias(f"{name}y"))
 
+def _answers(found: DataFrame, name: str) -> DataFrame:
+    parts = found.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "parts"))).alias("p"))
+    return parts.select("block", F.col("p.parts").alias(name))
 
-def _joined(parts: list[bytes] | None, kind: type = np.int64) -> np.ndarray:
-    return np.concatenate([_unpack(p, kind) for p in parts]) if parts else np.empty(0, kind)
 
+def _joined(packets: list[list[bytes]] | None, k: int) -> np.ndarray:
+    return np.concatenate([_unpack(p[k]) for p in packets]) if packets else np.empty(0, np.int64)
 
-def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", word_share: float = 0.0, context_share: float = 0.0, ngram_share: float = 0.0, alpha: float = ALPHA) -> DataFrame:
-    """``keep``, held_out, n_tokens, n_known, train_tokens, base_score and score; learns from rows not held out.
 
-    Shares other than 0 leave out n-grams that are rarer than that share of the tokens, or hold words that are.
-    """
+def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", least: int = LEAST, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keep``, held_out, n_tokens, n_known, train_tokens, base_score and score; learns from rows not held out."""
     keep = tuple(c for c in keep if c not in {*RESULT, "held_out"})
     rows = docs.select(*keep, held_out.alias("held_out"), F.col(text_col).alias("__lm_text"))
     kept = rows.schema.fields[:-1]
-    blocks = materialize(encode(rows, kept), "lm-blocks")
+    growth = max(1.0, math.sqrt(estimated_bytes(docs) / EVEN_BYTES))
+    blocks = materialize(encode(rows, kept, int(growth * block_bytes)), "lm-blocks")
     n, total = (int(x or 0) for x in blocks.agg(F.sum("n"), F.sum("train")).first())
-    bits = (max(LEAST_BUCKETS, math.ceil(n / BUCKET_TOKENS)) - 1).bit_length()
-    least, least_word = max(LEAST, ngram_share * total), max(1, word_share * total, context_share * total)
+    bits = (max(LEAST_BUCKETS, math.ceil(n / (growth * BUCKET_TOKENS))) - 1).bit_length()
     texts = blocks.select("block", "sizes", "held", "words", "ids")
 
-    def begin(r: dict) -> Block:
-        return Block(r["sizes"], r["held"], r["words"], r["ids"])
-
-    def ask1(r: dict) -> tuple:
-        b = begin(r)
-        return b.codes, b.counts(), None
-
-    found = _trip(texts, "lm-pairs", ask1, _count, np.int64, bits, least)
-    different = int(found.where("block < 0").agg(F.sum("counted")).first()[0] or 0)
-    denominator = total + alpha * (different + 1)
-    answers = _answers(found, "a")
-
-    def ask2(r: dict) -> tuple:
-        b = begin(r)
-        b.learn(_joined(r["ax"]), least_word)
-        return b.codes3, b.counts3(), None
-
-    answers3 = _answers(_trip(texts.join(answers, "block"), "lm-triples", ask2, _count, np.int64, bits, least), "b")
-
-    def learned(r: dict) -> Block:
-        b = begin(r)
-        b.learn(_joined(r["ax"]), least_word)
-        b.learn3(_joined(r["bx"]), denominator, alpha)
-        return b
-
-    def ask3(r: dict) -> tuple:
-        b = learned(r)
-        return b.codes[b.asked], *b.sums()
-
-    sums = _answers(_trip(texts.join(answers, "block").join(answers3, "block", "left"), "lm-sums", ask3, _sum, np.float64, bits), "s")
+    def send_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for batch in batches for r in _rows(batch)):
+            yield _sent([(r["block"], b, parts, 0) for b, parts in Texts(r).find(bits).packets(bits)])
+
+    def count_ngrams(bucket: int, own: list[dict]) -> Iterator[tuple]:
+        answers, words, mass = count_bucket([r["parts"] for r in own], least)
+        yield from ((r["block"], bucket, a, 0) for r, a in zip(own, answers, strict=True))
+        yield from ((-1, b, parts, 0) for b, parts in _by_first_bits(words, mass, bits))
+
+    ngrams = _buckets(map_batches(texts, send_ngrams, _PARTS), count_ngrams, "lm-ngrams")
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for batch in batches for r in _rows(batch)):
+            t = Texts(r)
+            order = np.argsort(t.words)
+            yield _sent([(r["block"], b, parts, 0) for b, parts in _by_first_bits(t.words[order], t.word_counts()[order], bits)])
+
+    def count_words(bucket: int, own: list[dict]) -> Iterator[tuple]:
+        codes, values = [_unpack_codes(r["parts"][0]) for r in own], [_unpack(r["parts"][1]) for r in own]
+        sizes, counts = [len(c) for c in codes], np.repeat([r["block"] >= 0 for r in own], [len(c) for c in codes])
+        different, at = np.unique(np.concatenate(codes), return_inverse=True)
+        values = np.concatenate(values)
+        c1, mass = _sum(at, values * counts, len(different)), _sum(at, values * ~counts, len(different))
+        yield -1, bucket, [], int((c1 > 0).sum())
+        for r, k in zip(own, np.split(at, np.cumsum(sizes)[:-1]), strict=True):
+            if r["block"] >= 0:
+                yield r["block"], bucket, [_pack(c1[k]), _pack(mass[k])], 0
+
+    shares = ngrams.where("block < 0")
+    words = _buckets(map_batches(texts, send_words, _PARTS).unionByName(shares), count_words, "lm-words")
+    different = int(words.agg(F.sum("counted")).first()[0] or 0)
     schema = T.StructType([*kept, *(T.StructField(f"__lm_{c}", T.LongType() if c.startswith("n_") else T.DoubleType()) for c in ("n_tokens", "n_known", "base_score", "score"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, r in enumerate(_rows(batch)):
-                b = learned(r)
-                known, base, score = b.score(_joined(r["sx"], np.float64), _joined(r["sy"], np.float64))
+                t = Texts(r).find(bits)
+                c1, mass1 = np.empty(len(t.words), np.int64), np.empty(len(t.words), np.int64)
+                order = np.argsort(t.words)
+                c1[order], mass1[order] = _joined(r["words_found"], 0), _joined(r["words_found"], 1)
+                known, base, score = Automaton(t, c1, mass1, *(_joined(r["found"], k) for k in range(3)), total, different, alpha).scores()
                 own = batch.column("rows").slice(i, 1).flatten()
-                yield pa.RecordBatch.from_arrays([*own.flatten(), pa.array(b.sizes), pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*own.flatten(), pa.array(t.sizes), pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
 
-    scored = map_batches(blocks.drop("n", "train").join(answers, "block").join(answers3, "block", "left").join(sums, "block", "left"), run, schema)
+    walked = blocks.drop("n", "train").join(_answers(words, "words_found"), "block").join(_answers(ngrams, "found"), "block", "left")
+    scored = map_batches(walked, run, schema)
     return scored.select(*keep, "held_out", F.col("__lm_n_tokens").alias("n_tokens"), F.col("__lm_n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("__lm_base_score").alias("base_score"), F.col("__lm_score").alias("score"))

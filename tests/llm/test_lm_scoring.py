@@ -19,41 +19,40 @@ def held(i):
 
 
 class Brute:
-    """The same model from its definition: recursive backoff over dictionaries."""
+    """The same model from its definition: recursive interpolation over dictionaries."""
 
-    def __init__(self, texts, word_share, context_share, ngram_share):
+    def __init__(self, texts, least=2):
         self.c = Counter(w for t in texts for w in t)
         self.n, self.v = sum(self.c.values()), len(self.c)
-        context = {w for w, k in self.c.items() if k >= max(1, context_share * self.n) and k >= word_share * self.n}
-        self.grams = {}
+        self.grams, self.arcs = {}, {}
         for size in (2, 3):
             seen = Counter(tuple(t[i : i + size]) for t in texts for i in range(len(t) - size + 1))
-            self.grams |= {g: k for g, k in seen.items() if k >= max(2, ngram_share * self.n) and set(g) <= context and (size == 2 or g[:2] in self.grams)}
+            self.grams |= {g: k for g, k in seen.items() if k >= least}
+        for g in self.grams:
+            self.arcs.setdefault(g[:-1], []).append(g)
 
     def p(self, h, w):
         if not h:
             return (self.c[w] + ALPHA) / (self.n + ALPHA * (self.v + 1))
-        own = [g for g in self.grams if g[:-1] == h]
-        total = self.c[h[0]] if len(h) == 1 else self.grams.get(h)
-        if not own:
+        total = self.c[h[0]] if len(h) == 1 else self.grams.get(h, 0)
+        if not total:
             return self.p(h[1:], w)
-        if (*h, w) in self.grams:
-            return (self.grams[*h, w] - DISCOUNT) / total
-        rest = 1 - sum(self.grams[g] - DISCOUNT for g in own) / total
-        return rest / (1 - sum(self.p(h[1:], g[-1]) for g in own)) * self.p(h[1:], w)
+        fail = 1 - sum(self.grams[g] - DISCOUNT for g in self.arcs.get(h, ())) / total
+        return max(0, self.grams.get((*h, w), 0) - DISCOUNT) / total + fail * self.p(h[1:], w)
 
     def score(self, t):
         return sum(math.log10(self.p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t))
 
 
-@pytest.mark.parametrize("shares", [(1e-6, 1e-6, 1e-6), (0.02, 0.02, 0.005)])
-def test_matches_brute_force(docs, rows, shares):
+@pytest.mark.parametrize("options", [{}, {"least": 3, "block_bytes": 500}])
+def test_matches_brute_force(docs, rows, options):
     small = [(i, t) for i, t, *_ in rows if len(t or "") < 5000]
     train = [split(t) for i, t in small if not held(i)]
-    model = Brute(train, *shares)
-    out = lm_scores(docs.where("coalesce(length(text), 0) < 5000"), crc_of_id() % 10 == 0, ("doc_id", "text"), word_share=shares[0], context_share=shares[1], ngram_share=shares[2])
-    got = {(r.doc_id, r.text): r for r in out.collect()}
-    assert len(got) == len(set(small))
+    model = Brute(train, options.get("least", 2))
+    out = lm_scores(docs.where("coalesce(length(text), 0) < 5000"), crc_of_id() % 10 == 0, ("doc_id", "text"), **options)
+    found = out.collect()
+    got = {(r.doc_id, r.text): r for r in found}
+    assert len(got) == len(set(small)) and len(found) == len(small)
     for i, t in small:
         r, own = got[i, t], split(t)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(own), sum(model.c[w] > 0 for w in own), model.n)
@@ -61,6 +60,13 @@ def test_matches_brute_force(docs, rows, shares):
         assert r.score == pytest.approx(model.score(own), rel=1e-9)
 
 
+def test_each_state_sums_to_one(rows):
+    model = Brute([split(t) for _, t, *_ in rows[:30]])
+    for h in [(), *list(model.arcs)[:40]]:
+        unseen = ALPHA / (model.n + ALPHA * (model.v + 1))  # the share of all words never seen
+        assert sum(model.p(h, w) for w in model.c) + model.p(h, b"never seen") == pytest.approx(1 if unseen else 0, rel=1e-9)
+
+
 def test_better_than_the_base_on_held_out_texts(spark):
     from sortilex.llm.queries import op8_lm_scoring
 
@@ -82,7 +88,7 @@ def test_rare_ngrams_count_in_a_large_table(spark):
     asked = ["one seldom phrase", "w1 one seldom w2 phrase", "unknown seldom"]
     df = spark.createDataFrame(list(enumerate(asked + texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in lm_scores(df, F.col("doc_id") < len(asked)).where("held_out").collect()}
-    model = Brute([split(t) for t in texts], 0, 0, 0)
+    model = Brute([split(t) for t in texts])
     assert (b"one", b"seldom", b"phrase") in model.grams
     for i, t in enumerate(asked):
         assert got[i].score == pytest.approx(model.score(split(t)), rel=1e-9)
