@@ -12,6 +12,7 @@ are not read; a kept column named like a result column is replaced by the result
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,14 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, map_batches, materialize
+from .common import WORD_TABLE, map_batches, materialize, worker_cache
 
 WINDOW = 8
-#: Bytes of item text in one automaton. Larger benchmarks are scanned in several blocks, one pass each.
-BLOCK_BYTES = 16 << 20
-
-_built: dict[int, ahocorasick.Automaton] = {}
-
+#: Bytes of different patterns in one automaton, which takes some 40 times as many in a worker. Larger benchmarks are
+#: scanned in several blocks, one pass each.
+BLOCK_BYTES = 8 << 20
 
 def windows(text: bytes, window: int) -> list[tuple[bytes, int]]:
     """Patterns of one item with their number of words."""
@@ -37,32 +36,32 @@ def windows(text: bytes, window: int) -> list[tuple[bytes, int]]:
     return [(b" " + b" ".join(w[i : i + n]) + b" ", n) for i in range(len(w) - n + 1)] if n else []
 
 
-def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[dict[bytes, tuple[int, list[str]]]]:
+def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[dict[bytes, tuple[int, set[str]]]]:
     """Pattern tables of bounded size; items stream to the driver one partition at a time."""
-    block: dict[bytes, tuple[int, list[str]]] = {}
-    size = 0
+    block: dict[bytes, tuple[int, set[str]]] = {}
+    size = full = 0
     for item_id, text in items.toLocalIterator():
-        raw = text.encode()
-        for pattern, n in windows(raw, window):
-            ids = block.setdefault(pattern, (n, []))[1]
-            if item_id not in ids:
-                ids.append(item_id)
-        size += len(raw)
-        if size >= block_bytes:
-            yield block
-            block, size = {}, 0
-    yield block
-
-
-def _automaton(key: int, block: dict[bytes, tuple[int, list[str]]]) -> ahocorasick.Automaton:
-    if key not in _built:
-        _built.clear()
+        for pattern, n in windows(text.encode(), window):
+            if pattern not in block:
+                size += len(pattern)
+                block[pattern] = (n, set())
+            block[pattern][1].add(item_id)
+            if size >= block_bytes:
+                yield block
+                block, size, full = {}, 0, full + 1
+    if block or not full:
+        yield block
+
+
+def _automaton(key: str, block: dict[bytes, tuple[int, set[str]]]) -> ahocorasick.Automaton:
+    def build() -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for pattern, value in block.items():
             a.add_word(pattern.decode("latin-1"), value)
         a.make_automaton()
-        _built[key] = a
-    return _built[key]
+        return a
+
+    return worker_cache(("automaton", key), build)
 
 
 def scan_text(text: bytes, a: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -127,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
             df = materialize(df, "decontaminate")
         more = following is not None and text_col not in keep  # the text goes along for the next block
         names = [*keep, *(f.name for f in RESULT), *(["__text"] if more else [])]
-        held, key = spark.sparkContext.broadcast(block), id(block) * 4096 + k
+        held, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
         schema = T.StructType([*(docs.schema[c] for c in keep), *RESULT, *([T.StructField("__text", T.StringType())] if more else [])])
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, key=key, names=names, first=not k) -> Iterator[pa.RecordBatch]:
