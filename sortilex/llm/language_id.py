@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, worker_cache
 
 DIM, SEED = 1024, 20_011
 #: Texts and characters that are turned into vectors together, and trigram vectors that a worker remembers (1 kB each).
@@ -100,13 +100,9 @@ class Profiles:
         return out
 
 
-_profiles: dict[int, Profiles] = {}
-
-
 def profiles(dim: int) -> Profiles:
-    if dim not in _profiles:
-        _profiles[dim] = Profiles(dim)
-    return _profiles[dim]
+    """This process's vectors."""
+    return worker_cache(("profiles", dim), lambda: Profiles(dim))
 
 
 def _groups(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize, tokens
+from .common import map_batches, materialize, tokens, worker_cache
 from .components import components
 
 SHINGLE, TREES, DEPTH = 5, 16, 8
@@ -50,7 +50,6 @@ _rng = np.random.Generator(np.random.PCG64(9_001))
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64)
-_word_hash: dict[bytes, int] = {}
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -58,14 +57,15 @@ def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     own = tokens(text or b"")
     if not own:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash.get, own, repeat(0)), np.uint64, len(own))
+    known: dict[bytes, int] = worker_cache(("word hashes",), dict)
+    h = np.fromiter(map(known.get, own, repeat(0)), np.uint64, len(own))
     missing = np.flatnonzero(h == 0)
     if len(missing):
-        if len(_word_hash) + len(missing) > CACHE_WORDS:
-            _word_hash.clear()
+        if len(known) + len(missing) > CACHE_WORDS:
+            known.clear()
         for i in missing.tolist():
             w = own[i]
-            h[i] = _word_hash[w] = xxhash.xxh64_intdigest(w) or 1
+            h[i] = known[w] = xxhash.xxh64_intdigest(w) or 1
     n = min(size, len(own))
     s = np.full(len(own) - n + 1, n, np.uint64)
     for i in range(n):
@@ -284,27 +284,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     totals = families.groupBy("family").agg(F.sum("n").alias("total"))
     families = families.join(totals, "family")
 
-    def with_shingles(part: DataFrame) -> DataFrame:
-        """The members' sets, made anew from the texts of one document each."""
-        wanted = part.select("family", "cls", "n", "total", F.col("least").alias("__least"))
-        few = wanted.count() <= broadcast_rows
-        texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-        rows = texts.join(F.broadcast(wanted) if few else wanted, F.col("__id").eqNullSafe(F.col("__least")))
+    # Ids that name one text find it again; where an id is null or stands for several texts, classes are made anew.
+    several = signed.where("id is not null and cls is not null").groupBy("id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("id")
+    several = materialize(several, "dedup-several")
+    unclear = materialize(classes.where("least is null").select("cls").unionByName(classes.join(several, F.col("least") == F.col("id"), "left_semi").select("cls")), "dedup-unclear")
+    any_unclear = not unclear.isEmpty()
+
+    def sets_of_texts(rows: DataFrame, names: list[str]) -> DataFrame:
+        """``names``, and the class and shingle set of the text, which is the last column."""
+        schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("made", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 1000):
-                    part = batch.slice(lo, 1000)
-                    sets = [shingle_set(s.as_buffer().to_pybytes() if s.is_valid else None, size).tobytes() for s in part.column(4)]
-                    same = pa.array([hashlib.blake2b(x, digest_size=16).digest() == c for x, c in zip(sets, part.column(1).to_pylist(), strict=True)])
-                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["family", "cls", "n", "total", "shingles"]).filter(same)
+                for lo in range(0, batch.num_rows, 500):
+                    part = batch.slice(lo, 500)
+                    sets = [shingle_set(s.as_buffer().to_pybytes() if s.is_valid else None, size).tobytes() for s in part.column(part.num_columns - 1)]
+                    made = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
 
-        return map_batches(rows.select("family", "cls", "n", "total", "__text"), run, "family binary, cls binary, n bigint, total bigint, shingles binary")
+        return map_batches(rows, run, schema)
+
+    def with_shingles(part: DataFrame) -> DataFrame:
+        """The members' sets, one row a class, made anew from the texts."""
+        few = (lambda df: F.broadcast(df)) if part.count() <= broadcast_rows else (lambda df: df)
+        names = ["family", "cls", "n", "total"]
+        texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+        wanted = part.select(*names, F.col("least").alias("__least"))
+        clear = wanted.join(unclear, "cls", "left_anti") if any_unclear else wanted
+        rows = texts.join(few(clear), F.col("__id") == F.col("__least")).select(*names, "__text")
+        out = sets_of_texts(rows, names).where("made = cls").select(*names, "shingles")
+        if any_unclear:
+            nameless = texts.where("__id is null").unionByName(texts.join(several.toDF("__id"), "__id", "left_semi")).select("__text")
+            made = sets_of_texts(nameless, []).dropDuplicates(["made"])
+            out = out.unionByName(made.join(few(wanted.join(unclear, "cls", "left_semi")), F.col("made") == F.col("cls")).select(*names, "shingles"))
+        return out.dropDuplicates(["cls"])
 
     roots = _small_families(with_shingles(families.where(F.col("total") <= family_shingles)), percent)
     large = families.where(F.col("total") > family_shingles)
     if not large.isEmpty():
-        roots = roots.unionByName(_large_families(with_shingles(large).dropDuplicates(["cls"]), percent, block_shingles))
+        roots = roots.unionByName(_large_families(with_shingles(large), percent, block_shingles))
     roots = materialize(roots.distinct(), "dedup-roots")
     placed = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n")).where("__n > 1").drop("__n")

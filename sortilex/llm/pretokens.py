@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Entries of the newer half of a worker's cache (each about 150 bytes); when it is full, the older half is forgotten.
 CACHE_ENTRIES = 350_000
 #: First pieces of texts that a worker remembers; all are forgotten at once.
@@ -21,9 +23,6 @@ FIRST_ENTRIES = 30_000
 #: A single one of these after one of these letters is cut off, so that a word is encoded once with and without it.
 END_MARKS, LETTERS = ".,;:!?", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 class PieceEncoder:
     """ids(text) for one tokenizer file; pieces seen before come from the cache."""
 
@@ -127,6 +126,4 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return worker_cache(("encoder", path), lambda: PieceEncoder(path))
