@@ -15,8 +15,11 @@ results are the same in any order:
    ones and each pair's failure mass; buckets hand on each word's failure mass;
 2. a block sends its different words with their counts, and gets back their counts and failure masses.
 
-A word is known by a 64-bit code, a word after a known history by 32 bits of it. Blocks and buckets grow with the square
-root of the input beyond ``EVEN_BYTES``, so that packets don't shrink as their number grows.
+A word is known by a 64-bit code, as a history by 48 bits of it, and after a known history by its place among the ``BRIEF``
+most frequent words or else by 31 bits. A word's pairs lie in an eighth of all
+buckets, by their second words, and the triples of a frequent pair (``HOT`` of all tokens; there can't be many) likewise by
+their third, so no word or pair is too much for a bucket. Blocks and buckets grow with the square root of the input beyond
+``EVEN_BYTES``, so that packets don't shrink as their number grows.
 
 Edge cases. Null or empty text: the end token alone. Null id: counts as empty text for the split. Repeated rows each
 count and are scored. No training texts: every token is unknown and all of them have the same weight. Empty table: empty
@@ -45,10 +48,15 @@ LEAST = 2
 #: Bytes of text that a block takes (or one text), and tokens of all texts for each bucket.
 BLOCK_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 1_000_000, 64
 EVEN_BYTES = 64 << 30
+#: Share of all tokens from which on a pair's triples are dealt out over several buckets.
+HOT = 1e-3
+#: Frequent words that have a short code, and a block's share from which on it proposes a word.
+BRIEF, PROPOSED = 32_768, 1e-5
 CACHE_WORDS = 300_000
 
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
+HISTORY = np.uint64(16)  # bits that a history's code lacks
 _END = np.uint64(0x5851F42D4C957F2D)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PARTS = "block bigint, bucket int, parts array<binary>, counted bigint"
@@ -101,8 +109,11 @@ def _unpack_codes(blob: bytes) -> np.ndarray:
     return np.cumsum(_unpack(blob).view(np.uint64), dtype=np.uint64)
 
 
-def _upper(codes: np.ndarray) -> np.ndarray:
-    return (codes >> np.uint64(32)).astype("<u4")
+def _brief(codes: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Numbers of 32 bits: the place in ``short`` (in ascending order), or 31 bits of the code and a one before them."""
+    at = np.minimum(np.searchsorted(short, codes), max(0, len(short) - 1))
+    found = short[at] == codes if len(short) else np.zeros(len(codes), bool)
+    return np.where(found, at, ((codes >> np.uint64(33)) | np.uint64(1 << 31)).astype(np.int64))
 
 
 def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -110,9 +121,18 @@ def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values, n).astype(np.int64)
 
 
+def _frequent_pairs(words: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """Codes and numbers of pairs with a share of ``HOT``, of words in order of frequency; none goes over an end of a text."""
+    m = int((counts >= HOT * len(ids)).sum())
+    both = (ids[:-1] < m) & (ids[1:] < m) & (words[ids[:-1]] != _END)
+    n = np.bincount(ids[:-1][both] * m + ids[1:][both], minlength=m * m)
+    at = np.flatnonzero(n >= max(1, HOT * len(ids)))
+    return np.array([words[at // max(1, m)], words[at % max(1, m)], n[at].astype(np.uint64)], np.uint64).tobytes()
+
+
 def encode(docs: DataFrame, kept: list[T.StructField], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of texts: block, rows (the kept columns), n and train tokens, sizes, held, words (different codes) and ids (places in words)."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(kept))), T.StructField("n", T.LongType()), T.StructField("train", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "held", "words", "ids"))])
+    """Blocks of texts: block, rows (the kept columns), n and train tokens, sizes, held, words (different codes), ids (places in words), frequent pairs and words."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(kept))), T.StructField("n", T.LongType()), T.StructField("train", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "held", "words", "ids", "frequent", "proposed"))])
 
     def finish(block: int, parts: list[pa.RecordBatch], codes: list[np.ndarray]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -125,7 +145,7 @@ def encode(docs: DataFrame, kept: list[T.StructField], block_bytes: int = BLOCK_
         rows = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns], fields=[pa.field(f.name, c.type) for f, c in zip(kept, table.columns, strict=True)])
         listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
         values = [pa.array([block], pa.int64()), listed, pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[~held].sum())], pa.int64())]
-        values += [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack(held.astype(np.int64)), words[order].tobytes(), _pack(place[ids]))]
+        values += [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack(held.astype(np.int64)), words[order].tobytes(), _pack(place[ids]), _frequent_pairs(words[order], n[order], place[ids]), np.array([words, n.astype(np.uint64)], np.uint64)[:, n >= max(2, PROPOSED * len(ids))].tobytes())]
         return pa.RecordBatch.from_arrays(values, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,23 +181,34 @@ class Texts:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.ids[self.train], minlength=len(self.words))
 
-    def find(self, bits: int) -> Texts:
-        n = len(self.words)
+    def find(self, bits: int, hot: np.ndarray, short: np.ndarray) -> Texts:
+        """Finds pairs and triples; ``hot`` has the codes of frequent pairs, whose triples are dealt out over several buckets."""
+        self.brief = _brief(self.words, short)
+        n, spread = len(self.words), max(1, (1 << bits) // 8)
         inner = np.ones(len(self.ids), bool)
         inner[np.cumsum(self.sizes) - 1] = False
         self.first = np.flatnonzero(inner)  # where pairs begin
-        different, at = np.unique(self.ids[self.first] * n + self.ids[self.first + 1], return_inverse=True)
-        u, v = np.divmod(different, max(1, n))
-        bucket = (_mix(self.words[u], self.words[v]) >> np.uint64(64 - bits)).astype(np.int64)
-        rank = np.empty(n, np.int64)
-        rank[np.argsort(self.words)] = np.arange(n)
-        order = np.argsort(bucket * n + rank[u], kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.u, self.v, self.bucket, self.pair_at = u[order], v[order], bucket[order], place[at]
+        pairs, self.pair_at = np.unique(self.ids[self.first] * n + self.ids[self.first + 1], return_inverse=True)
+        self.u, self.v = np.divmod(pairs, max(1, n))
         self.next = np.flatnonzero(np.diff(self.first) == 1)  # pairs (u, v) that the pair (v, w) follows
         triples, self.triple_at = np.unique(self.pair_at[self.next] * n + self.ids[self.first[self.next] + 2], return_inverse=True)
         self.history, self.w = np.divmod(triples, max(1, n))
+        # Entries of packets: a pair, or one of a hot pair's shares; the first has the count.
+        code, salt = self.words, (self.words % np.uint64(spread)).astype(np.int64)
+        home = (_mix(code, code) >> np.uint64(64 - bits)).astype(np.int64)[self.u] + 8 * salt[self.v]
+        is_hot = np.isin(_mix(code[self.u], code[self.v]), _mix(hot[0], hot[1]))
+        self.owner = np.repeat(np.arange(len(pairs)), np.where(is_hot, spread, 1))
+        first = np.searchsorted(self.owner, np.arange(len(pairs)))
+        share = np.arange(len(self.owner)) - first[self.owner]
+        bucket = (home[self.owner] + 8 * share) % (1 << bits)
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(code)] = np.arange(n)
+        self.order = np.argsort(bucket * n + rank[self.u[self.owner]], kind="stable")
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        entry = place[first[self.history] + np.where(is_hot[self.history], salt[self.w], 0)]
+        self.order3 = np.argsort(entry, kind="stable")
+        self.bucket, self.after, self.counts_here = bucket[self.order], np.bincount(entry, minlength=len(self.owner)), share[self.order] == 0
         return self
 
     def pair_counts(self) -> np.ndarray:
@@ -188,15 +219,23 @@ class Texts:
 
     def packets(self, bits: int) -> Iterator[tuple[int, list[bytes]]]:
         """Bucket and parts: first words, their numbers of pairs, second words, counts, numbers of triples, third words, counts."""
-        first, second, third = self.words[self.u], _upper(self.words[self.v]), _upper(self.words[self.w])
-        n2, n3, after = self.pair_counts(), self.triple_counts(), np.bincount(self.history, minlength=len(self.u))
+        pair = self.owner[self.order]
+        first, second, third = self.words[self.u[pair]] >> HISTORY, self.brief[self.v[pair]], self.brief[self.w[self.order3]]
+        n2, n3 = self.pair_counts()[pair] * self.counts_here, self.triple_counts()[self.order3]
         ends = np.searchsorted(self.bucket, np.arange(1 << bits), "right")
-        ends3 = np.concatenate(([0], np.cumsum(after)))
+        ends3 = np.concatenate(([0], np.cumsum(self.after)))
         for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
             if hi > lo:
                 head = np.flatnonzero(np.concatenate(([True], first[lo + 1 : hi] != first[lo : hi - 1])))
                 lo3, hi3 = ends3[lo], ends3[hi]
-                yield b, [_pack_codes(first[lo:hi][head]), _pack(np.diff(np.append(head, hi - lo))), second[lo:hi].tobytes(), _pack(n2[lo:hi]), _pack(after[lo:hi]), third[lo3:hi3].tobytes(), _pack(n3[lo3:hi3])]
+                yield b, [_pack_codes(first[lo:hi][head]), _pack(np.diff(np.append(head, hi - lo))), _pack(second[lo:hi]), _pack(n2[lo:hi]), _pack(self.after[lo:hi]), _pack(third[lo3:hi3]), _pack(n3[lo3:hi3])]
+
+    def answered(self, n2: np.ndarray, mass2: np.ndarray, n3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and failure masses by pair, and counts by triple, from the packets' answers."""
+        pair = self.owner[self.order]
+        c3 = np.empty(len(self.w), np.int64)
+        c3[self.order3] = n3
+        return _sum(pair, n2, len(self.u)), _sum(pair, mass2, len(self.u)), c3
 
 
 def count_bucket(packets: list[list[bytes]], least: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -205,19 +244,18 @@ def count_bucket(packets: list[list[bytes]], least: int) -> tuple[list[list[byte
     A mass is the sum of 2 * count - 1 over the arcs kept.
     """
     heads = [(_unpack_codes(p[0]), _unpack(p[1])) for p in packets]
-    second, after = [np.frombuffer(p[2], "<u4") for p in packets], [_unpack(p[4]) for p in packets]
-    third = [np.frombuffer(p[5], "<u4") for p in packets]
+    second, after, third = ([_unpack(p[k]) for p in packets] for k in (2, 4, 5))
     sizes, sizes3 = [len(s) for s in second], [len(t) for t in third]
     words, at = np.unique(np.concatenate([np.repeat(c, n) for c, n in heads]), return_inverse=True)
-    pairs, at = np.unique(at.astype(np.uint64) << np.uint64(32) | np.concatenate(second), return_inverse=True)
+    pairs, at = np.unique(at << 32 | np.concatenate(second), return_inverse=True)
     n2 = _sum(at, np.concatenate([_unpack(p[3]) for p in packets]), len(pairs))
     n2[n2 < least] = 0
     history = np.repeat(at, np.concatenate(after))
-    triples, at3 = np.unique(history.astype(np.uint64) << np.uint64(32) | np.concatenate(third), return_inverse=True)
+    triples, at3 = np.unique(history << 32 | np.concatenate(third), return_inverse=True)
     n3 = _sum(at3, np.concatenate([_unpack(p[6]) for p in packets]), len(triples))
     n3[n3 < least] = 0
-    mass2 = _sum((triples >> np.uint64(32)).astype(np.int64), np.maximum(2 * n3 - 1, 0), len(pairs))
-    mass1 = _sum((pairs >> np.uint64(32)).astype(np.int64), np.maximum(2 * n2 - 1, 0), len(words))
+    mass2 = _sum(triples >> 32, np.maximum(2 * n3 - 1, 0), len(pairs))
+    mass1 = _sum(pairs >> 32, np.maximum(2 * n2 - 1, 0), len(words))
     cuts, cuts3 = np.cumsum(sizes)[:-1], np.cumsum(sizes3)[:-1]
     answers = zip(np.split(n2[at], cuts), np.split(mass2[at], cuts), np.split(n3[at3], cuts3), strict=True)
     return [[_pack(x) for x in a] for a in answers], words[mass1 > 0], mass1[mass1 > 0]
@@ -276,9 +314,9 @@ def _sent(rows: list[tuple[int, int, list[bytes], int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "bucket", "parts", "counted"])
 
 
-def _by_first_bits(codes: np.ndarray, values: np.ndarray, bits: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Codes in ascending order and their values, a packet for each bucket."""
-    ends = np.searchsorted(codes >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), "right").tolist()
+def _by_first_bits(codes: np.ndarray, values: np.ndarray, bits: int, width: int = 64) -> Iterator[tuple[int, list[bytes]]]:
+    """Codes of some width in ascending order and their values, a packet for each bucket."""
+    ends = np.searchsorted(codes >> np.uint64(width - bits), np.arange(1 << bits, dtype=np.uint64), "right").tolist()
     for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
         if hi > lo:
             yield b, [_pack_codes(codes[lo:hi]), _pack(values[lo:hi])]
@@ -313,14 +351,29 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
     bits = (max(LEAST_BUCKETS, math.ceil(n / (growth * BUCKET_TOKENS))) - 1).bit_length()
     texts = blocks.select("block", "sizes", "held", "words", "ids")
 
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["u", "v", "n"])
+
+    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64).reshape(2, -1) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], names=["code", "n"])
+
+    pairs = map_batches(blocks.select("frequent"), frequent, "u bigint, v bigint, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT * n)
+    words_of = map_batches(blocks.select("proposed"), proposed, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    short = np.sort(np.array([r.code for r in words_of.orderBy(F.desc("n"), "code").limit(BRIEF).collect()], np.int64).view(np.uint64))
+    hot = np.array([[r.u, r.v] for r in pairs.collect()], np.int64).reshape(-1, 2).T.astype(np.uint64)  # 1 / HOT at most
+
     def send_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for batch in batches for r in _rows(batch)):
-            yield _sent([(r["block"], b, parts, 0) for b, parts in Texts(r).find(bits).packets(bits)])
+            yield _sent([(r["block"], b, parts, 0) for b, parts in Texts(r).find(bits, hot, short).packets(bits)])
 
     def count_ngrams(bucket: int, own: list[dict]) -> Iterator[tuple]:
         answers, words, mass = count_bucket([r["parts"] for r in own], least)
         yield from ((r["block"], bucket, a, 0) for r, a in zip(own, answers, strict=True))
-        yield from ((-1, b, parts, 0) for b, parts in _by_first_bits(words, mass, bits))
+        yield from ((-1, b, parts, 0) for b, parts in _by_first_bits(words, mass, bits, 64 - int(HISTORY)))
 
     ngrams = _buckets(map_batches(texts, send_ngrams, _PARTS), count_ngrams, "lm-ngrams")
 
@@ -331,15 +384,18 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
             yield _sent([(r["block"], b, parts, 0) for b, parts in _by_first_bits(t.words[order], t.word_counts()[order], bits)])
 
     def count_words(bucket: int, own: list[dict]) -> Iterator[tuple]:
-        codes, values = [_unpack_codes(r["parts"][0]) for r in own], [_unpack(r["parts"][1]) for r in own]
-        sizes, counts = [len(c) for c in codes], np.repeat([r["block"] >= 0 for r in own], [len(c) for c in codes])
+        asking, shares = [r for r in own if r["block"] >= 0], [r for r in own if r["block"] < 0]
+        if not asking:
+            return
+        codes = [_unpack_codes(r["parts"][0]) for r in asking]
         different, at = np.unique(np.concatenate(codes), return_inverse=True)
-        values = np.concatenate(values)
-        c1, mass = _sum(at, values * counts, len(different)), _sum(at, values * ~counts, len(different))
+        c1 = _sum(at, np.concatenate([_unpack(r["parts"][1]) for r in asking]), len(different))
+        mass = np.zeros(len(different), np.int64)
+        for r in shares:
+            np.add.at(mass, np.searchsorted(different >> HISTORY, _unpack_codes(r["parts"][0])), _unpack(r["parts"][1]))
         yield -1, bucket, [], int((c1 > 0).sum())
-        for r, k in zip(own, np.split(at, np.cumsum(sizes)[:-1]), strict=True):
-            if r["block"] >= 0:
-                yield r["block"], bucket, [_pack(c1[k]), _pack(mass[k])], 0
+        for r, k in zip(asking, np.split(at, np.cumsum([len(c) for c in codes])[:-1]), strict=True):
+            yield r["block"], bucket, [_pack(c1[k]), _pack(mass[k])], 0
 
     shares = ngrams.where("block < 0")
     words = _buckets(map_batches(texts, send_words, _PARTS).unionByName(shares), count_words, "lm-words")
@@ -349,14 +405,14 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, r in enumerate(_rows(batch)):
-                t = Texts(r).find(bits)
+                t = Texts(r).find(bits, hot, short)
                 c1, mass1 = np.empty(len(t.words), np.int64), np.empty(len(t.words), np.int64)
                 order = np.argsort(t.words)
                 c1[order], mass1[order] = _joined(r["words_found"], 0), _joined(r["words_found"], 1)
-                known, base, score = Automaton(t, c1, mass1, *(_joined(r["found"], k) for k in range(3)), total, different, alpha).scores()
+                known, base, score = Automaton(t, c1, mass1, *t.answered(*(_joined(r["found"], k) for k in range(3))), total, different, alpha).scores()
                 own = batch.column("rows").slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays([*own.flatten(), pa.array(t.sizes), pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
 
-    walked = blocks.drop("n", "train").join(_answers(words, "words_found"), "block").join(_answers(ngrams, "found"), "block", "left")
+    walked = blocks.drop("n", "train", "frequent", "proposed").join(_answers(words, "words_found"), "block").join(_answers(ngrams, "found"), "block", "left")
     scored = map_batches(walked, run, schema)
     return scored.select(*keep, "held_out", F.col("__lm_n_tokens").alias("n_tokens"), F.col("__lm_n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("__lm_base_score").alias("base_score"), F.col("__lm_score").alias("score"))
