@@ -86,6 +86,11 @@ def from_little_endian(data: Column | str, at: int, n_bytes: int) -> Column:
     return F.conv(F.concat(*digits), 16, 10).cast("bigint")
 
 
+def overwrite(data: Column | str, at: int, new: Column | str) -> Column:
+    """Bytes from position ``at`` (0 first) replaced by others; what goes over the end is appended."""
+    return F.overlay(_col(data), _col(new), F.lit(at + 1))
+
+
 def smallest() -> Column:
     """Aggregate: the first key in order, as struct(klen, key)."""
     return F.min(F.struct("klen", "key"))

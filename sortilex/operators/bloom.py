@@ -1,19 +1,27 @@
-"""Bloom filters as tables of set bit positions.
+"""Blocked Bloom filters as tables of 64-bit words.
 
-A filter is a DataFrame of distinct ``position`` rows below ``table_size``, with its parameters beside it, so it can be
-of any size: building is one partial aggregation, membership one join, and union, intersection and difference are set
-operations. Positions come from a seeded 64-bit hash; only the guarantees are those of any Bloom filter.
+A filter is a DataFrame of (bucket, word, bits) rows, so it can be of any size. One hash of a key chooses a bucket of
+``BUCKET_BITS`` bits, another its places within, so building is one aggregation that combines on the map side, a probe row
+meets one bucket (by broadcast up to ``BROADCAST_BYTES``, else by one join on the bucket), and union, intersection and
+difference are aggregations of words. A table of several buckets gets a multiple of 8 of them beyond 8, so that it folds.
+
+Edge cases. A null key is a key like any other. Nothing inserted: nothing is contained. Repeated keys set the same bits, and
+each counts as inserted.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_HASHES = 999
+BUCKET_BITS = 4096
+#: Size of a filter that goes to every task.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -22,19 +30,18 @@ class Parameters:
 
     elements: int = 10_000
     fpp: float = 1 / 10_000
-    seed: int = 0xA5A5A5A5
+    seed: int = 7_919
     least_size: int = 1
     most_size: int = 1 << 62
     least_hashes: int = 1
-    most_hashes: int = 1 << 30
-
-    def check(self) -> None:
-        if self.least_size > self.most_size or self.least_hashes > self.most_hashes or self.least_hashes < 1 or self.elements < 1 or not 0 <= self.fpp < math.inf or self.seed in (0, (1 << 64) - 1):
-            raise ValueError(f"no Bloom filter has {self}")
+    most_hashes: int = MOST_HASHES
 
     def optimal(self) -> tuple[int, int]:
-        """Number of hashes and bits: the smallest table, in whole bytes."""
-        self.check()
+        """Number of hashes and bits: the smallest table, in whole bytes. ValueError if no filter can be like this."""
+        possible = self.elements > 0 and 0 < self.fpp < 1
+        ordered = 0 < self.least_hashes <= self.most_hashes and 0 < self.least_size <= self.most_size
+        if not (possible and ordered):
+            raise ValueError(f"no Bloom filter has {self}")
         bits, k = min((self.bits(k), k) for k in range(1, MOST_HASHES + 1))
         size = -(-int(bits) // 8) * 8
         return min(max(k, self.least_hashes), self.most_hashes), min(max(size, self.least_size), self.most_size)
@@ -46,35 +53,63 @@ class Parameters:
 
 @dataclass(frozen=True)
 class Bloom:
-    """A filter: its set bits, number of hashes, table size, seed, and how many elements went in."""
+    """A filter: its words, number of hashes, buckets and bits of each, seed, and the tables that went in and aren't counted yet."""
 
-    bits: DataFrame
+    words: DataFrame
     hashes: int
-    table_size: int
+    buckets: int
+    bucket_bits: int
     seed: int
-    inserted: int
+    counted: int = 0
+    uncounted: tuple[DataFrame, ...] = ()
+
+    @property
+    def table_size(self) -> int:
+        """Bits, in whole buckets."""
+        return self.buckets * self.bucket_bits
+
+    @property
+    def inserted(self) -> int:
+        """Number of elements that went in."""
+        return self.counted + sum(df.count() for df in self.uncounted)
 
-    def _positions(self, key: Column) -> Column:
-        return F.array_distinct(F.array(*[F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(i)), F.lit(self.table_size)) for i in range(self.hashes)]))
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(self.seed)), F.lit(self.buckets)).cast("int")
+
+    def _places(self, key: Column) -> list[Column]:
+        """In the bucket: steps of an odd width from a start, both by a second hash."""
+        h = F.xxhash64(F.lit(self.seed), key)
+        start, width = F.pmod(h, F.lit(self.bucket_bits)), F.pmod(F.shiftrightunsigned(h, 24), F.lit(self.bucket_bits // 2)) * 2 + 1
+        return [F.pmod(start + i * width, F.lit(self.bucket_bits)).cast("int") for i in range(self.hashes)]
 
     @staticmethod
     def build(keys: DataFrame, parameters: Parameters | None = None, column: str = "key") -> Bloom:
-        """Of a table's keys; counts them."""
+        """Of a table's keys."""
         p = parameters or Parameters()
         hashes, size = p.optimal()
-        empty = Bloom(keys.limit(0).select(F.lit(0).cast("bigint").alias("position")), hashes, size, p.seed, 0)
-        return empty.insert(keys, column)
+        buckets = -(-size // BUCKET_BITS)
+        buckets = -(-buckets // 8) * 8 if buckets > 8 else buckets
+        bits = BUCKET_BITS if buckets > 1 else max(64, -(-size // 64) * 64)
+        none = keys.sparkSession.createDataFrame([], "bucket int, word int, bits bigint")
+        return Bloom(none, hashes, buckets, bits, p.seed).insert(keys, column)
 
     def insert(self, keys: DataFrame, column: str = "key") -> Bloom:
-        new = keys.select(F.explode(self._positions(F.col(column))).alias("position"))
-        return replace(self, bits=self.bits.unionByName(new).distinct(), inserted=self.inserted + keys.count())
-
-    def contains(self, probes: DataFrame, column: str = "key", unique: bool = False) -> DataFrame:
-        """Adds ``maybe``: false means surely absent. Probes with the same key are looked up once."""
-        keys = probes.select(column) if unique else probes.select(column).distinct()
-        asked = keys.select(column, F.explode(self._positions(F.col(column))).alias("position"), F.size(self._positions(F.col(column))).alias("wanted"))
-        found = asked.join(self.bits, "position", "left_semi").groupBy(column).agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).where("n = wanted").select(F.col(column).alias("__k"))
-        return probes.join(found, F.col(column) == F.col("__k"), "left").withColumn("maybe", F.col("__k").isNotNull()).drop("__k")
+        key = F.col(column)
+        each = keys.select(self._bucket(key).alias("bucket"), F.explode(F.array(*self._places(key))).alias("place"))
+        new = each.groupBy("bucket", F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(63))).alias("bits"))
+        empty = not self.counted and not self.uncounted
+        words = new if empty else _combined([self.words, new], F.bit_or("bits"))
+        return replace(self, words=words, uncounted=(*self.uncounted, keys.select(column)))
+
+    def contains(self, probes: DataFrame, column: str = "key") -> DataFrame:
+        """Adds ``maybe`` to each probe: false means surely absent."""
+        every = F.sequence(F.lit(0), F.lit(self.bucket_bits // 64 - 1))
+        held = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+        dense = self.words.groupBy("bucket").agg(held.alias("m")).select(F.col("bucket").alias("__b"), F.transform(every, lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("__words"))
+        dense = F.broadcast(dense) if self.table_size // 8 <= BROADCAST_BYTES else dense
+        met = probes.withColumn("__bucket", self._bucket(F.col(column))).join(dense, F.col("__bucket") == F.col("__b"), "left")
+        bits = [F.getbit(F.get("__words", F.shiftright(p, 6)), p.bitwiseAND(63)) == 1 for p in self._places(F.col(column))]
+        return met.withColumn("maybe", F.coalesce(reduce(Column.__and__, bits), F.lit(False))).drop("__bucket", "__b", "__words")
 
     def contains_all(self, probes: DataFrame, column: str = "key") -> DataFrame:
         return self.contains(probes, column).agg(F.coalesce(F.bool_and("maybe"), F.lit(True)).alias("contains_all"))
@@ -83,48 +118,58 @@ class Bloom:
         return self.contains(probes, column).agg(F.coalesce(~F.bool_or("maybe"), F.lit(True)).alias("contains_none"))
 
     def _matches(self, other: Bloom) -> bool:
-        return (self.hashes, self.table_size, self.seed) == (other.hashes, other.table_size, other.seed)
+        return (self.hashes, self.buckets, self.bucket_bits, self.seed) == (other.hashes, other.buckets, other.bucket_bits, other.seed)
 
     def __and__(self, other: Bloom) -> Bloom:
         """Intersection; a filter of other parameters leaves this one as it is, as for | and ^."""
-        return replace(self, bits=self.bits.intersect(other.bits)) if self._matches(other) else self
+        both = _combined([self.words, other.words], F.when(F.count("*") == 2, F.bit_and("bits")).otherwise(0).cast("bigint"))
+        return replace(self, words=both) if self._matches(other) else self
 
     def __or__(self, other: Bloom) -> Bloom:
-        return replace(self, bits=self.bits.union(other.bits).distinct(), inserted=self.inserted + other.inserted) if self._matches(other) else self
+        either = _combined([self.words, other.words], F.bit_or("bits"))
+        return replace(self, words=either, counted=self.counted + other.counted, uncounted=self.uncounted + other.uncounted) if self._matches(other) else self
 
     def __xor__(self, other: Bloom) -> Bloom:
-        either = self.bits.union(other.bits).groupBy("position").count().where("count = 1").select("position")
-        return replace(self, bits=either) if self._matches(other) else self
+        return replace(self, words=_combined([self.words, other.words], F.bit_xor("bits"))) if self._matches(other) else self
 
     def __bool__(self) -> bool:
         return self.table_size > 0
 
     def same_as(self, other: Bloom) -> bool:
-        return self._matches(other) and self.inserted == other.inserted and self.bits.exceptAll(other.bits).isEmpty() and other.bits.exceptAll(self.bits).isEmpty()
+        return self._matches(other) and self.inserted == other.inserted and (self ^ other).words.isEmpty()
+
+    def set_bits(self) -> DataFrame:
+        """One row: the number of bits that are set."""
+        return self.words.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("bigint").alias("set_bits"))
 
     def effective_fpp(self) -> float:
         """False-positive probability at the number of elements that went in."""
         return (1 - math.exp(-self.hashes * self.inserted / self.table_size)) ** self.hashes
 
     def cleared(self) -> Bloom:
-        return replace(self, bits=self.bits.limit(0), inserted=0)
+        return replace(self, words=self.words.limit(0), counted=0, uncounted=())
 
     def folded(self, table_size: int) -> Bloom:
-        """A smaller filter: positions beyond the new size fall on the remainder. The size has to divide the old one."""
-        if self.table_size % table_size:
-            raise ValueError("the new size has to divide the old one")
-        return replace(self, bits=self.bits.select(F.pmod("position", F.lit(table_size)).alias("position")).distinct(), table_size=table_size)
+        """A smaller filter: buckets beyond the new size fall on the remainder. It has to take up whole buckets, and divide the old."""
+        if table_size < 1 or self.table_size % table_size or table_size % self.bucket_bits:
+            raise ValueError("the new size has to divide the old one, in whole buckets")
+        buckets = table_size // self.bucket_bits
+        onto = self.words.withColumn("bucket", F.pmod("bucket", F.lit(buckets)).cast("int"))
+        return replace(self, words=_combined([onto], F.bit_or("bits")), buckets=buckets)
 
     def write(self, path: str) -> None:
-        """Bits and parameters, as a Parquet table."""
-        self.bits.write.parquet(path)
-        spark = self.bits.sparkSession
-        spark.createDataFrame([(self.hashes, self.table_size, self.seed, self.inserted)], "hashes bigint, table_size bigint, seed bigint, inserted bigint").coalesce(1).write.parquet(f"{path}/_parameters")
+        """Words and parameters, as Parquet tables."""
+        self.words.write.parquet(f"{path}/words")
+        spark = self.words.sparkSession
+        spark.createDataFrame([(self.hashes, self.buckets, self.bucket_bits, self.seed, self.inserted)], "hashes int, buckets bigint, bucket_bits int, seed bigint, inserted bigint").coalesce(1).write.parquet(f"{path}/parameters")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Bloom:
-        hashes, size, seed, inserted = spark.read.parquet(f"{path}/_parameters").first()
-        return Bloom(spark.read.parquet(path).select("position"), hashes, size, seed, inserted)
+        return Bloom(spark.read.parquet(f"{path}/words"), *spark.read.parquet(f"{path}/parameters").first())
+
+
+def _combined(tables: list[DataFrame], bits: Column) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("bucket", "word").agg(bits.alias("bits")).where("bits <> 0")
 
 
 def parameter_table(wanted: DataFrame) -> DataFrame:

@@ -30,16 +30,27 @@ def ranked(sources: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [s.withColumn("src_rank", F.lit(i)) for i, s in enumerate(sources)])
 
 
+def newest(ranked_entries: DataFrame, order_in_source: Column | str | None = None) -> DataFrame:
+    """One entry a key, from the source of the lowest src_rank.
+
+    Later duplicates within a source go too, by ``order_in_source`` and then by timestamp (the newest first) and value. Keys
+    are taken together with their lengths, so a table dealt out by ranges of (klen, key) isn't dealt out again.
+    """
+    by = ["klen", "key"] if "klen" in ranked_entries.columns else ["key"]
+    own = [] if order_in_source is None else [F.col(order_in_source) if isinstance(order_in_source, str) else order_in_source]
+    rest = [F.desc("ts")] * ("ts" in ranked_entries.columns) + [F.col("value")] * ("value" in ranked_entries.columns)
+    order = Window.partitionBy(*by).orderBy("src_rank", *own, *rest)
+    return ranked_entries.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
 def merge_multi(sources: Sequence[DataFrame], order_in_source: Column | str | None = None) -> DataFrame:
     """One entry a key, from the newest source that has it; src_rank tells which.
 
-    Later duplicates within a source go too, by ``order_in_source`` where given. The window's limit of one row is applied
-    before the shuffle as well as after it.
+    The window's limit of one row is applied before the shuffle as well as after it.
     """
     if not sources:
         raise ValueError("merge_multi needs a source; an empty one gives an empty merge")
-    first = [F.col("src_rank"), *([] if order_in_source is None else [F.col(order_in_source) if isinstance(order_in_source, str) else order_in_source])]
-    return ranked(sources).withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy(*first))).where("__n = 1").drop("__n")
+    return newest(ranked(sources), order_in_source)
 
 
 def active_sources(sources: Sequence[DataFrame]) -> DataFrame:

@@ -17,8 +17,9 @@ from ..operators import ordered as O
 from ..operators.bloom import Bloom, Parameters, parameter_table
 from ..operators.bounds import NEG_INF, POS_INF, Bound, scan
 from ..sources.memtable import MemTable
-from ..sources.runs import Level, compact, describe, write_level
+from ..sources.runs import Level, compact, describe, estimated_size, write_level
 from ..sources.storage import new_path
+from ..sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -243,10 +244,16 @@ def merge_in_source_duplicates(spark, sf_dir):
     return M.merge_multi([newer, older], "place").select(text("key").alias("key"), text("value").alias("value"))
 
 
-@query("SELECT CAST(2 AS BIGINT) AS n_active")
+@query("SELECT o_orderstatus AS status, (CASE WHEN count(*) FILTER (WHERE o_orderkey % 2 = 0) > 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE o_orderkey % 5000 = 7) > 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE o_orderkey < 0) > 0 THEN 1 ELSE 0 END) AS n_active FROM orders GROUP BY o_orderstatus")
 def active_sources(spark, sf_dir):
-    rows = orders(spark, sf_dir)
-    return M.active_sources([rows, rows.where("false"), _source(spark, sf_dir, 7, "x")])
+    """How many of three sources have entries of each status; the last has none."""
+    t = table(spark, sf_dir, "orders")
+    parts = [K.entries(t.where(w), "o_orderkey", "o_orderstatus") for w in ("o_orderkey % 2 = 0", "o_orderkey % 5000 = 7", "o_orderkey < 0")]
+    out = None
+    for status in sorted(r[0] for r in t.select("o_orderstatus").distinct().collect()):
+        own = M.active_sources([p.where(text("value") == status) for p in parts]).select(F.lit(status).alias("status"), F.col("n_active").cast("bigint").alias("n_active"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query(MERGE3)
@@ -411,6 +418,86 @@ def level_get(spark, sf_dir):
     return shown(write_level(orders(spark, sf_dir), new_path(spark, "level"), files=8).get(1234))
 
 
+@query(f"SELECT key, ts, value FROM ({ENTRIES}) WHERE CAST(key AS BIGINT) % 7 = 0")
+def level_get_many(spark, sf_dir):
+    """Of many keys, half of which the level's filter drops."""
+    keys = table(spark, sf_dir, "orders").select(F.explode(F.array("o_orderkey", F.concat(F.lit("x"), F.col("o_orderkey").cast("string")))).cast("string").alias("k")).where("k LIKE 'x%' OR CAST(k AS BIGINT) % 7 = 0")
+    level = write_level(orders(spark, sf_dir), new_path(spark, "level"), files=8, with_filter=True)
+    return shown(level.get_many(keys.select(F.octet_length("k").alias("klen"), F.col("k").cast("binary").alias("key"))))
+
+
+@query(f"SELECT key, ts, value FROM ({ENTRIES})")
+def sstable_scan(spark, sf_dir):
+    """Every file of a level read alone, with page checksums compared."""
+    level = write_level(orders(spark, sf_dir), new_path(spark, "level"), files=4, verify=True)
+    out = level.sstable(0)
+    for i in range(1, level.count()):
+        out = out.unionByName(level.sstable(i))
+    return shown(out)
+
+
+def _store(spark, sf_dir) -> Store:
+    """Two levels, one merged from two sources, and a buffer above them."""
+    newer, middle, older = _three(spark, sf_dir)
+    low = compact([middle, older], new_path(spark, "store"), files=3)
+    high = write_level(newer, new_path(spark, "store"), files=2)
+    return Store(spark, MemTable(spark).put(_source(spark, sf_dir, 7, "m")), [high, low])
+
+
+STORE = f"""SELECT key, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY r) AS n FROM (
+  SELECT *, 0 AS r FROM ({_source_sql(7, 'm')}) UNION ALL SELECT key, ts, value, 1 + src_rank FROM ({MERGE3}))) WHERE n = 1"""
+
+
+@query(STORE)
+def store_scan(spark, sf_dir):
+    """Buffer and levels, newest first; one of the levels is a merge of merges."""
+    return shown(_store(spark, sf_dir).scan(ordered=False))
+
+
+@query(f"SELECT key, ts, value FROM ({STORE}) WHERE (strlen(key) > 2 OR (strlen(key) = 2 AND key > '30')) AND (strlen(key) < 4 OR (strlen(key) = 4 AND key <= '3000'))")
+def store_scan_bounded(spark, sf_dir):
+    return shown(_store(spark, sf_dir).scan(Bound.at(30, False), Bound.at(3000), ordered=False))
+
+
+@query(f"SELECT key, ts, value FROM ({STORE}) WHERE key IN ('210', '225', '18')")
+def store_get(spark, sf_dir):
+    """Keys that the buffer, the upper and the lower level answer, and one that none has."""
+    store = _store(spark, sf_dir)
+    out = store.get(210)
+    for key in (225, 18, "none"):
+        out = out.unionByName(store.get(key))
+    return shown(out)
+
+
+@query(f"SELECT key, ts, value FROM ({STORE}) WHERE CAST(key AS BIGINT) % 11 = 0")
+def store_get_many(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string").cast("binary")
+    keys = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.octet_length(key).alias("klen"), key.alias("key"))
+    return shown(_store(spark, sf_dir).get_many(keys))
+
+
+@query(MERGE3.replace("key, ts, value, src_rank FROM (", "key, ts, value FROM (", 1))
+def merge_of_merges(spark, sf_dir):
+    """Newest source wins, whichever way merges are put together."""
+    a, b, c = _three(spark, sf_dir)
+    return shown(M.merge_bin(a, M.merge_multi([b, c]).drop("src_rank")))
+
+
+@query(f"SELECT count(*) AS n_entries, CAST(sum(strlen(key) + strlen(value) + 16) + 2 AS BIGINT) AS estimated_bytes FROM ({ENTRIES})")
+def level_estimated_size(spark, sf_dir):
+    """Before it is written."""
+    return estimated_size(orders(spark, sf_dir))
+
+
+@query("SELECT CAST(4 AS BIGINT) AS n_files, true AS blocks_add_up, true AS blocks_in_each")
+def level_blocks(spark, sf_dir):
+    """Sizes of files and how many blocks they take up."""
+    level = write_level(orders(spark, sf_dir), new_path(spark, "level"), files=4, block_bytes=4096)
+    b = F.col("n_blocks")
+    fits = (b * 4096 >= F.col("file_bytes")) & ((b - 1) * 4096 < F.col("file_bytes"))
+    return level.manifest.agg(F.count("*").alias("n_files"), F.bool_and(fits).alias("blocks_add_up"), F.bool_and(b > 1).alias("blocks_in_each"))
+
+
 @query(f"SELECT CAST(8 AS BIGINT) AS n_files, CAST(count(*) AS BIGINT) AS num_rows, CAST(max(ts) AS BIGINT) AS max_ts, false AS overlapping FROM ({ENTRIES})")
 def level_files(spark, sf_dir):
     path = new_path(spark, "level")
@@ -437,16 +524,16 @@ def prefix_overlap(spark, sf_dir):
     return _with_first(spark, sf_dir).select(text("key").alias("key"), text("first_key").alias("first_key"), "overlap")
 
 
-@query(f"SELECT key, key AS spliced, substr(key, 1 + {OVERLAP}) AS rest FROM ({WITH_FIRST})")
+@query(f"SELECT key, key AS spliced, substr(first_key, 1, 2) || substr(key, 1 + {OVERLAP}) AS other, substr(key, 1 + {OVERLAP}) AS rest FROM ({WITH_FIRST})")
 def key_splice(spark, sf_dir):
     own = _with_first(spark, sf_dir)
-    return own.select(text("key").alias("key"), text(K.splice("first_key", "overlap", "rest")).alias("spliced"), text("rest").alias("rest"))
+    return own.select(text("key").alias("key"), text(K.splice("first_key", "overlap", "rest")).alias("spliced"), text(K.splice("first_key", F.lit(2), "rest")).alias("other"), text("rest").alias("rest"))
 
 
-@query("SELECT n_nationkey, '#' || n_name || '#' AS printed, strlen(n_name) + 2 AS size, false AS empty FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE '#' || n_name || '#' END AS printed, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE strlen(n_name) + 2 END AS size, n_nationkey % 5 = 0 AS empty FROM nation")
 def key_functions(spark, sf_dir):
     nul = F.unhex(F.lit("00"))
-    key = F.concat(nul, F.col("n_name").cast("binary"), nul)
+    key = F.when(F.col("n_nationkey") % 5 == 0, F.unhex(F.lit(""))).otherwise(F.concat(nul, F.col("n_name").cast("binary"), nul))
     return table(spark, sf_dir, "nation").select("n_nationkey", K.printable(key).alias("printed"), K.size(key).cast("bigint").alias("size"), K.is_empty(key).alias("empty"))
 
 
@@ -456,11 +543,24 @@ def little_endian(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", K.from_little_endian(code, 0, 4).alias("decoded"), K.size(code).cast("bigint").alias("n_bytes"), F.hex(code).alias("encoded"))
 
 
-@query("SELECT 'CBF43926' AS crc")
+#: Reflected CRC-32, bit by bit, by a list fold.
+CRC_SQL = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen(t) + 1), lambda i: CAST(ascii(substr(t, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+
+
+@query(f"SELECT t, printf('%08X', xor({CRC_SQL}, 4294967295)) AS crc FROM (SELECT n_name AS t FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT '123456789')")
 def checksum(spark, sf_dir):
-    """The usual check value."""
-    one = table(spark, sf_dir, "region").limit(1)
-    return one.select(F.hex(K.checksum(F.lit("123456789").cast("binary"))).alias("crc"))
+    """Of names, and of the usual check text."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("t")).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("t")))
+    every = names.unionByName(spark.range(1).select(F.lit("123456789").alias("t")))
+    return every.select("t", F.lpad(F.hex(K.checksum(F.col("t").cast("binary"))), 8, "0").alias("crc"))
+
+
+@query("SELECT n_nationkey, substr(n_name, 1, 2) || '--' || substr(n_name, 5) AS inside, substr(n_name, 1, 3) || '0123456789abcdefghijklmnopqrstuvwxyz' AS over_the_end FROM nation")
+def key_overwrite(spark, sf_dir):
+    """Bytes replaced in place; what goes over the end is appended."""
+    name, long = F.col("n_name").cast("binary"), F.lit("0123456789abcdefghijklmnopqrstuvwxyz").cast("binary")
+    return table(spark, sf_dir, "nation").select("n_nationkey", text(K.overwrite(name, 2, F.lit("--").cast("binary"))).alias("inside"), text(K.overwrite(name, 3, long)).alias("over_the_end"))
 
 
 # --- Bloom filters ------------------------------------------------------------------------------------------------
@@ -479,27 +579,58 @@ def _even(spark, sf_dir) -> tuple[DataFrame, Bloom]:
     return rows, Bloom.build(rows.where("member"), Parameters(rows.count(), 0.01))
 
 
+def _and_third(spark, sf_dir) -> tuple[DataFrame, Bloom, Bloom]:
+    """Keys as numbers, and filters of those divisible by 2 and by 3."""
+    rows = orders(spark, sf_dir).select("key", F.col("key").cast("string").cast("bigint").alias("k"))
+    p = Parameters(rows.count(), 0.01)
+    return rows, Bloom.build(rows.where("k % 2 = 0"), p), Bloom.build(rows.where("k % 3 = 0"), p)
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS members, CAST(count(*) AS BIGINT) AS found, true AS few_false FROM orders WHERE o_orderkey % 2 = 0")
 def bloom_probe(spark, sf_dir):
     """No member is missed, and at most 1 % of all probes are false positives."""
     rows, bloom = _even(spark, sf_dir)
-    hit = bloom.contains(rows, unique=True)
+    hit = bloom.contains(rows)
     found = F.count(F.when(F.col("member") & F.col("maybe"), 1))
     return hit.agg(F.count(F.when(F.col("member"), 1)).alias("members"), found.alias("found"), (F.count(F.when(~F.col("member") & F.col("maybe"), 1)) <= 0.01 * F.count("*")).alias("few_false"))
 
 
-@query("SELECT true AS all_even, true AS all_in_union, true AS all_in_intersection, true AS difference_of_itself_is_empty, true AS all_in_folded")
+SETS = {"and": "k % 6 = 0", "or": "k % 2 = 0 OR k % 3 = 0", "folded": "k % 2 = 0"}
+
+
+@query("WITH o AS (SELECT o_orderkey AS k FROM orders) " + " UNION ALL ".join(f"SELECT '{name}' AS operation, CAST(count(*) FILTER (WHERE {own}) AS BIGINT) AS members, CAST(count(*) FILTER (WHERE {own}) AS BIGINT) AS found, true AS few_false FROM o" for name, own in SETS.items()))
 def bloom_set_operations(spark, sf_dir):
-    rows, even = _even(spark, sf_dir)
-    third = rows.where(F.col("key").cast("string").cast("bigint") % 3 == 0).select("key")
-    other = Bloom.build(third, Parameters(rows.count(), 0.01))
-    sixth = third.where(F.col("key").cast("string").cast("bigint") % 2 == 0)
-    own = rows.where("member").select("key")
-    out = even.contains_all(own).select(F.col("contains_all").alias("all_even"))
-    out = out.withColumn("all_in_union", F.lit((even | other).contains_all(third).first()[0]))
-    out = out.withColumn("all_in_intersection", F.lit((even & other).contains_all(sixth).first()[0]))
-    out = out.withColumn("difference_of_itself_is_empty", F.lit((even ^ even).contains_none(own).first()[0]))
-    return out.withColumn("all_in_folded", F.lit(even.folded(even.table_size // 4).contains_all(own).first()[0] if even.table_size % 4 == 0 else True))
+    """Members of the intersection, union and folded filter, those found, and whether few others are."""
+    rows, even, third = _and_third(spark, sf_dir)
+    made = {"and": even & third, "or": even | third, "folded": even.folded(even.table_size // 2) if even.buckets % 2 == 0 else even}
+    out = None
+    for name, own in SETS.items():
+        member = F.expr(own)
+        hit = made[name].contains(rows).agg(F.lit(name).alias("operation"), F.count(F.when(member, 1)).alias("members"), F.count(F.when(member & F.col("maybe"), 1)).alias("found"), (F.count(F.when(~member & F.col("maybe"), 1)) <= 0.1 * F.count("*")).alias("few_false"))
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+@query("SELECT CAST(0 AS BIGINT) AS itself, CAST(0 AS BIGINT) AS other_way, CAST(0 AS BIGINT) AS back, CAST(count(*) AS BIGINT) AS still_found FROM orders WHERE o_orderkey % 2 = 0")
+def bloom_difference(spark, sf_dir):
+    """Bits of a ^ a, of (a ^ b) ^ (b ^ a), of (a ^ b) ^ b ^ a, and members of a that are in (a ^ b) ^ b."""
+    rows, a, b = _and_third(spark, sf_dir)
+    either = a ^ b
+    left = [x.set_bits().first()[0] for x in (a ^ a, either ^ (b ^ a), (either ^ b) ^ a)]
+    found = (either ^ b).contains(rows.where("k % 2 = 0")).agg(F.count(F.when(F.col("maybe"), 1)).alias("still_found"))
+    return found.select(*(F.lit(n).cast("bigint").alias(name) for n, name in zip(left, ("itself", "other_way", "back"), strict=True)), "still_found")
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE o_orderkey % 2 = 0) AS BIGINT) AS inserted, true AS same, false AS same_as_other, CAST(0 AS BIGINT) AS bits_when_cleared, CAST(count(*) FILTER (WHERE o_orderkey % 2 = 0) AS BIGINT) AS found FROM orders")
+def bloom_round_trip(spark, sf_dir):
+    """Written and read again."""
+    rows, a, b = _and_third(spark, sf_dir)
+    path = new_path(spark, "bloom")
+    a.write(path)
+    again = Bloom.read(spark, path)
+    found = again.contains(rows.where("k % 2 = 0")).agg(F.count(F.when(F.col("maybe"), 1)).alias("found"))
+    facts = {"inserted": again.inserted, "same": again.same_as(a), "same_as_other": again.same_as(b), "bits_when_cleared": again.cleared().set_bits().first()[0]}
+    return found.select(*(F.lit(v).cast("boolean" if isinstance(v, bool) else "bigint").alias(k) for k, v in facts.items()), "found")
 
 
 # --- Streaming (an extension) -------------------------------------------------------------------------------------

@@ -1,46 +1,87 @@
 """Sorted runs as Parquet: a level is a folder of files with disjoint, ascending key ranges, and a manifest.
 
-Files come from a range partition on (klen, key), are sorted inside and carry a Bloom filter on the key, so Parquet's
-own statistics and filters serve scans and point lookups. The manifest has one row a file and prunes files before any is
-opened.
+Files come from a range partition on (klen, key), are sorted inside and carry a Bloom filter on the key and a checksum for
+every page, so Parquet's own statistics and filters serve scans and point lookups. The manifest has one row a file and
+prunes files before any is opened; each row has a checksum and the number of files, and opening a level checks both.
+
+Edge cases. No entries: a level without files. A manifest that is missing, or that lacks rows or has others than were
+written: opening fails. Damaged pages: reading fails where ``verify`` is on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import RUN_SCHEMA
-from ..operators.blocks import locate_block
+from ..operators.blocks import COUNT_BYTES, ENTRY_BYTES, OFFSET_BYTES, locate_block
+from ..operators.bloom import Bloom, Parameters
 from ..operators.bounds import NEG_INF, POS_INF, Bound, is_valid, scan
 
-MANIFEST = "_manifest"
+MANIFEST, FILTER = "_manifest", "_filter"
+BLOCK_BYTES = 128 << 20
+
 
+def arranged(entries: DataFrame, files: int | None = None) -> DataFrame:
+    """Entries by ranges of (klen, key), a partition a file; without ``files`` adaptive execution sizes them."""
+    return entries.repartitionByRange(*([] if files is None else [files]), "klen", "key")
 
-def write_run(entries: DataFrame, path: str, files: int | None = None, expected_keys: int | None = None, fpp: float = 0.01, block_bytes: int = 128 << 20) -> None:
-    """Write entries (unique keys) as sorted files; without ``files`` adaptive execution sizes them."""
-    number = [] if files is None else [files]
-    ordered = entries.select(*RUN_SCHEMA.fieldNames()).repartitionByRange(*number, "klen", "key").sortWithinPartitions("klen", "key")
+
+def write_run(entries: DataFrame, path: str, files: int | None = None, expected_keys: int | None = None, fpp: float = 0.01, block_bytes: int = BLOCK_BYTES, is_arranged: bool = False) -> None:
+    """Write entries (unique keys) as sorted files; entries that come from arranged() aren't dealt out again."""
+    own = entries.select(*RUN_SCHEMA.fieldNames())
+    ordered = (own if is_arranged else arranged(own, files)).sortWithinPartitions("klen", "key")
     out = ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(fpp)).option("parquet.block.size", block_bytes)
     (out.option("parquet.bloom.filter.expected.ndv#key", str(expected_keys)) if expected_keys else out).parquet(path)
 
 
-def describe(spark: SparkSession, path: str, level_id: int = 0) -> DataFrame:
-    """A row for each file: level_id, sst_id, path, first and last key, num_rows, max_ts and file_bytes."""
+def estimated_size(entries: DataFrame) -> DataFrame:
+    """One row, before anything is written: n_entries and estimated_bytes of keys, values and their places in blocks."""
+    each = F.octet_length("key") + F.octet_length("value") + ENTRY_BYTES + OFFSET_BYTES
+    return entries.agg(F.count("*").alias("n_entries"), (F.coalesce(F.sum(each), F.lit(0)) + COUNT_BYTES).cast("bigint").alias("estimated_bytes"))
+
+
+def describe(spark: SparkSession, path: str, level_id: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each file: level_id, sst_id, path, first and last key, num_rows, max_ts, file_bytes and n_blocks.
+
+    Reads keys and timestamps only. n_blocks is how many blocks of ``block_bytes`` the file takes up.
+    """
     rows = spark.read.schema(RUN_SCHEMA).parquet(path).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_bytes"))
     files = rows.groupBy("path", "file_bytes").agg(F.min(F.struct("klen", "key")).alias("f"), F.max(F.struct("klen", "key")).alias("l"), F.count("*").alias("num_rows"), F.max("ts").alias("max_ts"))
     order = Window.orderBy("f")  # a row for each file
-    return files.select(F.lit(level_id).alias("level_id"), (F.row_number().over(order) - 1).alias("sst_id"), "path", F.col("f.klen").alias("first_klen"), F.col("f.key").alias("first_key"), F.col("l.klen").alias("last_klen"), F.col("l.key").alias("last_key"), "num_rows", "max_ts", "file_bytes")
+    return files.select(F.lit(level_id).alias("level_id"), (F.row_number().over(order) - 1).alias("sst_id"), "path", F.col("f.klen").alias("first_klen"), F.col("f.key").alias("first_key"), F.col("l.klen").alias("last_klen"), F.col("l.key").alias("last_key"), "num_rows", "max_ts", "file_bytes", F.ceil(F.col("file_bytes") / block_bytes).cast("bigint").alias("n_blocks"))
+
+
+def _row_checksum(columns: list[str]) -> Column:
+    text = [F.coalesce(F.col(c).cast("string") if c.endswith("_id") or c == "path" else F.hex(F.col(c).cast("string").cast("binary")), F.lit("-")) for c in columns]
+    return F.crc32(F.concat_ws("|", *text).cast("binary"))
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One short row a file, with its checksum and how many rows there are."""
+    n = F.count("*").over(Window.partitionBy())
+    manifest.withColumns({"row_crc": _row_checksum(manifest.columns), "n_files": n}).coalesce(1).write.parquet(f"{path}/{MANIFEST}")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Checked; ValueError if it isn't what was written."""
+    rows = spark.read.parquet(f"{path}/{MANIFEST}")
+    own = [c for c in rows.columns if c not in ("row_crc", "n_files")]
+    wrong, n, said, least = rows.agg(F.count(F.when(F.col("row_crc") != _row_checksum(own), 1)), F.count("*"), F.max("n_files"), F.min("n_files")).first()
+    if wrong or n != (said or 0) or said != least:
+        raise ValueError(f"the manifest of {path} is damaged")
+    return rows.select(*own)
 
 
 class Level:
-    """Sorted files that don't overlap."""
+    """Sorted files that don't overlap; ``verify`` has every page's checksum compared when it is read."""
 
-    def __init__(self, spark: SparkSession, manifest: DataFrame, check: bool = True) -> None:
-        self.spark, self.manifest = spark, manifest
+    def __init__(self, spark: SparkSession, manifest: DataFrame, check: bool = True, verify: bool = False, key_filter: Bloom | None = None) -> None:
+        self.spark, self.manifest, self.verify, self.key_filter = spark, manifest, verify, key_filter
+        self._pinned: dict[tuple[str, ...], DataFrame] = {}
         if check and not self.overlaps().isEmpty():
             raise ValueError("files of a level overlap")
 
@@ -51,8 +92,9 @@ class Level:
         return self.manifest.withColumn("before", before).where(F.struct(F.col("first_klen").alias("last_klen"), F.col("first_key").alias("last_key")) <= F.col("before")).drop("before")
 
     @staticmethod
-    def open(spark: SparkSession, path: str) -> Level:
-        return Level(spark, spark.read.parquet(f"{path}/{MANIFEST}"), check=False)
+    def open(spark: SparkSession, path: str, verify: bool = False, with_filter: bool = False) -> Level:
+        """What write_level wrote; ``with_filter`` reads the key filter that was written beside it."""
+        return Level(spark, read_manifest(spark, path), False, verify, Bloom.read(spark, f"{path}/{FILTER}") if with_filter else None)
 
     @staticmethod
     def assemble(spark: SparkSession, levels: Sequence[Level], level_id: int = 0) -> Level:
@@ -67,11 +109,30 @@ class Level:
         return self.manifest.count()
 
     def sstable(self, sst_id: int) -> DataFrame:
-        """Entries of one file."""
-        return self._read([r[0] for r in self.manifest.where(F.col("sst_id") == sst_id).select("path").collect()])
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
+        """Entries of one file, in order."""
+        return self._read([r[0] for r in self.manifest.where(F.col("sst_id") == sst_id).select("path").collect()], exactly=True)
+
+    def _read(self, paths: list[str], exactly: bool = False) -> DataFrame:
+        """Entries of files; unless ``exactly`` is asked for, others of pinned ones may come with them."""
+        if not paths:
+            return self.spark.createDataFrame([], RUN_SCHEMA)
+        pinned = [df for held, df in self._pinned.items() if (set(held) == set(paths) if exactly else set(held) >= set(paths))]
+        if pinned:
+            return pinned[0]
+        return self.spark.read.option("parquet.page.verify-checksum.enabled", str(self.verify).lower()).schema(RUN_SCHEMA).parquet(*paths)
+
+    def pin(self, start: Bound = NEG_INF, end: Bound = POS_INF) -> Level:
+        """Keep the files that a range can touch in the executors' memory and disks, for the reads that they can answer."""
+        paths = tuple(self.files_for(start, end))
+        if paths and paths not in self._pinned:
+            self._pinned[paths] = self._read(list(paths)).persist()
+        return self
+
+    def release(self) -> None:
+        """Give up what is pinned."""
+        for df in self._pinned.values():
+            df.unpersist()
+        self._pinned.clear()
 
     def files_for(self, start: Bound = NEG_INF, end: Bound = POS_INF) -> list[str]:
         """Paths of the files that a range can touch."""
@@ -94,21 +155,39 @@ class Level:
         bound = Bound.at(key)
         return self._read(self.files_for(bound, bound)).where((F.col("klen") == len(bound.key)) & (F.col("key") == F.lit(bound.key)))
 
+    def get_many(self, keys: DataFrame) -> DataFrame:
+        """Entries of the keys (klen, key) that the level has.
+
+        The key filter, where the level has one, drops keys that are surely absent; files beyond the others aren't opened.
+        """
+        asked = keys.select("klen", "key").where("key is not null").distinct()
+        if self.key_filter is not None:
+            asked = self.key_filter.contains(asked).where("maybe").drop("maybe")
+        first, last = asked.agg(F.min(F.struct("klen", "key"))["key"], F.max(F.struct("klen", "key"))["key"]).first()
+        if first is None:
+            return self._read([])
+        start, end = Bound.at(bytes(first)), Bound.at(bytes(last))
+        return scan(self._read(self.files_for(start, end)), start, end).join(asked, ["klen", "key"], "left_semi").select(*RUN_SCHEMA.fieldNames())
+
     def locate_sstable(self, probes: DataFrame) -> DataFrame:
         """Adds sst_id: the last file that begins at or before each probe, else 0."""
         return locate_block(probes, self.manifest, "sst_id")
 
 
-def write_level(entries: DataFrame, path: str, level_id: int = 0, **options) -> Level:
-    """Write a run with its manifest and open it."""
+def write_level(entries: DataFrame, path: str, level_id: int = 0, with_filter: bool = False, verify: bool = False, **options) -> Level:
+    """Write a run with its manifest (and a filter of its keys) and open it."""
     spark = entries.sparkSession
     write_run(entries, path, **options)
-    describe(spark, path, level_id).coalesce(1).write.parquet(f"{path}/{MANIFEST}")
-    return Level.open(spark, path)
+    write_manifest(describe(spark, path, level_id, options.get("block_bytes", BLOCK_BYTES)), path)
+    if with_filter:
+        rows = Level.open(spark, path)
+        n = rows.manifest.agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
+        Bloom.build(rows.scan(ordered=False), Parameters(max(1, n), options.get("fpp", 0.01))).write(f"{path}/{FILTER}")
+    return Level.open(spark, path, verify, with_filter)
 
 
-def compact(sources: Sequence[DataFrame], path: str, **options) -> Level:
-    """Merge sources, newest first, into a new level."""
-    from ..operators.merge import merge_multi
+def compact(sources: Sequence[DataFrame], path: str, files: int | None = None, **options) -> Level:
+    """Merge sources, newest first, into a new level: dealt out once by key range, merged and written there."""
+    from ..operators.merge import newest, ranked
 
-    return write_level(merge_multi(sources), path, **options)
+    return write_level(newest(arranged(ranked(sources), files)), path, is_arranged=True, **options)

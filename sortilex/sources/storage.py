@@ -2,34 +2,83 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; a local folder only where that is unset and all executors are this machine's one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="sortilex-"))
         base = sc._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_scopes = threading.local()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: cuts lineage and survives a lost executor."""
+def new_path(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A new folder of the shared storage; within temporary() it goes at the end, or with ``outlive`` at the outer one's."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    within = getattr(_scopes, "open", [])[: -1 if outlive else None]
+    if within:
+        within[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders made inside when it ends; what is still read later has to outlive it."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        *_scopes.open, made = _scopes.open
+        remove(spark, made)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: shuffle files of tables that are written and no longer held go now, not at some time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared storage."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Tasks for each core that write a table of many small partitions.
+TASKS_PER_CORE = 4
+
+
+def materialize(df: DataFrame, name: str, small: bool = False, outlive: bool = False) -> DataFrame:
+    """Write to the shared folder as Parquet and read again: cuts lineage and survives a lost executor.
+
+    ``small`` says that the rows are short and cheap to make: partitions are written together, a few files for each core.
+    ``outlive`` is as for new_path().
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path = new_path(spark, name, outlive)
+    if small:
+        df = df.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,14 +103,22 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-#: Rows of an Arrow batch where the session has Spark's default; rows hold whole texts, and workers hold a few batches.
-BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+#: Bytes of an Arrow batch while a table is written; rows may hold whole texts, and workers hold a few batches.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand Python workers batches of bounded size; the session's own setting holds again afterwards."""
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow by a function of this package."""
-    spark = df.sparkSession
-    ship(spark)
-    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)

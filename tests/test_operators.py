@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,34 @@ def test_positions_and_lookups(spark, local_bytes):
             assert (None if r.found is None else int(r.found)) == want(int(r.key))
 
 
+@pytest.mark.parametrize("local_bytes", [0, 1 << 30])
+def test_adjacent(spark, local_bytes):
+    keys = [str(k) for k in random.Random(4).sample(range(5000), 300)]
+    order = sorted(keys, key=lambda k: (len(k), k))
+    df = frame(spark, [(k, "v") for k in keys]).repartition(5)
+    got = {r.key.decode(): (r.previous and r.previous.decode(), r.next and r.next.decode()) for r in O.adjacent(df, local_bytes).collect()}
+    assert got == {k: (order[i - 1] if i else None, order[i + 1] if i + 1 < len(order) else None) for i, k in enumerate(order)}
+    back = {r.key.decode(): r.other and r.other.decode() for r in O.step(df, -3, local_bytes).collect()}
+    assert back == {k: order[i - 3] if i >= 3 else None for i, k in enumerate(order)}
+
+
+@pytest.mark.parametrize("local_bytes", [0, 1 << 40])
+def test_nearest_is_linear(spark, local_bytes):
+    """200,000 probes of 1,000 index rows: frames that look ahead from each row would take minutes."""
+    number = F.col("id").cast("string").cast("binary")
+    index = spark.range(0, 400_000, 400).select(F.octet_length(number).alias("klen"), number.alias("key"), F.col("id").alias("found"))
+    probes = spark.range(200_000).select(F.octet_length(number).alias("klen"), number.alias("key"), F.col("id"))
+    kinds = ("at_most", "below", "at_least", "above")
+    began = time.time()
+    out = O.nearest(probes, index, "found", {k: k for k in kinds}, local_bytes)
+    # Numbers in shortlex order are in their own order.
+    low, up = F.floor(F.col("id") / 400) * 400, F.ceil(F.col("id") / 400) * 400
+    want = (low, F.when(F.col("id") % 400 == 0, F.when(F.col("id") > 0, F.col("id") - 400)).otherwise(low), up, F.when(F.col("id") % 400 == 0, F.col("id") + 400).otherwise(up))
+    same = [F.col(k).eqNullSafe(w) for k, w in zip(kinds, want, strict=True)]
+    assert out.where(same[0] & same[1] & same[2] & same[3]).count() == 200_000
+    assert time.time() - began < 60
+
+
 def test_packed_blocks(spark):
     rows = [(str(k), "x" * (k % 7)) for k in range(400)]
     got = [(r.key.decode(), r.block, r.idx) for r in B.packed_blocks(frame(spark, rows), 200, files=1).orderBy("klen", "key").collect()]
@@ -103,6 +132,21 @@ def test_erase_insert_step(spark):
     assert tuple(map(bytes, O.ends(a).first())) == (b"1", b"20")
 
 
+def test_bloom_null_keys_and_sizes(spark, monkeypatch):
+    rows = spark.createDataFrame([("a",), (None,), ("b",), (None,)], "key string")
+    own = Bloom.build(rows, Parameters(4, 0.001))
+    assert own.contains(rows).where("not maybe").isEmpty() and own.inserted == 4
+    assert Bloom.build(rows.where("key is not null"), Parameters(4, 0.001)).contains(rows).where("key is null and maybe").isEmpty()
+    assert Bloom.build(rows.limit(0)).contains(rows).where("maybe").isEmpty()
+    many = spark.range(40_000).select(F.col("id").cast("string").alias("key"))
+    large = Bloom.build(many.where("key % 2 = 0"), Parameters(20_000, 0.01))
+    assert large.buckets % 8 == 0
+    counts = [large.contains(many).where("maybe").count()]
+    monkeypatch.setattr("sortilex.operators.bloom.BROADCAST_BYTES", 0)
+    counts.append(large.contains(many).where("maybe").count())
+    assert counts[0] == counts[1] and 20_000 <= counts[0] <= 20_000 + 260
+
+
 def test_bloom(spark, tmp_path):
     assert Parameters(512, 0.01).optimal() == (7, 4912)
     with pytest.raises(ValueError):
@@ -116,6 +160,10 @@ def test_bloom(spark, tmp_path):
     assert (even | odd).contains_all(keys).first()[0] and (even ^ even).contains_none(keys).first()[0]
     assert (even & even).same_as(even) and not even.same_as(odd) and even.cleared().contains_none(keys).first()[0]
     assert (even & Bloom.build(keys, Parameters(10, 0.5))).same_as(even)
-    assert even.folded(even.table_size // 2).contains_all(keys.where("member")).first()[0]
+    assert even.buckets == 2 and even.folded(even.table_size // 2).contains_all(keys.where("member")).first()[0]
+    with pytest.raises(ValueError):
+        even.folded(even.table_size // 4)
+    assert (even ^ odd).set_bits().first()[0] == even.set_bits().first()[0] + odd.set_bits().first()[0] - 2 * (even & odd).set_bits().first()[0]
+    assert ((even ^ odd) ^ odd).words.exceptAll(even.words).isEmpty()
     even.write(f"{tmp_path}/bloom")
     assert Bloom.read(spark, f"{tmp_path}/bloom").same_as(even)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from sortilex.functions import keys as K
 from sortilex.operators.bounds import NEG_INF, POS_INF, Bound
 from sortilex.sources.memtable import MemTable
-from sortilex.sources.runs import Level, compact, describe, write_level
+from sortilex.sources.runs import MANIFEST, Level, compact, describe, estimated_size, write_level
+from sortilex.sources.store import Store
 
 at = Bound.at
 
@@ -111,3 +112,69 @@ def test_merges_against_model(spark, tmp_path):
     frames = [K.entries(spark.createDataFrame([(k,) for k in own], "k bigint"), "k", F.lit(i)) for i, own in enumerate(picks)]
     got = [(int(r.key), int(r.value)) for r in compact(frames, f"{tmp_path}/c", files=3).scan().collect()]
     assert got == sorted(model.items())
+
+
+def test_store_reads_the_newest(spark, tmp_path):
+    """Buffer over three levels, against a dictionary; then flushed and compacted."""
+    rng = random.Random(1)
+    picks = [rng.sample(range(10_000), n) for n in (700, 500, 600, 700)]
+    model = {}
+    for i, own in reversed(list(enumerate(picks))):
+        model |= dict.fromkeys(own, i)
+    frames = [K.entries(spark.createDataFrame([(k,) for k in own], "k bigint"), "k", F.lit(i)) for i, own in enumerate(picks)]
+    store = Store(spark, MemTable(spark).put(frames[0]), [write_level(f, f"{tmp_path}/{i}", files=3, with_filter=i == 1) for i, f in enumerate(frames) if i])
+    found = lambda df: [(int(r.key), int(r.value)) for r in df.collect()]
+    ask = spark.createDataFrame([(str(k),) for k in range(0, 11_000, 3)], "k string").select(F.octet_length("k").alias("klen"), F.col("k").cast("binary").alias("key"))
+    for step in (lambda: None, lambda: store.flush(f"{tmp_path}/flushed"), lambda: store.compact(f"{tmp_path}/all", files=2)):
+        step()
+        assert found(store.scan()) == sorted(model.items())
+        assert found(store.scan(at(500), at(1200, False))) == sorted((k, v) for k, v in model.items() if 500 <= k < 1200)
+        for k in (*picks[3][:2], picks[0][0], 10_001):
+            assert found(store.get(k)) == [(k, model[k])] * (k in model)
+        assert sorted(found(store.get_many(ask))) == sorted((k, v) for k, v in model.items() if k % 3 == 0)
+    assert len(store.levels) == 1 and Store(spark).scan().isEmpty() and Store(spark).get(1).isEmpty()
+    assert Store(spark).compact(f"{tmp_path}/none").scan().isEmpty()
+
+
+def test_compaction_deals_rows_out_once(spark):
+    from sortilex.operators.merge import newest, ranked
+    from sortilex.sources.runs import arranged
+
+    a, b = (K.entries(spark.range(n), "id", "id") for n in (100, 200))
+    plan = newest(arranged(ranked([a, b]), 3)).sortWithinPartitions("klen", "key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning" not in plan
+
+
+def test_damage_is_noticed(spark, tmp_path):
+    rows = K.entries(spark.range(5000), "id", F.sha2(F.col("id").cast("string"), 256))
+    path = f"{tmp_path}/run"
+    write_level(rows, path, files=1)
+    assert Level.open(spark, path, verify=True).scan(ordered=False).count() == 5000
+    file = next((tmp_path / "run").glob("part-*.parquet"))
+    (tmp_path / "run" / f".{file.name}.crc").unlink()  # the local file system's own check
+    raw = bytearray(file.read_bytes())
+    middle = len(raw) // 2
+    raw[middle] ^= 0x55
+    file.write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        Level.open(spark, path, verify=True).scan(ordered=False).agg(F.sum(F.crc32("value")), F.sum(F.crc32("key"))).collect()
+    manifest = spark.read.parquet(f"{path}/{MANIFEST}")
+    manifest.withColumn("num_rows", F.lit(7).cast("bigint")).write.parquet(f"{tmp_path}/bad/{MANIFEST}")
+    manifest.limit(0).write.parquet(f"{tmp_path}/short/{MANIFEST}")
+    manifest.withColumn("n_files", F.lit(2).cast("bigint")).write.parquet(f"{tmp_path}/lost/{MANIFEST}")
+    for name in ("bad", "lost"):
+        with pytest.raises(ValueError, match="damaged"):
+            Level.open(spark, f"{tmp_path}/{name}")
+    with pytest.raises(Exception, match="(?i)not.*exist|PATH_NOT_FOUND"):
+        Level.open(spark, f"{tmp_path}/missing")
+
+
+def test_pinned_files(spark, level):
+    before = numbers(level.scan(at(100), at(900)))
+    level.pin(at(400), at(600))
+    assert numbers(level.scan(at(450), at(500))) == [k for k in before if 450 <= k <= 500] and numbers(level.get(455)) == [455]
+    assert numbers(level.scan(at(100), at(900))) == before and sum(level.sstable(i).count() for i in range(10)) == 1000
+    level.release()
+    size = estimated_size(level.scan(ordered=False)).first()
+    assert size.n_entries == 1000 and size.estimated_bytes > 16_000
+    assert all(r.n_blocks == 1 for r in level.manifest.collect())
