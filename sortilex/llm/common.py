@@ -8,9 +8,9 @@ from typing import TypeVar
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.storage import map_batches, materialize, new_path, shared_dir
+from ..sources.storage import map_batches, materialize, new_path, release_shuffles, remove, shared_dir, small_batches, temporary
 
-__all__ = ["crc_of_id", "map_batches", "materialize", "new_path", "shared_dir", "tokens", "uniform", "words", "worker_cache"]
+__all__ = ["crc_of_id", "map_batches", "materialize", "new_path", "release_shuffles", "remove", "shared_dir", "small_batches", "temporary", "tokens", "uniform", "words", "worker_cache"]
 
 #: Byte table: A-Z to lower case, everything that cannot be part of a word to a space.
 #: Bytes of 0x80 and above only occur inside non-ASCII characters, which all count as word characters.

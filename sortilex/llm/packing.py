@@ -17,6 +17,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, new_path
-from .pretokens import encoder
+from .common import map_batches, new_path, small_batches
+from .pretokens import encoder, text_groups
 
 SEQ_LEN, ROWS_PER_BATCH = 1024, 256
 
@@ -146,15 +147,17 @@ def write_shards(docs: DataFrame, tokenizer_path: str, root: str, end_id: int =
         enc, out = encoder(tokenizer_path), None
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = out or _ShardWriter(root, f"shard-{shard:06d}.arrow", enc.dtype, seq_len)
-                out.add(doc_id, enc.ids(text.as_py()) + end)
+            out = out or _ShardWriter(root, f"shard-{shard:06d}.arrow", enc.dtype, seq_len)
+            ids = chain.from_iterable(enc.ids_of(group) for group in text_groups(batch.column(1).to_pylist()))
+            for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
+                out.add(doc_id, own + end)
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{root}/shard-{shard:06d}.arrow"]), pa.array([len(out.ids)], pa.int64()), pa.array([out.n_tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
     manifest = map_batches(ordered, write, "shard bigint, path string, n_docs bigint, n_tokens bigint")
-    manifest.write.parquet(f"{root}/manifest")
+    with small_batches(spark):
+        manifest.write.parquet(f"{root}/manifest")
     manifest = spark.read.parquet(f"{root}/manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one short row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("bigint"))

@@ -3,32 +3,43 @@
 The vocabulary's pre-tokenizer never joins characters across a single space that stands between two other characters
 that are not white space: such a space always starts a new pre-token. A text can therefore be cut there and each piece
 (the space and what follows) encoded alone and remembered. Where a space touches other white space or an end of the
-text, the pieces around it are joined again and encoded as one, so results are the library's for every text.
+text, the pieces around it are joined again and encoded as one, so results are the library's for every text. New pieces are
+encoded as one text: tokens that begin with a space, and no others, begin a piece. A piece of letters is one pre-token, and
+marks that end such a piece another, so ASCII words go to the library already split.
+
+All this holds for a byte-level pre-tokenizer with the usual split, without a normaliser and with special strings in <| |>.
+With any other, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import string
 from array import array
+from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 
 from .common import worker_cache
 
 #: Entries of the newer half of a worker's cache (each about 150 bytes); when it is full, the older half is forgotten.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 600_000
 #: First pieces of texts that a worker remembers; all are forgotten at once.
 FIRST_ENTRIES = 30_000
 
-#: A single one of these after one of these letters is cut off, so that a word is encoded once with and without it.
-END_MARKS, LETTERS = ".,;:!?", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Texts and characters that are looked up together.
+GROUP_TEXTS, GROUP_CHARS = 64, 400_000
+
+SPACE = "Ġ"  # a space in the vocabulary's spelling of bytes
 
 class PieceEncoder:
     """ids(text) for one tokenizer file; pieces seen before come from the cache."""
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -37,7 +48,16 @@ class PieceEncoder:
         self.dtype = np.dtype("u4" if self.wide else "u2")
         self.code = self.dtype.char
         self.cache_entries = cache_entries
-        self.marks = dict(zip(END_MARKS, self.encode(list(END_MARKS)), strict=True))
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        special = all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in made["added_tokens"])
+        plain = made["model"].get("type") == "BPE" and not made["normalizer"] and special
+        self.by_piece = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t[0] == SPACE]] = True
+        self.by_word = Tokenizer(self.tokenizer.model)
+        self.by_word.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.marks: dict[str, bytes] = {}
         self.cache: dict[str, bytes | None] = {}
         self.firsts: dict[str, bytes] = {}
         self.older: dict[str, bytes | None] = {}
@@ -45,64 +65,103 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def first(self, piece: str) -> bytes:
-        """Of a text's first piece, which has no space before it."""
-        if piece not in self.firsts:
-            if len(self.firsts) >= FIRST_ENTRIES:
-                self.firsts.clear()
-            self.firsts[piece] = self.encode([piece])[0]
-        return self.firsts[piece]
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Of pieces that may be cut off, each with a space before it."""
+        return self._cut(self.tokenizer, " " + " ".join(pieces), len(pieces)) or self.encode([" " + p for p in pieces])
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """As encode_pieces, of ASCII letters alone, which the vocabulary spells as they are."""
+        return self._cut(self.by_word, SPACE + (" " + SPACE).join(words), len(words)) or self.encode_pieces(words)
+
+    def _cut(self, tokenizer, text: str, n: int) -> list[bytes] | None:
+        """A text's ids before each token that begins with a space, if these are n."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        starts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip(starts, [*starts[1:], len(whole)], strict=True)] if len(starts) == n else None
+
+    def mark(self, marks: str) -> bytes:
+        """Of marks after letters."""
+        if marks not in self.marks:
+            if len(self.marks) >= FIRST_ENTRIES:
+                self.marks.clear()
+            self.marks[marks] = self.encode([marks])[0]
+        return self.marks[marks]
 
     def learn(self, pieces: list[str]) -> None:
         """Remember pieces (without the space before them); None marks those that can't be cut off."""
-        if len(self.cache) + len(pieces) > self.cache_entries:
-            self.older, self.cache = self.cache, {}
-        new: dict[str, None] = {}
-        ended: list[str] = []
+        cache, older = self.cache, self.older
+        words: dict[str, None] = {}
+        others: dict[str, None] = {}
+        ended: list[tuple[str, str]] = []
         for p in dict.fromkeys(pieces):
-            if p in self.older:
-                self.cache[p] = self.older[p]
+            if p in older:
+                cache[p] = older[p]
+            elif p.isalpha():
+                (words if p.isascii() else others)[p] = None
             elif not p or p[0].isspace() or p[-1].isspace():
-                self.cache[p] = None
-            elif len(p) > 1 and p[-1] in END_MARKS and p[-2] in LETTERS:
-                ended.append(p)  # a mark after a letter is a pre-token of its own
-                if p[:-1] in self.older:
-                    self.cache[p[:-1]] = self.older[p[:-1]]
-                elif p[:-1] not in self.cache:
-                    new[p[:-1]] = None
+                cache[p] = None
+            elif (stem := p.rstrip(string.punctuation)).isalpha():
+                ended.append((p, stem))
+                if stem in older:
+                    cache[stem] = older[stem]
+                elif stem not in cache:
+                    (words if stem.isascii() else others)[stem] = None
             else:
-                new[p] = None
-        self.cache.update(zip(new, self.encode([" " + p for p in new]), strict=True))
-        for p in ended:
-            self.cache[p] = self.cache[p[:-1]] + self.marks[p[-1]]
+                others[p] = None
+        if words:
+            cache.update(zip(words, self.encode_words(list(words)), strict=True))
+        if others:
+            cache.update(zip(others, self.encode_pieces(list(others)), strict=True))
+        for p, stem in ended:
+            cache[p] = cache[stem] + self.mark(p[len(stem) :])
+
+    def _look_up(self, texts: list[str], known: dict[str, int]) -> list[list[str]]:
+        """Texts cut at spaces; afterwards their pieces are in the cache, if not in ``known``."""
+        cut = [t.split(" ") for t in texts]
+        every = chain.from_iterable(c[1:] for c in cut)
+        missing = list(filterfalse(self.cache.__contains__, filterfalse(known.__contains__, every) if known else every))
+        if len(self.cache) + len(missing) > self.cache_entries:
+            self.older, self.cache = self.cache, {}
+            missing = [p for c in cut for p in c[1:] if p not in known]
+        self.learn(missing)
+        if len(self.firsts) > FIRST_ENTRIES:
+            self.firsts.clear()
+        firsts = list(dict.fromkeys(c[0] for c in cut if c[0] not in self.firsts))
+        self.firsts.update(zip(firsts, self.encode(firsts) if firsts else [], strict=True))
+        return cut
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, as integers of ``dtype``."""
+        if not self.by_piece:
+            return self.encode(texts)
+        out = []
+        for first, *rest in self._look_up(texts, {}):
+            own = list(map(self.cache.get, rest))
+            broken = None in own or rest and (not first or first[-1].isspace())
+            out.append(self._joined([first, *rest]) if broken else self.firsts[first] + b"".join(own))
+        return out
+
+    def counts_of(self, texts: list[str], known: dict[str, int]) -> list[int]:
+        """Number of ids of each text; known has the numbers of pieces that are looked up first."""
+        size = self.dtype.itemsize
+        if not self.by_piece:
+            return [len(x) // size for x in self.encode(texts)]
+        out = []
+        for first, *rest in self._look_up(texts, known):
+            sizes = list(map(known.get, rest))
+            own = [self.cache.get(p) for p, n in zip(rest, sizes, strict=True) if n is None]
+            if None in own or rest and (not first or first[-1].isspace()):
+                out.append(len(self._joined([first, *rest])) // size)
+            else:
+                out.append(sum(filter(None, sizes)) + (len(b"".join(own)) + len(self.firsts[first])) // size)
+        return out
 
     def ids(self, text: str) -> bytes:
-        """All ids of the text, as integers of ``dtype``."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        out = list(map(self.cache.get, rest))
-        if None in out:
-            self.learn([p for p, x in zip(rest, out, strict=True) if x is None and p not in self.cache])
-            out = [self.cache.get(p) if x is None else x for p, x in zip(rest, out, strict=True)]
-            if None in out:
-                return self._joined([first, *rest])
-        if not first or first[-1].isspace():
-            return self._joined([first, *rest])
-        return self.first(first) + b"".join(out)
+        return self.ids_of([text])[0]
 
     def count(self, text: str, known: dict[str, int]) -> int:
-        """Number of ids; known has the numbers of pieces that are looked up first."""
-        first, *rest = text.split(" ")
-        sizes = list(map(known.get, rest))
-        missed = [p for p, n in zip(rest, sizes, strict=True) if n is None]
-        out = list(map(self.cache.get, missed))
-        if None in out:
-            self.learn([p for p, x in zip(missed, out, strict=True) if x is None and p not in self.cache])
-            out = [self.cache.get(p) if x is None else x for p, x in zip(missed, out, strict=True)]
-        if None in out or not first or first[-1].isspace():
-            return len(self._joined([first, *rest])) // self.dtype.itemsize
-        return sum(filter(None, sizes)) + (len(b"".join(out)) + len(self.first(first))) // self.dtype.itemsize
+        return self.counts_of([text], known)[0]
 
     def _joined(self, pieces: list[str]) -> bytes:
         """As ids(), for texts with spaces where no cut may be made: those pieces are joined to their neighbours."""
@@ -124,6 +183,18 @@ class PieceEncoder:
         return b"".join(out)
 
 
+def text_groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of bounded size."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if i - lo + 1 >= GROUP_TEXTS or size >= GROUP_CHARS:
+            yield texts[lo : i + 1]
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield texts[lo:]
+
+
 def encoder(path: str) -> PieceEncoder:
     """This process's encoder for a tokenizer file."""
     return worker_cache(("encoder", path), lambda: PieceEncoder(path))

@@ -3,8 +3,8 @@
 Tier one is a broadcast table from frequent pieces (white-space pieces with the space before them, see pretokens) to
 their numbers of tokens; tier two is each worker's cache, filled by the tokenizer library for pieces that the table
 misses. No piece is ever shuffled: the table's candidates are the pieces that make up at least ``share`` of some task's
-pieces. By the pigeonhole principle these include every piece with that share of the corpus, and their number is at most
-1 / share for a task and ``table_entries`` in the table. The table only saves time; counts don't depend on it.
+pieces, as far as the task's counter of bounded size tells: pieces that stay rare for long are dropped and counted anew. Their
+number is at most 1 / share for a task and ``table_entries`` in the table. The table only saves time; counts don't depend on it.
 
 Edge cases. Null or empty text: no bytes, no tokens. Ties and repeated rows: each row is counted alone. Empty table:
 empty result. Columns besides ``keep`` and the text are not read; a kept column named like a result is replaced by it.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches
-from .pretokens import encoder
+from .pretokens import encoder, text_groups
 
 #: Least share of a task's pieces for a candidate, most entries and longest piece of the broadcast table (about 2 MB).
 SHARE, TABLE_ENTRIES, LONGEST = 1e-4, 16_384, 48
@@ -63,10 +64,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = (
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, enc = table.value, encoder(tokenizer_path)
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for s in batch.column(batch.num_columns - 1):
-                n_bytes.append(s.as_buffer().size if s.is_valid else 0)
-                n_tokens.append(enc.count(s.as_py(), known) if n_bytes[-1] else 0)
+            n_bytes = [s.as_buffer().size if s.is_valid else 0 for s in batch.column(batch.num_columns - 1)]
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            n_tokens = list(chain.from_iterable(enc.counts_of(group, known) for group in text_groups(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=schema.names)
 
     return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), count, schema)

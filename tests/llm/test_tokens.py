@@ -29,6 +29,27 @@ def test_pieces_equal_the_library(library):
         assert e.count(text, {"b": 1}) == len(want)
 
 
+def test_every_letter_and_mark_equals_the_library(library):
+    """Each character before the first letters that aren't taken apart, and some after, in all kinds of pieces."""
+    e = PieceEncoder(tokenizer_path(), cache_entries=500)
+    for c in [chr(i) for i in range(0x300)] + list("ǅʰªº²½日\u2028\u0301"):
+        for text in (f"x{c}y {c}", f"{c}ab {c}ab. a{c}", f"ab {c}\nab{c} ab{c}.\n{c}x", f"ab{c}\n\nq ab\n{c} z", f" ab{c}'s it{c}' 'tis"):
+            want = library(text)
+            assert np.frombuffer(e.ids(text), e.dtype).tolist() == want, text
+            assert e.count(text, {}) == len(want)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    e, t = PieceEncoder(path), Tokenizer.from_file(path)
+    assert not e.by_piece
+    for text in ("The Cat's  mat, it\nis Über.", "", " x "):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.ids(text), e.dtype).tolist() == want and e.count(text, {}) == len(want)
+
+
 def test_counts(spark, docs, rows, clashing, empty, library):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in token_counts(docs, tokenizer_path()).collect())
     assert got == sorted((i is None, i or 0, len((t or "").encode()), len(library(t))) for i, t, *_ in rows)
