@@ -1,0 +1,305 @@
+"""License signatures, written by hand: one a line, in order.
+
+Fields: label | level | weight | keyword | regular expression | an example that it must match. Texts are lower-case words
+between single spaces, so a version 2.0 reads ``2 0``. A rule runs only where its keyword occurs. Level 0 holds identifiers
+and titles with versions, level 1 sentences of license texts and notices that name a version, level 2 mentions without a
+version, level 3 hints. Detections of a level hide what lies within them on the same or a later level.
+"""
+
+from __future__ import annotations
+
+TABLE = r"""
+mit | 0 | 1.0 | spdx license identifier mit | spdx license identifier mit | SPDX-License-Identifier: MIT
+mit-0 | 0 | 1.0 | spdx license identifier mit 0 | spdx license identifier mit 0 | SPDX-License-Identifier: MIT-0
+apache-2.0 | 0 | 1.0 | spdx license identifier apache | spdx license identifier apache 2 0 | SPDX-License-Identifier: Apache-2.0
+apache-1.1 | 0 | 1.0 | spdx license identifier apache | spdx license identifier apache 1 1 | SPDX-License-Identifier: Apache-1.1
+gpl-2.0-only | 0 | 1.0 | spdx license identifier gpl | spdx license identifier gpl 2 0 only | SPDX-License-Identifier: GPL-2.0-only
+gpl-2.0-or-later | 0 | 1.0 | spdx license identifier gpl | spdx license identifier gpl 2 0 or later | SPDX-License-Identifier: GPL-2.0-or-later
+gpl-2.0 | 0 | 1.0 | spdx license identifier gpl | spdx license identifier gpl 2 0 | SPDX-License-Identifier: GPL-2.0
+gpl-3.0-only | 0 | 1.0 | spdx license identifier gpl | spdx license identifier gpl 3 0 only | SPDX-License-Identifier: GPL-3.0-only
+gpl-3.0-or-later | 0 | 1.0 | spdx license identifier gpl | spdx license identifier gpl 3 0 or later | SPDX-License-Identifier: GPL-3.0-or-later
+gpl-3.0 | 0 | 1.0 | spdx license identifier gpl | spdx license identifier gpl 3 0 | SPDX-License-Identifier: GPL-3.0
+lgpl-2.1-only | 0 | 1.0 | spdx license identifier lgpl | spdx license identifier lgpl 2 1 only | SPDX-License-Identifier: LGPL-2.1-only
+lgpl-2.1-or-later | 0 | 1.0 | spdx license identifier lgpl | spdx license identifier lgpl 2 1 or later | SPDX-License-Identifier: LGPL-2.1-or-later
+lgpl-2.1 | 0 | 1.0 | spdx license identifier lgpl | spdx license identifier lgpl 2 1 | SPDX-License-Identifier: LGPL-2.1
+lgpl-3.0 | 0 | 1.0 | spdx license identifier lgpl | spdx license identifier lgpl 3 0(?: only| or later)? | SPDX-License-Identifier: LGPL-3.0-or-later
+agpl-3.0 | 0 | 1.0 | spdx license identifier agpl | spdx license identifier agpl 3 0(?: only| or later)? | SPDX-License-Identifier: AGPL-3.0-only
+bsd-2-clause | 0 | 1.0 | spdx license identifier bsd | spdx license identifier bsd 2 clause | SPDX-License-Identifier: BSD-2-Clause
+bsd-3-clause | 0 | 1.0 | spdx license identifier bsd | spdx license identifier bsd 3 clause | SPDX-License-Identifier: BSD-3-Clause
+bsd-3-clause-clear | 0 | 1.0 | spdx license identifier bsd | spdx license identifier bsd 3 clause clear | SPDX-License-Identifier: BSD-3-Clause-Clear
+bsd-4-clause | 0 | 1.0 | spdx license identifier bsd | spdx license identifier bsd 4 clause(?: uc)? | SPDX-License-Identifier: BSD-4-Clause-UC
+0bsd | 0 | 1.0 | spdx license identifier 0bsd | spdx license identifier 0bsd | SPDX-License-Identifier: 0BSD
+isc | 0 | 1.0 | spdx license identifier isc | spdx license identifier isc | SPDX-License-Identifier: ISC
+mpl-2.0 | 0 | 1.0 | spdx license identifier mpl | spdx license identifier mpl 2 0(?: no copyleft exception)? | SPDX-License-Identifier: MPL-2.0
+mpl-1.1 | 0 | 1.0 | spdx license identifier mpl | spdx license identifier mpl 1 1 | SPDX-License-Identifier: MPL-1.1
+epl-1.0 | 0 | 1.0 | spdx license identifier epl | spdx license identifier epl 1 0 | SPDX-License-Identifier: EPL-1.0
+epl-2.0 | 0 | 1.0 | spdx license identifier epl | spdx license identifier epl 2 0 | SPDX-License-Identifier: EPL-2.0
+cddl-1.0 | 0 | 1.0 | spdx license identifier cddl | spdx license identifier cddl 1 0 | SPDX-License-Identifier: CDDL-1.0
+cddl-1.1 | 0 | 1.0 | spdx license identifier cddl | spdx license identifier cddl 1 1 | SPDX-License-Identifier: CDDL-1.1
+eupl-1.1 | 0 | 1.0 | spdx license identifier eupl | spdx license identifier eupl 1 1 | SPDX-License-Identifier: EUPL-1.1
+eupl-1.2 | 0 | 1.0 | spdx license identifier eupl | spdx license identifier eupl 1 2 | SPDX-License-Identifier: EUPL-1.2
+unlicense | 0 | 1.0 | spdx license identifier unlicense | spdx license identifier unlicense | SPDX-License-Identifier: Unlicense
+wtfpl | 0 | 1.0 | spdx license identifier wtfpl | spdx license identifier wtfpl | SPDX-License-Identifier: WTFPL
+zlib | 0 | 1.0 | spdx license identifier zlib | spdx license identifier zlib | SPDX-License-Identifier: Zlib
+bsl-1.0 | 0 | 1.0 | spdx license identifier bsl | spdx license identifier bsl 1 0 | SPDX-License-Identifier: BSL-1.0
+busl-1.1 | 0 | 1.0 | spdx license identifier busl | spdx license identifier busl 1 1 | SPDX-License-Identifier: BUSL-1.1
+sspl-1.0 | 0 | 1.0 | spdx license identifier sspl | spdx license identifier sspl 1 0 | SPDX-License-Identifier: SSPL-1.0
+elastic-2.0 | 0 | 1.0 | spdx license identifier elastic | spdx license identifier elastic 2 0 | SPDX-License-Identifier: Elastic-2.0
+artistic-2.0 | 0 | 1.0 | spdx license identifier artistic | spdx license identifier artistic 2 0 | SPDX-License-Identifier: Artistic-2.0
+ofl-1.1 | 0 | 1.0 | spdx license identifier ofl | spdx license identifier ofl 1 1(?: no)?(?: rfn)? | SPDX-License-Identifier: OFL-1.1
+ncsa | 0 | 1.0 | spdx license identifier ncsa | spdx license identifier ncsa | SPDX-License-Identifier: NCSA
+python-2.0 | 0 | 1.0 | spdx license identifier python | spdx license identifier python 2 0(?: 1)? | SPDX-License-Identifier: Python-2.0
+psf-2.0 | 0 | 1.0 | spdx license identifier psf | spdx license identifier psf 2 0 | SPDX-License-Identifier: PSF-2.0
+php-3.01 | 0 | 1.0 | spdx license identifier php | spdx license identifier php 3 01 | SPDX-License-Identifier: PHP-3.01
+postgresql | 0 | 1.0 | spdx license identifier postgresql | spdx license identifier postgresql | SPDX-License-Identifier: PostgreSQL
+ruby | 0 | 1.0 | spdx license identifier ruby | spdx license identifier ruby | SPDX-License-Identifier: Ruby
+curl | 0 | 1.0 | spdx license identifier curl | spdx license identifier curl | SPDX-License-Identifier: curl
+openssl | 0 | 1.0 | spdx license identifier openssl | spdx license identifier openssl | SPDX-License-Identifier: OpenSSL
+ms-pl | 0 | 1.0 | spdx license identifier ms pl | spdx license identifier ms pl | SPDX-License-Identifier: MS-PL
+ms-rl | 0 | 1.0 | spdx license identifier ms rl | spdx license identifier ms rl | SPDX-License-Identifier: MS-RL
+upl-1.0 | 0 | 1.0 | spdx license identifier upl | spdx license identifier upl 1 0 | SPDX-License-Identifier: UPL-1.0
+blueoak-1.0.0 | 0 | 1.0 | spdx license identifier blueoak | spdx license identifier blueoak 1 0 0 | SPDX-License-Identifier: BlueOak-1.0.0
+cc0-1.0 | 0 | 1.0 | spdx license identifier cc0 | spdx license identifier cc0 1 0 | SPDX-License-Identifier: CC0-1.0
+cc-by-3.0 | 0 | 1.0 | spdx license identifier cc by | spdx license identifier cc by 3 0 | SPDX-License-Identifier: CC-BY-3.0
+cc-by-4.0 | 0 | 1.0 | spdx license identifier cc by | spdx license identifier cc by 4 0 | SPDX-License-Identifier: CC-BY-4.0
+cc-by-sa-3.0 | 0 | 1.0 | spdx license identifier cc by sa | spdx license identifier cc by sa 3 0 | SPDX-License-Identifier: CC-BY-SA-3.0
+cc-by-sa-4.0 | 0 | 1.0 | spdx license identifier cc by sa | spdx license identifier cc by sa 4 0 | SPDX-License-Identifier: CC-BY-SA-4.0
+cc-by-nc-4.0 | 0 | 1.0 | spdx license identifier cc by nc | spdx license identifier cc by nc 4 0 | SPDX-License-Identifier: CC-BY-NC-4.0
+cc-by-nd-4.0 | 0 | 1.0 | spdx license identifier cc by nd | spdx license identifier cc by nd 4 0 | SPDX-License-Identifier: CC-BY-ND-4.0
+cc-by-nc-sa-4.0 | 0 | 1.0 | spdx license identifier cc by nc sa | spdx license identifier cc by nc sa 4 0 | SPDX-License-Identifier: CC-BY-NC-SA-4.0
+cc-by-nc-nd-4.0 | 0 | 1.0 | spdx license identifier cc by nc nd | spdx license identifier cc by nc nd 4 0 | SPDX-License-Identifier: CC-BY-NC-ND-4.0
+odbl-1.0 | 0 | 1.0 | spdx license identifier odbl | spdx license identifier odbl 1 0 | SPDX-License-Identifier: ODbL-1.0
+pddl-1.0 | 0 | 1.0 | spdx license identifier pddl | spdx license identifier pddl 1 0 | SPDX-License-Identifier: PDDL-1.0
+gfdl-1.3 | 0 | 1.0 | spdx license identifier gfdl | spdx license identifier gfdl 1 3(?: only| or later| no invariants| invariants)* | SPDX-License-Identifier: GFDL-1.3-or-later
+mit | 1 | 0.95 | permission is hereby granted free of charge to any person obtaining a copy | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files | Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+mit | 2 | 0.9 | permission is hereby granted free of charge to any person obtaining a copy | permission is hereby granted free of charge to any person obtaining a copy | Permission is hereby granted, free of charge, to any person obtaining a copy of the work
+mit | 1 | 0.9 | this permission notice shall be included in all copies | (?:the above copyright notice and )?this permission notice shall be included in all copies or substantial portions of the software | The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+mit-0 | 0 | 0.95 | mit no attribution | (?:the )?mit no attribution licen[cs]e | the MIT No Attribution license
+mit | 1 | 0.95 | released under the mit licen | released under the mit licen[cs]e | Released under the MIT License.
+mit | 1 | 0.95 | licensed under the mit licen | (?:dual )?licensed under the mit licen[cs]e | This project is licensed under the MIT license
+mit | 1 | 0.95 | terms of the mit licen | (?:under |by )the terms of the mit licen[cs]e | distributed under the terms of the MIT License
+mit | 2 | 0.85 | mit licen | (?:the )?mit licen[cs]e | See the MIT licence
+mit | 2 | 0.8 | expat licen | (?:the )?expat licen[cs]e | the Expat license
+mit | 2 | 0.8 | x11 licen | (?:the )?(?:mit )?x11 licen[cs]e | the X11 License
+isc | 1 | 0.95 | permission to use copy modify and or distribute this software | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
+isc | 1 | 0.9 | permission to use copy modify and distribute this software | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted | Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted
+isc | 2 | 0.85 | isc licen | (?:the )?isc licen[cs]e | under the ISC license
+hpnd | 1 | 0.9 | permission to use copy modify and distribute this software and its documentation | permission to use copy modify and distribute this software and its documentation for any purpose(?: and without fee| with or without fee)? is hereby granted | Permission to use, copy, modify and distribute this software and its documentation for any purpose and without fee is hereby granted
+postgresql | 1 | 0.9 | without a written agreement is hereby granted | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted | Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, all licensees
+postgresql | 2 | 0.85 | postgresql licen | (?:the )?postgresql licen[cs]e | the PostgreSQL Licence
+bsd | 1 | 0.9 | redistribution and use in source and binary forms | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met | Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+bsd | 2 | 0.85 | redistribution and use in source and binary forms | redistribution and use in source and binary forms | Redistribution and use in source and binary forms is free
+bsd-3-clause | 1 | 0.9 | without specific prior written permission | neither the names? of .{1,80}? nor the names of (?:its|the|other) contributors may be used to endorse or promote products derived from this software without specific prior written permission | Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause | 1 | 0.9 | redistribution | redistribution .{1,900}? all advertising materials mentioning features or use of this software must display the following acknowledge?ment | Redistribution is free. All advertising materials mentioning features or use of this software must display the following acknowledgement
+bsd-source-code | 1 | 0.8 | redistributions of source code must retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer | Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistribution is free
+bsd-2-clause | 1 | 0.95 | 2 clause bsd licen | (?:the )?2 clause bsd licen[cs]e | the 2-clause BSD license
+bsd-2-clause | 1 | 0.95 | bsd 2 clause licen | (?:the )?bsd 2 clause licen[cs]e | under the BSD 2-Clause License
+bsd-2-clause | 1 | 0.9 | simplified bsd licen | (?:the )?simplified bsd licen[cs]e | the Simplified BSD License
+bsd-2-clause | 1 | 0.9 | freebsd licen | (?:the )?freebsd licen[cs]e | the FreeBSD license
+bsd-3-clause | 1 | 0.95 | 3 clause bsd licen | (?:the )?3 clause bsd licen[cs]e | a 3-clause BSD license
+bsd-3-clause | 1 | 0.95 | bsd 3 clause licen | (?:the )?bsd 3 clause licen[cs]e | the BSD 3-Clause license
+bsd-3-clause | 1 | 0.9 | new bsd licen | (?:the )?new bsd licen[cs]e | the New BSD License
+bsd-3-clause | 1 | 0.9 | modified bsd licen | (?:the )?modified bsd licen[cs]e | the Modified BSD License
+bsd-3-clause | 1 | 0.9 | revised bsd licen | (?:the )?revised bsd licen[cs]e | the revised BSD licence
+bsd-4-clause | 1 | 0.9 | original bsd licen | (?:the )?original bsd licen[cs]e | the original BSD License
+bsd | 1 | 0.9 | bsd style licen | (?:a |the )?bsd style licen[cs]e | governed by a BSD-style license
+0bsd | 1 | 0.9 | zero clause bsd licen | (?:the )?(?:bsd )?zero clause bsd licen[cs]e | the Zero-Clause BSD license
+bsd | 2 | 0.85 | bsd licen | (?:the )?bsd licen[cs]e | the BSD License
+apache-2.0 | 1 | 0.95 | apache licen | (?:the )?apache licen[cs]e version 2 0 | under the Apache License, Version 2.0
+apache-2.0 | 1 | 0.95 | apache licen | (?:the )?apache licen[cs]e (?:v|v2 )?2 0 | Apache License 2.0
+apache-2.0 | 1 | 0.95 | apache 2 0 licen | (?:the )?apache 2 0 licen[cs]e | the Apache 2.0 license
+apache-2.0 | 1 | 0.9 | apache 2 licen | (?:the )?apache 2 licen[cs]e | the Apache-2 licence
+apache-2.0 | 1 | 0.9 | may not use this file except in compliance with the license | you may not use this file except in compliance with the license | you may not use this file except in compliance with the License
+apache-1.1 | 1 | 0.95 | apache software licen | (?:the )?apache software licen[cs]e version 1 1 | The Apache Software License, Version 1.1
+apache-1.0 | 1 | 0.95 | apache licen | (?:the )?apache licen[cs]e version 1 0 | the Apache License, version 1.0
+apache | 2 | 0.85 | apache software licen | (?:the )?apache software licen[cs]e | the Apache Software License
+apache | 2 | 0.85 | apache licen | (?:the )?apache licen[cs]e | the Apache license
+gpl-1.0 | 1 | 0.95 | gnu general public licen | (?:the )?gnu general public licen[cs]e (?:version |v)1(?: 0)? | the GNU General Public License version 1
+gpl-2.0 | 1 | 0.95 | gnu general public licen | (?:the )?gnu general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)2(?: 0)? | the GNU General Public License, version 2
+gpl-2.0-or-later | 0 | 0.95 | either version 2 of the license or at your option any later version | gnu general public licen[cs]e as published by the free software foundation either version 2 of the license or at your option any later version | the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version
+gpl-3.0 | 1 | 0.95 | gnu general public licen | (?:the )?gnu general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)3(?: 0)? | GNU General Public License v3.0
+gpl-3.0-or-later | 0 | 0.95 | either version 3 of the license or at your option any later version | gnu general public licen[cs]e as published by the free software foundation either version 3 of the license or at your option any later version | the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
+gpl-2.0 | 1 | 0.9 | gplv2 | (?:the )?(?:gnu )?gplv2(?: only)? | licensed as GPLv2
+gpl-2.0-or-later | 0 | 0.9 | gplv2 or later | (?:the )?(?:gnu )?gplv2 or later | GPLv2 or later
+gpl-3.0 | 1 | 0.9 | gplv3 | (?:the )?(?:gnu )?gplv3(?: only)? | under GPLv3
+gpl-3.0-or-later | 0 | 0.9 | gplv3 or later | (?:the )?(?:gnu )?gplv3 or later | GPLv3 or later
+gpl-2.0 | 1 | 0.9 | gpl version 2 | (?:the )?(?:gnu )?gpl version 2(?: 0)? | the GPL version 2
+gpl-3.0 | 1 | 0.9 | gpl version 3 | (?:the )?(?:gnu )?gpl version 3(?: 0)? | the GNU GPL, version 3
+gpl | 1 | 0.85 | gpl compatible licen | (?:a |any )?gpl compatible licen[cs]e | a GPL-compatible license
+gpl | 2 | 0.9 | gnu general public licen | (?:the )?gnu general public licen[cs]e | the GNU General Public Licence
+gpl | 2 | 0.85 | gnu gpl | (?:the )?gnu gpl(?: licen[cs]e)? | the GNU GPL
+gpl | 2 | 0.8 | gpl licen | (?:the )?gpl licen[cs]e | the GPL license
+gpl | 2 | 0.8 | general public licen | (?:the )?general public licen[cs]e | the General Public License
+lgpl-2.0 | 1 | 0.95 | gnu library general public licen | (?:the )?gnu library general public licen[cs]e(?: version 2(?: 0)?)? | the GNU Library General Public License
+lgpl-2.1 | 1 | 0.95 | gnu lesser general public licen | (?:the )?gnu lesser general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)2 1 | GNU Lesser General Public License v2.1
+lgpl-3.0 | 1 | 0.95 | gnu lesser general public licen | (?:the )?gnu lesser general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)3(?: 0)? | the GNU Lesser General Public License version 3
+lgpl-2.1-or-later | 0 | 0.95 | either version 2 1 of the license or at your option any later version | gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1 of the license or at your option any later version | the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version
+lgpl-2.1 | 1 | 0.9 | lgplv2 1 | (?:the )?(?:gnu )?lgplv2 1(?: or later)? | LGPLv2.1
+lgpl-3.0 | 1 | 0.9 | lgplv3 | (?:the )?(?:gnu )?lgplv3(?: or later)? | under the LGPLv3
+lgpl | 2 | 0.9 | gnu lesser general public licen | (?:the )?gnu lesser general public licen[cs]e | the GNU Lesser General Public License
+lgpl | 2 | 0.85 | gnu lgpl | (?:the )?gnu lgpl(?: licen[cs]e)? | the GNU LGPL
+lgpl | 2 | 0.8 | lgpl licen | (?:the )?lgpl licen[cs]e | the LGPL licence
+agpl-3.0 | 1 | 0.95 | gnu affero general public licen | (?:the )?gnu affero general public licen[cs]e(?: as published by the free software foundation)? (?:version |v)3(?: 0)? | the GNU Affero General Public License version 3
+agpl-3.0-or-later | 0 | 0.95 | gnu affero general public licen | gnu affero general public licen[cs]e as published by the free software foundation either version 3 of the license or at your option any later version | the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
+agpl-1.0 | 1 | 0.9 | affero general public licen | (?:the )?affero general public licen[cs]e version 1(?: 0)? | Affero General Public License, version 1
+agpl-3.0 | 1 | 0.9 | agplv3 | (?:the )?(?:gnu )?agplv3(?: or later)? | AGPLv3
+agpl | 2 | 0.9 | gnu affero general public licen | (?:the )?gnu affero general public licen[cs]e | the GNU Affero General Public License
+agpl | 2 | 0.85 | gnu agpl | (?:the )?gnu agpl(?: licen[cs]e)? | the GNU AGPL
+gfdl-1.1 | 1 | 0.95 | gnu free documentation licen | (?:the )?gnu free documentation licen[cs]e version 1 1 | GNU Free Documentation License, Version 1.1
+gfdl-1.2 | 1 | 0.95 | gnu free documentation licen | (?:the )?gnu free documentation licen[cs]e version 1 2 | GNU Free Documentation License, Version 1.2
+gfdl-1.3 | 1 | 0.95 | gnu free documentation licen | (?:the )?gnu free documentation licen[cs]e version 1 3 | GNU Free Documentation License, Version 1.3
+gfdl | 2 | 0.9 | gnu free documentation licen | (?:the )?gnu free documentation licen[cs]e | the GNU Free Documentation License
+mpl-1.0 | 1 | 0.95 | mozilla public licen | (?:the )?mozilla public licen[cs]e (?:version |v)?1 0 | the Mozilla Public License 1.0
+mpl-1.1 | 1 | 0.95 | mozilla public licen | (?:the )?mozilla public licen[cs]e (?:version |v)?1 1 | Mozilla Public License Version 1.1
+mpl-2.0 | 1 | 0.95 | mozilla public licen | (?:the )?mozilla public licen[cs]e (?:version |v |v)?2 0 | the Mozilla Public License, v. 2.0
+mpl-2.0 | 0 | 0.95 | subject to the terms of the mozilla public licen | this source code form is subject to the terms of the mozilla public licen[cs]e (?:version |v |v)?2 0 | This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+mpl | 2 | 0.9 | mozilla public licen | (?:the )?mozilla public licen[cs]e | the Mozilla Public License
+epl-1.0 | 1 | 0.95 | eclipse public licen | (?:the )?eclipse public licen[cs]e (?:version |v |v)?1 0 | the Eclipse Public License v1.0 or Eclipse Public License 1.0
+epl-2.0 | 1 | 0.95 | eclipse public licen | (?:the )?eclipse public licen[cs]e (?:version |v |v)?2 0 | the Eclipse Public License 2.0
+edl-1.0 | 1 | 0.9 | eclipse distribution licen | (?:the )?eclipse distribution licen[cs]e(?: (?:version |v |v)?1 0)? | the Eclipse Distribution License v. 1.0
+epl | 2 | 0.9 | eclipse public licen | (?:the )?eclipse public licen[cs]e | the Eclipse Public License
+cddl-1.0 | 1 | 0.95 | common development and distribution licen | (?:the )?common development and distribution licen[cs]e (?:cddl )?(?:version |v)?1 0 | Common Development and Distribution License (CDDL) version 1.0
+cddl-1.1 | 1 | 0.95 | common development and distribution licen | (?:the )?common development and distribution licen[cs]e (?:cddl )?(?:version |v)?1 1 | Common Development and Distribution License 1.1
+cddl | 2 | 0.9 | common development and distribution licen | (?:the )?common development and distribution licen[cs]e | the Common Development and Distribution License
+cpl-1.0 | 1 | 0.9 | common public licen | (?:the )?common public licen[cs]e(?: (?:version |v)?1 0)? | the Common Public License 1.0
+ipl-1.0 | 1 | 0.9 | ibm public licen | (?:the )?ibm public licen[cs]e(?: (?:version |v)?1 0)? | IBM Public License Version 1.0
+eupl-1.1 | 1 | 0.95 | european union public licen | (?:the )?european union public licen[cs]e (?:eupl )?(?:version |v)?1 1 | the European Union Public Licence 1.1
+eupl-1.2 | 1 | 0.95 | european union public licen | (?:the )?european union public licen[cs]e (?:eupl )?(?:version |v)?1 2 | European Union Public Licence (EUPL) v1.2 or European Union Public Licence 1.2
+eupl | 2 | 0.9 | european union public licen | (?:the )?european union public licen[cs]e | the European Union Public Licence
+osl-3.0 | 1 | 0.95 | open software licen | (?:the )?open software licen[cs]e (?:version |v)?3 0 | the Open Software License 3.0
+osl-2.1 | 1 | 0.95 | open software licen | (?:the )?open software licen[cs]e (?:version |v)?2 1 | Open Software License version 2.1
+osl | 2 | 0.85 | open software licen | (?:the )?open software licen[cs]e | the Open Software License
+afl-3.0 | 1 | 0.95 | academic free licen | (?:the )?academic free licen[cs]e (?:version |v)?3 0 | Academic Free License version 3.0
+afl-2.1 | 1 | 0.95 | academic free licen | (?:the )?academic free licen[cs]e (?:version |v)?2 1 | Academic Free License 2.1
+afl | 2 | 0.85 | academic free licen | (?:the )?academic free licen[cs]e | the Academic Free License
+artistic-1.0 | 1 | 0.95 | artistic licen | (?:the )?artistic licen[cs]e (?:version |v)?1 0 | the Artistic License 1.0
+artistic-2.0 | 1 | 0.95 | artistic licen | (?:the )?artistic licen[cs]e (?:version |v)?2 0 | the Artistic License 2.0
+artistic | 2 | 0.85 | artistic licen | (?:the )?(?:perl )?artistic licen[cs]e | the Artistic License
+perl | 1 | 0.85 | under the same terms as perl itself | (?:licensed |redistribute it and or modify it |free software )?under the same terms as perl itself | redistribute it and/or modify it under the same terms as Perl itself, a license of two parts
+bsl-1.0 | 1 | 0.95 | boost software licen | (?:the )?boost software licen[cs]e(?: (?:version |v)?1 0)? | the Boost Software License, Version 1.0
+busl-1.1 | 1 | 0.95 | business source licen | (?:the )?business source licen[cs]e(?: (?:version |v)?1 1)? | the Business Source License 1.1
+sspl-1.0 | 1 | 0.95 | server side public licen | (?:the )?server side public licen[cs]e(?: (?:version |v)?1(?: 0)?)? | the Server Side Public License, version 1
+elastic-2.0 | 1 | 0.95 | elastic licen | (?:the )?elastic licen[cs]e(?: (?:version |v)?2 0)? | the Elastic License 2.0
+commons-clause | 1 | 0.9 | commons clause licen | (?:the )?commons clause licen[cs]e condition(?: v1 0| 1 0)? | the Commons Clause License Condition v1.0
+zlib | 1 | 0.9 | zlib licen | (?:the )?zlib(?: libpng)? licen[cs]e | the zlib license
+zlib | 1 | 0.9 | zlib libpng licen | (?:the )?zlib libpng licen[cs]e | the zlib/libpng License
+zlib | 1 | 0.9 | permission is granted to anyone to use this software | permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely | Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely
+libpng | 2 | 0.85 | libpng licen | (?:the )?libpng licen[cs]e | the libpng license
+wtfpl | 1 | 0.95 | want to public licen | do what the f\S{0,8} you want to public licen[cs]e | DO WHAT THE F*** YOU WANT TO PUBLIC LICENSE or Do What The FUCK You Want To Public License
+unlicense | 1 | 0.9 | the unlicense | (?:released under |under )?the unlicense | released under the Unlicense
+unlicense | 0 | 0.95 | unencumbered software released into the public domain | this is free and unencumbered software released into the public domain | This is free and unencumbered software released into the public domain.
+public-domain | 1 | 0.85 | released into the public domain | (?:has been |is |was )?released into the public domain | was released into the public domain
+public-domain | 1 | 0.85 | dedicated to the public domain | (?:has been |is |was )?dedicated to the public domain | is dedicated to the public domain
+public-domain | 1 | 0.85 | placed in the public domain | (?:has been |is |was )?placed in the public domain | has been placed in the public domain
+public-domain | 1 | 0.85 | public domain dedication | (?:the )?public domain dedication | a public domain dedication
+public-domain | 2 | 0.7 | in the public domain | (?:is |are )?in the public domain | the work is in the public domain
+pddl-1.0 | 1 | 0.9 | public domain dedication and licen | (?:the )?(?:odc |open data commons )?public domain dedication and licen[cs]e | the Open Data Commons Public Domain Dedication and License
+odbl-1.0 | 1 | 0.95 | open database licen | (?:the )?(?:odc |open data commons )?open database licen[cs]e(?: (?:version |v)?1 0)? | the Open Database License 1.0
+odc-by-1.0 | 1 | 0.95 | open data commons attribution licen | (?:the )?open data commons attribution licen[cs]e(?: (?:version |v)?1 0)? | the Open Data Commons Attribution License
+cdla-permissive | 1 | 0.9 | community data licen | (?:the )?community data licen[cs]e agreement permissive(?: (?:version )?[12] 0)? | the Community Data License Agreement - Permissive
+cdla-sharing | 1 | 0.9 | community data licen | (?:the )?community data licen[cs]e agreement sharing(?: (?:version )?1 0)? | the Community Data License Agreement – Sharing or Community Data License Agreement Sharing
+ogl-3.0 | 1 | 0.9 | open government licen | (?:the )?open government licen[cs]e (?:version |v)?3 0 | the Open Government Licence v3.0 or Open Government Licence 3.0
+ogl | 2 | 0.85 | open government licen | (?:the )?open government licen[cs]e | the Open Government Licence
+ms-pl | 1 | 0.9 | microsoft public licen | (?:the )?microsoft public licen[cs]e | the Microsoft Public License
+ms-rl | 1 | 0.9 | microsoft reciprocal licen | (?:the )?microsoft reciprocal licen[cs]e | the Microsoft Reciprocal License
+ofl-1.1 | 1 | 0.95 | sil open font licen | (?:the )?sil open font licen[cs]e(?: (?:version |v)?1 1)? | the SIL Open Font License, Version 1.1
+ofl | 2 | 0.8 | open font licen | (?:the )?open font licen[cs]e | the Open Font License
+ncsa | 1 | 0.9 | university of illinois ncsa open source licen | (?:the )?university of illinois ncsa open source licen[cs]e | the University of Illinois/NCSA Open Source License
+python | 1 | 0.9 | python software foundation licen | (?:the )?python software foundation licen[cs]e(?: (?:version |v)?2(?: 0)?)? | the Python Software Foundation License
+python | 2 | 0.8 | psf licen | (?:the )?psf licen[cs]e | the PSF license
+php | 1 | 0.9 | php licen | (?:the )?php licen[cs]e(?: (?:version |v)?3 01?)? | the PHP License, version 3.01
+ruby | 2 | 0.8 | ruby licen | (?:the )?ruby licen[cs]e | the Ruby license
+ruby | 1 | 0.85 | under the same terms as ruby | (?:copied |distributed |licensed )?under the same terms as ruby(?: itself)? | copied under the same terms as Ruby, by license
+openssl | 1 | 0.9 | openssl licen | (?:the )?openssl licen[cs]e | the OpenSSL License
+openssl | 1 | 0.9 | redistribution | redistribution .{1,900}? this product includes software developed by the openssl project | Redistribution is free. This product includes software developed by the OpenSSL Project
+curl | 2 | 0.8 | curl licen | (?:the )?curl licen[cs]e | the curl license
+vim | 2 | 0.8 | vim licen | (?:the )?vim licen[cs]e | the Vim licence
+json | 1 | 0.85 | the software shall be used for good not evil | the software shall be used for good not evil | The Software shall be used for Good, not Evil. No license
+beerware | 1 | 0.85 | beer ware licen | (?:the )?beer ware licen[cs]e | the Beer-Ware License
+qpl-1.0 | 1 | 0.9 | q public licen | (?:the )?q public licen[cs]e(?: (?:version |v)?1 0)? | the Q Public License
+w3c | 1 | 0.9 | w3c software notice and licen | (?:the )?w3c software notice and licen[cs]e | the W3C Software Notice and License
+unicode | 1 | 0.9 | unicode licen | (?:the )?unicode licen[cs]e(?: agreement)?(?: v3| 3 0)? | the Unicode License Agreement
+icu | 2 | 0.8 | icu licen | (?:the )?icu licen[cs]e | the ICU License
+imagemagick | 2 | 0.8 | imagemagick licen | (?:the )?imagemagick licen[cs]e | the ImageMagick License
+ijg | 1 | 0.85 | independent jpeg group | (?:license of the )?independent jpeg group s software | license of the Independent JPEG Group's software
+ftl | 1 | 0.85 | freetype project licen | (?:the )?freetype project licen[cs]e | the FreeType Project LICENSE
+x11 | 1 | 0.8 | shall not be used in advertising or otherwise to promote | shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written (?:authorization|permission) | shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written permission
+upl-1.0 | 1 | 0.9 | universal permissive licen | (?:the )?universal permissive licen[cs]e(?: (?:version |v |v)?1 0)? | the Universal Permissive License v 1.0
+mulan-psl-2.0 | 1 | 0.9 | mulan permissive software licen | (?:the )?mulan permissive software licen[cs]e(?: (?:version |v)?2)? | the Mulan Permissive Software License
+blueoak-1.0.0 | 1 | 0.9 | blue oak model licen | (?:the )?blue oak model licen[cs]e(?: 1 0 0)? | the Blue Oak Model License 1.0.0
+hippocratic | 1 | 0.9 | hippocratic licen | (?:the )?hippocratic licen[cs]e(?: (?:version )?[123] [01])? | the Hippocratic License 2.1
+polyform-nc | 1 | 0.9 | polyform noncommercial licen | (?:the )?polyform noncommercial licen[cs]e(?: 1 0 0)? | the PolyForm Noncommercial License 1.0.0
+polyform-strict | 1 | 0.9 | polyform strict licen | (?:the )?polyform strict licen[cs]e(?: 1 0 0)? | the PolyForm Strict License
+openrail | 1 | 0.9 | openrail m licen | (?:the )?(?:bigscience )?(?:creativeml )?openrail m licen[cs]e | the CreativeML OpenRAIL-M license
+cecill | 1 | 0.9 | cecill | (?:the )?cecill(?: [bc])? licen[cs]e | the CeCILL-B license
+lppl | 1 | 0.9 | project public licen | (?:the )?latex project public licen[cs]e(?: (?:version |v)?1 3c?)? | the LaTeX Project Public License
+nasa-1.3 | 1 | 0.9 | nasa open source agreement | (?:the )?nasa open source agreement(?: version)? 1 3 | a license: the NASA Open Source Agreement version 1.3
+apsl-2.0 | 1 | 0.9 | apple public source licen | (?:the )?apple public source licen[cs]e(?: (?:version |v)?2 0)? | the Apple Public Source License 2.0
+sunpl | 2 | 0.8 | sun public licen | (?:the )?sun public licen[cs]e | the Sun Public License
+npl | 2 | 0.8 | netscape public licen | (?:the )?netscape public licen[cs]e | the Netscape Public License
+zpl-2.1 | 1 | 0.9 | zope public licen | (?:the )?zope public licen[cs]e(?: (?:version |v)?2 [01])? | the Zope Public License, Version 2.1
+rpl | 1 | 0.85 | reciprocal public licen | (?:the )?reciprocal public licen[cs]e(?: 1 [15])? | the Reciprocal Public License 1.5
+cc0-1.0 | 1 | 0.95 | creative commons zero | creative commons zero(?: v?1 0)?(?: universal)?(?: licen[cs]e)? | Creative Commons Zero v1.0 or Creative Commons Zero 1.0 Universal
+cc0-1.0 | 1 | 0.95 | cc0 1 0 | (?:creative commons )?cc0 1 0(?: universal)?(?: public domain dedication)? | CC0 1.0 Universal, a public domain dedication
+cc0-1.0 | 2 | 0.85 | creative commons cc0 | creative commons cc0(?: licen[cs]e)? | a Creative Commons CC0 license
+cc-by-4.0 | 1 | 0.95 | creative commons attribution 4 0 | (?:the )?creative commons attribution 4 0(?: international)?(?: public)?(?: licen[cs]e)? | Creative Commons Attribution 4.0 International License
+cc-by-3.0 | 1 | 0.95 | creative commons attribution 3 0 | (?:the )?creative commons attribution 3 0(?: unported)?(?: licen[cs]e)? | Creative Commons Attribution 3.0 Unported License
+cc-by-2.5 | 1 | 0.95 | creative commons attribution 2 5 | (?:the )?creative commons attribution 2 5(?: generic)?(?: licen[cs]e)? | the Creative Commons Attribution 2.5 license
+cc-by-2.0 | 1 | 0.95 | creative commons attribution 2 0 | (?:the )?creative commons attribution 2 0(?: generic)?(?: licen[cs]e)? | Creative Commons Attribution 2.0 Generic
+cc-by-sa-4.0 | 1 | 0.95 | creative commons attribution share | (?:the )?creative commons attribution share ?alike 4 0(?: international)?(?: public)?(?: licen[cs]e)? | Creative Commons Attribution-ShareAlike 4.0 International License
+cc-by-sa-3.0 | 1 | 0.95 | creative commons attribution share | (?:the )?creative commons attribution share ?alike 3 0(?: unported)?(?: licen[cs]e)? | Creative Commons Attribution-Share Alike 3.0 Unported
+cc-by-sa-2.5 | 1 | 0.95 | creative commons attribution share | (?:the )?creative commons attribution share ?alike 2 5(?: generic)?(?: licen[cs]e)? | Creative Commons Attribution-ShareAlike 2.5
+cc-by-nc-4.0 | 1 | 0.95 | creative commons attribution non | (?:the )?creative commons attribution non ?commercial 4 0(?: international)?(?: public)?(?: licen[cs]e)? | Creative Commons Attribution-NonCommercial 4.0 International
+cc-by-nc-3.0 | 1 | 0.95 | creative commons attribution non | (?:the )?creative commons attribution non ?commercial 3 0(?: unported)?(?: licen[cs]e)? | Creative Commons Attribution-NonCommercial 3.0 Unported
+cc-by-nd-4.0 | 1 | 0.95 | creative commons attribution no | (?:the )?creative commons attribution no ?deriv(?:ative)?s 4 0(?: international)?(?: licen[cs]e)? | Creative Commons Attribution-NoDerivatives 4.0 International
+cc-by-nc-sa-4.0 | 1 | 0.95 | creative commons attribution non | (?:the )?creative commons attribution non ?commercial share ?alike 4 0(?: international)?(?: licen[cs]e)? | Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International
+cc-by-nc-sa-3.0 | 1 | 0.95 | creative commons attribution non | (?:the )?creative commons attribution non ?commercial share ?alike 3 0(?: unported)?(?: licen[cs]e)? | Creative Commons Attribution-Noncommercial-Share Alike 3.0
+cc-by-nc-nd-4.0 | 1 | 0.95 | creative commons attribution non | (?:the )?creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0(?: international)?(?: licen[cs]e)? | Creative Commons Attribution-NonCommercial-NoDerivatives 4.0
+cc-by-nc-nd-3.0 | 1 | 0.95 | creative commons attribution non | (?:the )?creative commons attribution non ?commercial no ?deriv(?:ative)?s 3 0(?: unported)?(?: licen[cs]e)? | Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported
+cc-by-sa | 2 | 0.85 | creative commons attribution share | (?:the |a )?creative commons attribution share ?alike(?: licen[cs]e)? | a Creative Commons Attribution-ShareAlike license
+cc-by-nc | 2 | 0.85 | creative commons attribution non | (?:the |a )?creative commons attribution non ?commercial(?: licen[cs]e)? | a Creative Commons Attribution-NonCommercial license
+cc-by-nd | 2 | 0.85 | creative commons attribution no | (?:the |a )?creative commons attribution no ?deriv(?:ative)?s(?: licen[cs]e)? | a Creative Commons Attribution-NoDerivs license
+cc-by | 3 | 0.8 | creative commons attribution | (?:the |a )?creative commons attribution(?: licen[cs]e)? | a Creative Commons Attribution license
+cc-by-1.0 | 1 | 0.9 | cc by 1 0 | cc by 1 0 | CC BY 1.0
+cc-by-2.0 | 1 | 0.9 | cc by 2 0 | cc by 2 0 | CC BY 2.0
+cc-by-2.5 | 1 | 0.9 | cc by 2 5 | cc by 2 5 | CC BY 2.5
+cc-by-3.0 | 1 | 0.9 | cc by 3 0 | cc by 3 0 | CC BY 3.0
+cc-by-4.0 | 1 | 0.9 | cc by 4 0 | cc by 4 0 | CC BY 4.0
+cc-by-sa-2.0 | 1 | 0.9 | cc by sa 2 0 | cc by sa 2 0 | CC BY-SA 2.0
+cc-by-sa-2.5 | 1 | 0.9 | cc by sa 2 5 | cc by sa 2 5 | CC BY-SA 2.5
+cc-by-sa-3.0 | 1 | 0.9 | cc by sa 3 0 | cc by sa 3 0 | CC BY-SA 3.0
+cc-by-sa-4.0 | 1 | 0.9 | cc by sa 4 0 | cc by sa 4 0 | CC BY-SA 4.0
+cc-by-nc-3.0 | 1 | 0.9 | cc by nc 3 0 | cc by nc 3 0 | CC BY-NC 3.0
+cc-by-nc-4.0 | 1 | 0.9 | cc by nc 4 0 | cc by nc 4 0 | CC BY-NC 4.0
+cc-by-nd-3.0 | 1 | 0.9 | cc by nd 3 0 | cc by nd 3 0 | CC BY-ND 3.0
+cc-by-nd-4.0 | 1 | 0.9 | cc by nd 4 0 | cc by nd 4 0 | CC BY-ND 4.0
+cc-by-nc-sa-3.0 | 1 | 0.9 | cc by nc sa 3 0 | cc by nc sa 3 0 | CC BY-NC-SA 3.0
+cc-by-nc-sa-4.0 | 1 | 0.9 | cc by nc sa 4 0 | cc by nc sa 4 0 | CC BY-NC-SA 4.0
+cc-by-nc-nd-3.0 | 1 | 0.9 | cc by nc nd 3 0 | cc by nc nd 3 0 | CC BY-NC-ND 3.0
+cc-by-nc-nd-4.0 | 1 | 0.9 | cc by nc nd 4 0 | cc by nc nd 4 0 | CC BY-NC-ND 4.0
+cc-by-nc-sa | 2 | 0.7 | cc by nc sa | cc by nc sa(?: licen[cs]e)? | CC BY-NC-SA
+cc-by-nc-nd | 2 | 0.7 | cc by nc nd | cc by nc nd(?: licen[cs]e)? | CC BY-NC-ND license
+cc-by-sa | 2 | 0.7 | cc by sa | cc by sa(?: licen[cs]e)? | CC BY-SA
+cc-by-nc | 2 | 0.7 | cc by nc | cc by nc(?: licen[cs]e)? | CC BY-NC
+cc-by-nd | 2 | 0.7 | cc by nd | cc by nd(?: licen[cs]e)? | CC BY-ND
+creative-commons | 3 | 0.6 | creative commons licen | (?:a |the )?creative commons licen[cs]e | a Creative Commons license
+proprietary | 2 | 0.5 | all rights reserved | all rights reserved | All rights reserved.
+proprietary | 2 | 0.6 | proprietary licen | (?:a |the )?proprietary licen[cs]e | a proprietary license
+proprietary | 2 | 0.6 | end user licen | (?:the |an |this )?end user licen[cs]e agreement | the End User License Agreement
+proprietary | 1 | 0.7 | without the express written permission | without the express(?: prior)? written permission of | without the express written permission of the owner
+commercial | 2 | 0.6 | commercial licen | (?:a |the )?commercial licen[cs]e | a commercial license
+copyleft | 3 | 0.5 | copyleft | (?:strong |weak )?copyleft(?: licen[cs]e)? | a copyleft license
+dual | 3 | 0.5 | dual licen | dual licen[cs](?:ed|ing) | dual-licensed
+royalty-free | 3 | 0.5 | royalty free licen | (?:a )?(?:worldwide |perpetual |non exclusive )*royalty free licen[cs]e | a worldwide, royalty-free license
+open-source | 3 | 0.5 | open source licen | (?:an |the )?open source licen[cs]e | an open-source license
+permissive | 3 | 0.5 | permissive licen | (?:a )?permissive licen[cs]e | a permissive license
+"""
+
+
+def rows() -> list[tuple[str, int, float, str, str, str]]:
+    """Label, level, weight, keyword, regular expression and example of every rule."""
+    out = []
+    for line in TABLE.strip().splitlines():
+        label, level, weight, keyword, regex, example = line.split(" | ", 5)
+        out.append((label, int(level), float(weight), keyword, regex, example))
+    return out

@@ -21,75 +21,18 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import license_rules
 from .common import LOWER, UPPER
 
 RAW_WORD_RE = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 NO_WORD_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Every keyword holds one of these, or its rule begins with the first, so a text without any of them has no detection.
-ANCHORS = ("licen", "spdx", "cc ", "creative commons", "permission", "redistribution", "public domain", "copyleft", "all rights")
+ANCHORS = ("licen", "spdx", "cc ", "creative commons", "permission", "redistribution", "public domain", "copyleft", "all rights", "gpl", "cc0", "cecill", "no attribution", "same terms as", "jpeg group", "good not evil", "source agreement", "written agreement", "in advertising")
 
 #: Phrases whose every place is reported, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, name in words and versions of license families; rules for their usual mentions are made from these.
-FAMILIES = (
-    ("gpl", "gnu general public", ("1 0", "2 0", "3 0")),
-    ("gpl", "gnu gpl", ("1 0", "2 0", "3 0")),
-    ("lgpl", "gnu lesser general public", ("2 1", "3 0")),
-    ("lgpl", "gnu library general public", ("2 0",)),
-    ("agpl", "gnu affero general public", ("1 0", "3 0")),
-    ("gfdl", "gnu free documentation", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", ("1 0", "1 1", "2 0")),
-    ("mit", "mit", ()),
-    ("mit", "expat", ()),
-    ("bsd-2-clause", "bsd 2 clause", ()),
-    ("bsd-2-clause", "simplified bsd", ()),
-    ("bsd-3-clause", "bsd 3 clause", ()),
-    ("bsd-3-clause", "new bsd", ()),
-    ("bsd-4-clause", "bsd 4 clause", ()),
-    ("bsd", "bsd", ()),
-    ("isc", "isc", ()),
-    ("mpl", "mozilla public", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse public", ("1 0", "2 0")),
-    ("cddl", "common development and distribution", ("1 0", "1 1")),
-    ("cpl", "common public", ("1 0",)),
-    ("eupl", "european union public", ("1 0", "1 1", "1 2")),
-    ("osl", "open software", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    ("artistic", "artistic", ("1 0", "2 0")),
-    ("bsl", "boost software", ("1 0",)),
-    ("zlib", "zlib", ()),
-    ("zlib", "zlib libpng", ()),
-    ("wtfpl", "do what the fuck you want to public", ()),
-    ("unlicense", "the unlicense", ()),
-    ("ms-pl", "microsoft public", ()),
-    ("ms-rl", "microsoft reciprocal", ()),
-    ("ofl", "sil open font", ("1 0", "1 1")),
-    ("ncsa", "university of illinois ncsa open source", ()),
-    ("python", "python software foundation", ("2 0",)),
-    ("php", "php", ("3 0", "3 01")),
-    ("ruby", "ruby", ()),
-    ("postgresql", "postgresql", ()),
-    ("openssl", "openssl", ()),
-    ("odbl", "open database", ("1 0",)),
-    ("odc-by", "open data commons attribution", ("1 0",)),
-)
-#: Creative Commons elements in words and in labels, and versions.
-CC_PARTS = (("attribution", "by"), ("attribution sharealike", "by-sa"), ("attribution noncommercial", "by-nc"), ("attribution noderivatives", "by-nd"), ("attribution noncommercial sharealike", "by-nc-sa"), ("attribution noncommercial noderivatives", "by-nc-nd"))
-CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Sentences that only one license has: label and words.
-SENTENCES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("public-domain", "released into the public domain"),
-    ("public-domain", "dedicated to the public domain"),
-    ("cc0", "creative commons zero"),
-    ("proprietary", "all rights reserved"),
-    ("copyleft", "copyleft"),
-)
-
 RESULT = ("n_words", "base", "detections", "base_labels", "labels", "score")
 
 
@@ -106,28 +49,9 @@ class Signature:
 
 
 def signatures() -> list[Signature]:
-    """All rules, in order: base phrases, tags, full mentions with version, mentions without."""
+    """All rules, in order: base phrases, then the table's."""
     out = [Signature(label, phrase, f" {phrase} ", 0, 0.9, True) for phrase, label in BASE.items()]
-    of = r"(?:under |by )?(?:the )?(?:terms of )?(?:the )?"
-    for label, name, versions in FAMILIES:
-        for v in versions:
-            dashed = f"{label}-{v.replace(' ', '.')}"
-            out.append(Signature(dashed, rf"{name} licen[cs]e (?:version |v)?{v}", f" {name} licen", 1, 0.95))
-            out.append(Signature(dashed, rf"spdx license identifier {label.replace('-', ' ')} {v}(?: only| or later)?", " spdx license identifier ", 0, 1.0))
-        out.append(Signature(label, rf"licen[cs]ed {of}{name}(?: licen[cs]e)?", f" {name} ", 1, 0.9) if " " in name else Signature(label, rf"licen[cs]ed {of}{name} licen[cs]e", f" {name} licen", 1, 0.9))
-        out.append(Signature(label, rf"(?:the )?{name} licen[cs]e", f" {name} licen", 2, 0.8))
-        if not versions:
-            out.append(Signature(label, rf"spdx license identifier {label.replace('-', ' ')}", " spdx license identifier ", 0, 1.0))
-    for name, short in CC_PARTS:
-        spaced = short.replace("-", " ")
-        for v in CC_VERSIONS:
-            dashed = f"cc-{short}-{v.replace(' ', '.')}"
-            out.append(Signature(dashed, rf"creative commons {name} {v}(?: (?:international|unported|generic))?(?: licen[cs]e)?", " creative commons ", 1, 0.95))
-            out.append(Signature(dashed, rf"(?:spdx license identifier )?cc {spaced} {v}", f" cc {spaced} ", 1, 0.9))
-        out.append(Signature(f"cc-{short}", rf"creative commons {name}(?: licen[cs]e)?", " creative commons ", 2, 0.8))
-        out.append(Signature(f"cc-{short}", rf"cc {spaced}(?: licen[cs]e)?", f" cc {spaced} ", 2, 0.6))
-    out += [Signature(label, words, f" {words} ", 1, 0.5 if label in ("proprietary", "copyleft") else 0.9) for label, words in SENTENCES]
-    return list(dict.fromkeys(out))
+    return out + [Signature(label, regex, f" {keyword}", level, weight) for label, level, weight, keyword, regex, _ in license_rules.rows()]
 
 
 def _has_anchor(s: Signature) -> bool:
