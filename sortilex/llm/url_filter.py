@@ -2,9 +2,9 @@
 
 All of it is DataFrame expressions. Host and path each give their n-grams of 3 and 4 characters (with marks at both
 ends), hashed into ``buckets`` features; a URL's different features have equal weight and length 1 together. The model is
-trained from a small table of labelled URLs, at most ``train_rows`` of each label (those whose hash is smallest), by
-gradient steps with momentum: each step is one aggregation, whose result is at most one number for each feature.
-Residuals are summed as whole billionths, so a rerun gives the same weights.
+trained from a small table of labelled URLs (the one in url_labels, unless another is given), at most ``train_rows`` of each
+label (those whose hash is smallest), by gradient steps with momentum: each step is one aggregation, whose result is at most
+one number for each feature. Residuals are summed as whole billionths, so a rerun gives the same weights.
 
 Edge cases. Null, or no ``://``: host and path are empty, and the method judges them. No labelled rows: all weights are 0,
 the score is 0.5 and the verdict allow. Repeated URLs train once, and each row is judged. Very long URLs take time in
@@ -16,9 +16,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_labels
 from .common import LOWER, UPPER, materialize
 
 SIZES, BUCKETS, TRAIN_ROWS = (3, 4), 2048, 1000
@@ -119,14 +120,25 @@ def probability(model: UrlModel, host: Column, path: Column) -> Column:
     return 1 / (1 + F.exp(-_logit(model, features(host, path, len(model.weights)))))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("page_id",), url_col: str = "url", model: UrlModel | None = None) -> DataFrame:
-    """``keep``, host, path, rule, verdict and score; without a model, one is trained from the URLs that rules label."""
+def split_url(labelled: DataFrame, url_col: str = "url") -> DataFrame:
+    """host, path and the other columns of labelled URLs."""
+    url = F.col(url_col)
+    return labelled.select(F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), *(c for c in labelled.columns if c != url_col))
+
+
+def default_labels(spark: SparkSession) -> DataFrame:
+    """The labelled table as url and blocked."""
+    return spark.createDataFrame(url_labels.rows(), "url string, blocked boolean")
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("page_id",), url_col: str = "url", model: UrlModel | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """``keep``, host, path, rule, verdict and score; without a model, one is trained from ``labelled`` (url, blocked)."""
     url = F.col(url_col)
     keep = tuple(c for c in keep if c not in RESULT)
     parts = pages.select(F.struct(*keep).alias("__row"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     parts = parts.withColumn("found", rule_for(rules, F.col("host"), F.col("path")))
     if model is None:
-        model = train(parts.where("found is not null").select("host", "path", (F.col("found.verdict") == "block").alias("blocked")))
+        model = train(split_url(default_labels(pages.sparkSession) if labelled is None else labelled))
     score = F.when(F.col("found").isNull(), probability(model, F.col("host"), F.col("path")))
     judged = parts.withColumn("p", score)
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("p") > 0.5, "block").otherwise("allow"))
