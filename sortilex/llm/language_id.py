@@ -16,6 +16,7 @@ often as they occur. Empty table: empty result. A kept column named like a resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, worker_cache
+from .common import map_batches, materialize, worker_cache
 
 DIM, SEED = 1024, 20_011
 #: Texts and characters that are turned into vectors together, and trigram vectors that a worker remembers (1 kB each).
 BATCH_TEXTS, BATCH_CHARS, CACHE_TRIGRAMS = 64, 400_000, 60_000
-#: Most languages: prototypes of 8 kB each are collected and broadcast.
-MAX_LANGUAGES = 4096
+#: Languages whose prototypes (8 kB each) are broadcast together; with more, texts pass once for each such block.
+BLOCK_LANGUAGES = 4096
 NO_LANGUAGE = "und"
 
 _SPACE, _BITS = 32, 21
@@ -100,6 +101,9 @@ class Profiles:
         return out
 
 
+Prototypes = dict[str, np.ndarray] | DataFrame
+
+
 def profiles(dim: int) -> Profiles:
     """This process's vectors."""
     return worker_cache(("profiles", dim), lambda: Profiles(dim))
@@ -118,8 +122,8 @@ def _groups(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[str]]]:
         yield start, texts
 
 
-def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototype of each language, from all rows with a language and a text."""
+def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", dim: int = DIM) -> Prototypes:
+    """Prototype of each language, from all rows with a language and a text; a table of them if they are many."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, sums = profiles(dim), {}
@@ -143,45 +147,74 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", d
 
     rows = labelled.select(F.col(lang_col), F.col(text_col)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     partial = map_batches(rows, local, "lang string, v binary")
-    found = map_batches(partial.repartition(32, "lang"), total, "lang string, v binary").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages; their prototypes would not fit in a broadcast")
-    sums = {lang: np.frombuffer(v, np.int64) for lang, v in found}
-    return {lang: sums[lang] for lang in sorted(sums) if sums[lang].any()}
+    found = materialize(map_batches(partial.repartition("lang"), total, "lang string, v binary"), "language-prototypes")
+    if found.count() > BLOCK_LANGUAGES:
+        return found
+    return {r.lang: np.frombuffer(r.v, np.int64) for r in found.orderBy("lang").collect()}
+
+
+def _in_blocks(prototypes: Prototypes, languages: int) -> Iterator[dict[str, np.ndarray]]:
+    """Blocks in order of the languages; a table streams to the driver one block at a time."""
+    if isinstance(prototypes, dict):
+        rows = iter(sorted(prototypes.items()))
+    else:
+        rows = ((r.lang, np.frombuffer(r.v, np.int64)) for r in prototypes.orderBy("lang").toLocalIterator())
+    while block := dict(islice(rows, languages)):
+        yield block
 
 
 def _vectors(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    sums = {lang: v for lang, v in sums.items() if np.any(v)}
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str | Column, ...] = ("doc_id",), text_col: str = "text", dim: int = DIM) -> DataFrame:
+def predict(docs: DataFrame, prototypes: Prototypes, keep: tuple[str | Column, ...] = ("doc_id",), text_col: str = "text", dim: int = DIM, block_languages: int = BLOCK_LANGUAGES) -> DataFrame:
     """``keep``, lang_pred and score (the cosine, 0 if negative)."""
     head = docs.select(*keep)
     kept = [f for f in head.schema.fields if f.name not in {"lang_pred", "score"}]
     has_text = text_col in [c for c in keep if isinstance(c, str)]
     rows = docs.select(*(c for c, f in zip(keep, head.schema.fields, strict=True) if f in kept), *([] if has_text else [F.col(text_col).alias("__text")]))
-    at = rows.columns.index(text_col if has_text else "__text")
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    held = docs.sparkSession.sparkContext.broadcast(prototypes)
+    at, passed = rows.columns.index(text_col if has_text else "__text"), rows.schema.fields
+    result = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    blocks = _in_blocks(prototypes, block_languages)
+    block, first = next(blocks, {}), True
+    while block is not None:
+        following = next(blocks, None)
+        fields = [*(kept if following is None else passed), *result]
+        rows = _label(rows, block, at, len(fields) - 2, first, following is None, T.StructType(fields), dim)
+        if following is not None:
+            rows = materialize(rows, "language-id")
+        block, first = following, False
+    return rows
+
+
+def _label(rows: DataFrame, prototypes: dict[str, np.ndarray], at: int, n_kept: int, first: bool, last: bool, schema: T.StructType, dim: int) -> DataFrame:
+    """The first columns, and the best language and cosine so far."""
+    held = rows.sparkSession.sparkContext.broadcast(prototypes)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, names = profiles(dim), list(held.value)
+        p, names = profiles(dim), np.array(list(held.value), object)
         protos = np.array([v / np.linalg.norm(v.astype(np.float64)) for v in held.value.values()], np.float64)
         for batch in batches:
-            langs, scores = [], []
+            langs, scores = [np.empty(0, object)], [np.empty(0)]
             for _, texts in _groups(batch, at):
                 owner, codes = p.trigrams(texts)
-                if not names or not len(codes):
-                    langs += [NO_LANGUAGE] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                v = p.bundle(owner, codes, len(texts)).astype(np.float64)
-                norms = np.linalg.norm(v, axis=1)
-                cosines = np.round(v @ protos.T / np.where(norms > 0, norms, 1)[:, None], 9)
-                best = cosines.argmax(axis=1)
-                some = np.bincount(owner, minlength=len(texts)) > 0
-                langs += [names[b] if s else NO_LANGUAGE for b, s in zip(best, some, strict=True)]
-                scores += np.where(some, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                own, best = np.full(len(texts), NO_LANGUAGE, object), np.zeros(len(texts))
+                if len(names) and len(codes):
+                    v = p.bundle(owner, codes, len(texts)).astype(np.float64)
+                    norms = np.linalg.norm(v, axis=1)
+                    cosines = np.round(v @ protos.T / np.where(norms > 0, norms, 1)[:, None], 9)
+                    some = np.bincount(owner, minlength=len(texts)) > 0
+                    own[some] = names[cosines.argmax(axis=1)][some]
+                    best[some] = cosines.max(axis=1)[some]
+                langs.append(own)
+                scores.append(best)
+            lang, score = np.concatenate(langs), np.concatenate(scores)
+            if not first:
+                before = batch.column(batch.num_columns - 1).to_numpy()
+                lang = np.where(score > before, lang, batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False))
+                score = np.maximum(score, before)
+            score = np.clip(score, 0, 1) if last else score
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return map_batches(rows, label, schema)

@@ -110,10 +110,11 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int
     """``keep``, size, source_size, target, copies (how often the mix takes the document) and taken, in words."""
     keep = tuple(c for c in keep if c not in RESULT)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id")
-    sized = materialize(docs.select(key, F.col(source_col).alias("source"), size_of(text_col).alias("size")), "mix-sizes")
+    own_id = [F.col(id_col).alias("__own")] if keep == (id_col,) else []
+    sized = materialize(docs.select(key, F.col(source_col).alias("source"), size_of(text_col).alias("size"), *own_id), "mix-sizes")
     plan, n = mixing_plan(sized, weights, cap, seed)
-    if keep == (id_col,):
-        return apply_plan(sized, plan, n, seed).select(F.col("__id"), *RESULT).select(F.when(F.col("__id") != "", F.col("__id")).cast(docs.schema[id_col].dataType).alias(id_col), *RESULT)
+    if own_id:
+        return apply_plan(sized, plan, n, seed).select(F.col("__own").alias(id_col), *RESULT)
     rows = docs.select(F.struct(*keep).alias("__row"), key, F.col(source_col).alias("source"), size_of(text_col).alias("size"))
     return apply_plan(rows, plan, n, seed).select("__row.*", *RESULT)
 

@@ -42,6 +42,19 @@ def test_prototypes_and_cosines(spark, docs, rows):
             assert abs(max(cos.values()) - out[t][1]) < 1e-8 and cos[out[t][0]] > max(cos.values()) - 1e-8
 
 
+def test_more_languages_than_a_block(spark, docs, rows, monkeypatch):
+    more = docs.withColumn("lang", F.coalesce(F.concat("lang", (F.col("doc_id") % 5).cast("string")), F.col("lang")))
+    whole = train(more)
+    assert len(whole) > 5
+    want = sorted(map(str, predict(docs, whole, ("doc_id", "text")).collect()))
+    monkeypatch.setattr("sortilex.llm.language_id.BLOCK_LANGUAGES", 3)
+    table = train(more)
+    assert not isinstance(table, dict) and table.count() == len(whole)
+    for size in (1, 3):
+        assert sorted(map(str, predict(docs, table, ("doc_id", "text"), block_languages=size).collect())) == want
+    assert sorted(r.lang_pred for r in predict(docs, table, block_languages=2).collect()) == sorted(r.lang_pred for r in predict(docs, whole).collect())
+
+
 def test_odd_tables(docs, clashing, empty):
     prototypes = train(docs)
     assert predict(empty, prototypes).count() == 0

@@ -82,3 +82,10 @@ def test_odd_tables(docs, clashing, empty):
     assert wide.columns.count("size") == 1 and wide.count() == docs.count()
     assert repeat_copies(wide).count() == sum(r.copies for r in wide.collect())
     assert mix(docs.where("text is null")).first().taken == 0
+
+
+def test_ids_stay_as_they_are(spark):
+    rows = [("", "a b", "s"), (None, "a b c", "s"), ("x", "d", "t")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    for keep in (("doc_id",), ("doc_id", "source")):
+        assert sorted((str(r.doc_id), r.size) for r in mix(df, keep).collect()) == [("", 2), ("None", 3), ("x", 1)]
