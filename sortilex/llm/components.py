@@ -2,7 +2,8 @@
 
 Each round every node takes the neighbour (or itself) with the smallest random number; edges are moved to the nodes taken
 and those within one node go. Each round removes a share of the nodes whatever the graph's shape, so a few rounds do.
-Hubs need no special care: the smallest number is found by partial aggregation. Once at most ``local_edges`` edges are
+A hub's smallest number is found by partial aggregation, and the joins that move edges are ones that adaptive execution
+splits where a key has many rows. Once at most ``local_edges`` edges are
 left, one task finishes them with a union-find.
 
 Edge cases. Self loops and repeated edges don't matter. No edges: empty result.
@@ -56,17 +57,17 @@ def _finish(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, root for all nodes of edges (a, b); nodes of one component share a root, which is one of them."""
-    left = materialize(edges.select("a", "b").where("a != b").distinct(), "cc-edges")
+    left = materialize(edges.select("a", "b").where("a != b").distinct(), "cc-edges", small=True)
     maps: list[DataFrame] = []
     while (n := left.count()) > local_edges:
         number = str(len(maps))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(number), "b").alias("h"), F.col("b").alias("to"))).alias("m"))
         own = F.struct(F.xxhash64(F.lit(number), "a").alias("h"), F.col("a").alias("to"))
-        taken = materialize(nearest.select(F.col("a").alias("node"), F.least("m", own)["to"].alias("root")), "cc-map")
+        taken = materialize(nearest.select(F.col("a").alias("node"), F.least("m", own)["to"].alias("root")), "cc-map", small=True)
         maps.append(taken)
         moved = left.join(taken.toDF("a", "ra"), "a").join(taken.toDF("b", "rb"), "b")
-        left = materialize(moved.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        left = materialize(moved.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges", small=True)
     out = materialize(_finish(left), "cc-map") if n else None
     for taken in reversed(maps):
         if out is None:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.storage import estimated_bytes
-from .common import map_batches, materialize, tokens, worker_cache
+from .common import map_batches, materialize, release_shuffles, tokens, worker_cache
 
 ALPHA, DISCOUNT = 0.1, 0.5
 #: Occurrences from which on an n-gram is kept.
@@ -376,6 +376,7 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
         yield from ((-1, b, parts, 0) for b, parts in _by_first_bits(words, mass, bits, 64 - int(HISTORY)))
 
     ngrams = _buckets(map_batches(texts, send_ngrams, _PARTS), count_ngrams, "lm-ngrams")
+    release_shuffles(docs.sparkSession)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for batch in batches for r in _rows(batch)):
@@ -399,6 +400,7 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
 
     shares = ngrams.where("block < 0")
     words = _buckets(map_batches(texts, send_words, _PARTS).unionByName(shares), count_words, "lm-words")
+    release_shuffles(docs.sparkSession)
     different = int(words.agg(F.sum("counted")).first()[0] or 0)
     schema = T.StructType([*kept, *(T.StructField(f"__lm_{c}", T.LongType() if c.startswith("n_") else T.DoubleType()) for c in ("n_tokens", "n_known", "base_score", "score"))])
 

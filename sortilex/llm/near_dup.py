@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize, tokens, worker_cache
+from .common import map_batches, materialize, temporary, tokens, worker_cache
 from .components import components
 
 SHINGLE, TREES, DEPTH = 5, 16, 8
@@ -44,7 +44,9 @@ CANDIDATE, NEIGHBOURS = 0.58, 3
 FAMILY_SHINGLES, BLOCK_SHINGLES = 4_000_000, 2_000_000
 #: Rows (about 40 bytes) of a table of family members that is broadcast instead of shuffling the texts.
 BROADCAST_ROWS = 500_000
-CACHE_WORDS = 400_000
+#: Share of all rows from which on a class's rows find its component by broadcast; there are 1 / share such classes at most.
+HOT_SHARE = 1e-3
+CACHE_WORDS = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(9_001))
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -271,23 +273,18 @@ def _large_families(members: DataFrame, percent: int, block_shingles: int) -> Da
     return dealt.select("cls").join(components(links).toDF("cls", "root"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, family_shingles: int = FAMILY_SHINGLES, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, with_class: bool = False) -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable by links) and kept, a row for each document.
-
-    with_class adds cls, which stands for the shingle set, and root, a class of the component; both are null without shingles.
-    Documents are linked if 100 times the shared shingles are at least ``percent`` times all of both.
-    """
-    kind = docs.schema[id_col].dataType
-    signed = materialize(sign(docs, id_col, text_col, size), "dedup-signed")
-    classes = materialize(signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "dedup-classes")
-    families = materialize(components(candidates(classes)).toDF("cls", "family").join(classes.select("cls", "n", "least"), "cls"), "dedup-families")
+def _roots(docs: DataFrame, percent: int, id_col: str, text_col: str, size: int, family_shingles: int, block_shingles: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed documents (id, n, cls, sig), classes (cls, least, n, sig) and the components (cls, root) of classes in families."""
+    signed = materialize(sign(docs, id_col, text_col, size), "dedup-signed", outlive=True)
+    classes = materialize(signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "dedup-classes", small=True, outlive=True)
+    families = materialize(components(candidates(classes)).toDF("cls", "family").join(classes.select("cls", "n", "least"), "cls"), "dedup-families", small=True)
     totals = families.groupBy("family").agg(F.sum("n").alias("total"))
     families = families.join(totals, "family")
 
     # Ids that name one text find it again; where an id is null or stands for several texts, classes are made anew.
     several = signed.where("id is not null and cls is not null").groupBy("id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("id")
-    several = materialize(several, "dedup-several")
-    unclear = materialize(classes.where("least is null").select("cls").unionByName(classes.join(several, F.col("least") == F.col("id"), "left_semi").select("cls")), "dedup-unclear")
+    several = materialize(several, "dedup-several", small=True)
+    unclear = materialize(classes.where("least is null").select("cls").unionByName(classes.join(several, F.col("least") == F.col("id"), "left_semi").select("cls")), "dedup-unclear", small=True)
     any_unclear = not unclear.isEmpty()
 
     def sets_of_texts(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -323,10 +320,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     large = families.where(F.col("total") > family_shingles)
     if not large.isEmpty():
         roots = roots.unionByName(_large_families(with_shingles(large), percent, block_shingles))
-    roots = materialize(roots.distinct(), "dedup-roots")
+    roots = materialize(roots.distinct(), "dedup-roots", outlive=True)
+    return signed, classes, roots
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, family_shingles: int = FAMILY_SHINGLES, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, with_class: bool = False) -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable by links) and kept, a row for each document.
+
+    with_class adds cls, which stands for the shingle set, and root, a class of the component; both are null without shingles.
+    Documents are linked if 100 times the shared shingles are at least ``percent`` times all of both.
+    """
+    kind = docs.schema[id_col].dataType
+    with temporary(docs.sparkSession):
+        signed, classes, roots = _roots(docs, percent, id_col, text_col, size, family_shingles, block_shingles, broadcast_rows)
     placed = classes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     found = placed.join(ids, "root", "left").select("cls", "root", F.coalesce("component_id", "least").alias("component_id"))
-    out = signed.select("id", "n", "cls").join(found, "cls", "left")
+    own = signed.select("id", "n", "cls")
+    # Rows without a class, and those of the few classes that many rows share, don't meet in one task.
+    hot = classes.where(F.col("copies") >= HOT_SHARE * F.lit(signed.count())).select("cls")
+    few = F.broadcast(found.join(F.broadcast(hot), "cls"))
+    none = own.where("cls is null").select("cls", "id", "n", F.lit(None).cast("binary").alias("root"), F.lit(None).cast(kind).alias("component_id"))
+    rest = own.where("cls is not null").join(F.broadcast(hot), "cls", "left_anti").join(found, "cls")
+    out = none.unionByName(own.join(few, "cls")).unionByName(rest)
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).cast(kind)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *(("cls", "root") if with_class else ()))

@@ -90,3 +90,34 @@ def test_candidates_by_the_whole_signature(spark):
     rows = [(c, bytearray(x.tobytes())) for c, x in ((b"a", a), (b"b", near), (b"c", far))]
     found = candidates(spark.createDataFrame(rows, "cls binary, sig binary")).collect()
     assert [(bytes(r.a), bytes(r.b)) for r in found] == [(b"a", b"b")]
+
+
+def test_null_and_repeated_ids_do_not_multiply(spark, monkeypatch):
+    """Rows that reach the family tasks are classes, however many rows have no id, or share one."""
+    from sortilex.llm import near_dup
+
+    met = []
+    real = near_dup._small_families
+    monkeypatch.setattr(near_dup, "_small_families", lambda members, percent: met.append(members.count()) or real(members, percent))
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10_000)}" for _ in range(60)] for _ in range(40)]
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(b)) for b in base for _ in range(5)] + [(None, near(b)) for b in base for _ in range(5)]
+    rows += [(7, " ".join(f"v{i}" for i in range(60)))] * 3000 + [(8, near([f"v{i}" for i in range(60)]))]
+    rows += [(9, " ".join(f"u{k} x{i}" for i in range(40))) for k in range(30)] + [(9, near([f"u{k} x{i}" for i in range(40)])) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, 85).collect()), key=str)
+    assert met == [80 + 2 + 60]
+    small = [r for r in rows if r[0] != 7] + [rows[400]]
+    want = sorted(brute(small, 85), key=str)
+    assert [g for g in got if g[0] != 7] == [w for w in want if w[0] != 7] and sum(g == (7, 56, 7) for g in got) == 3000
+    monkeypatch.setattr(near_dup, "HOT_SHARE", 2.0)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, 85).collect()), key=str) == got
+
+
+def test_intermediate_tables_go(spark, texts, tmp_path, monkeypatch):
+    from sortilex.sources import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    near_duplicates(spark.createDataFrame(texts[:100], "doc_id bigint, text string"), 85).count()
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"dedup-signed", "dedup-classes", "dedup-roots"}

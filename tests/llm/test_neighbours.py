@@ -73,3 +73,11 @@ def test_small_tables_and_rare_lengths_get_all_that_are_due(spark):
         assert len(out[q]) == min(5, sizes[len(vectors[q])] - 1)
         if len(vectors[q]) < 26:
             assert out[q] == [i for i, _ in brute(vectors, q, 5)]
+
+
+def test_ids_with_several_vectors_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [-1.0, 0.0]), (3, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("own") for c in ("id", "v", "first", "query", "score", "copy", "place", "query_id")})
+    got = [(r.rank, r.vec_id, round(r.score, 6)) for r in nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    near = round(1 / np.hypot(1, 0.1), 6)
+    assert got == [(1, 1, near), (2, 2, near), (3, 3, round(-1 / np.sqrt(2), 6))]
