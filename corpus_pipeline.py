@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortilex.llm.common import crc_of_id, materialize
+from sortilex.llm.common import crc_of_id, materialize, remove, temporary
 from sortilex.llm.decontaminate import WINDOW, decontaminate
 from sortilex.llm.language_id import NO_LANGUAGE, predict, train
 from sortilex.llm.mixing import mix, repeat_copies
@@ -50,13 +50,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, with the smallest id, of each group of near duplicates."""
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    rows = materialize(near_duplicates(docs, SIMILAR, with_class=True).select("doc_id", "cls", "root"), "pipeline-classes")
+    rows = materialize(near_duplicates(docs, SIMILAR, with_class=True).select("doc_id", "cls", "root"), "pipeline-classes", small=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls"))
-    best = materialize(rows.where("cls is not null").groupBy("root").agg(first.alias("w")).select("w.doc_id", "w.cls"), "pipeline-best")
+    best = materialize(rows.where("cls is not null").groupBy("root").agg(first.alias("w")).select("w.doc_id", "w.cls"), "pipeline-best", small=True)
     ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.first("cls").alias("cls"))
-    shared = materialize(ids.where("n > 1").select("doc_id"), "pipeline-shared")
+    shared = materialize(ids.where("n > 1").select("doc_id"), "pipeline-shared", small=True)
     gone = ids.where("n = 1 and cls is not null").join(best, ["doc_id", "cls"], "left_anti").select("doc_id")
-    gone = materialize(gone.unionByName(shared), "pipeline-dropped")
+    gone = materialize(gone.unionByName(shared), "pipeline-dropped", small=True)
     clear = docs.where("doc_id is not null").join(small(gone), "doc_id", "left_anti").select(*docs.columns)
     if shared.isEmpty() and rows.where("doc_id is null").isEmpty():
         return clear
@@ -94,7 +94,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_files", token_files),
 ]
 
-#: Hash functions, trained profiles and the tokenizer are beyond SQL; the tests hold the stages against brute force.
+#: Hash functions, trained profiles and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -102,5 +102,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with temporary(spark):  # what the stage made on the way goes
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", outlive=True)
+        if name != STAGES[0][0]:
+            remove(spark, sorted({f.rpartition("/")[0] for f in before.inputFiles()}))
     return STAGES[-1][1](spark, docs, sf_dir)
