@@ -1,7 +1,7 @@
 """Blocked Bloom filters as tables of 64-bit words.
 
 A filter is a DataFrame of (bucket, word, bits) rows, so it can be of any size. One hash of a key chooses a bucket of
-``BUCKET_BITS`` bits, another its places within, so building is one aggregation that combines on the map side, a probe row
+``BUCKET_BITS`` bits at most, another its places within, so building is one aggregation that combines on the map side, a probe row
 meets one bucket (by broadcast up to ``BROADCAST_BYTES``, else by one join on the bucket), and union, intersection and
 difference are aggregations of words. A table of several buckets gets a multiple of 8 of them beyond 8, so that it folds.
 
@@ -89,7 +89,7 @@ class Bloom:
         hashes, size = p.optimal()
         buckets = -(-size // BUCKET_BITS)
         buckets = -(-buckets // 8) * 8 if buckets > 8 else buckets
-        bits = BUCKET_BITS if buckets > 1 else max(64, -(-size // 64) * 64)
+        bits = -(-size // (64 * buckets)) * 64
         none = keys.sparkSession.createDataFrame([], "bucket int, word int, bits bigint")
         return Bloom(none, hashes, buckets, bits, p.seed).insert(keys, column)
 

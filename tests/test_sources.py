@@ -130,7 +130,7 @@ def test_store_reads_the_newest(spark, tmp_path):
         assert found(store.scan()) == sorted(model.items())
         assert found(store.scan(at(500), at(1200, False))) == sorted((k, v) for k, v in model.items() if 500 <= k < 1200)
         for k in (*picks[3][:2], picks[0][0], 10_001):
-            assert found(store.get(k)) == [(k, model[k])] * (k in model)
+            assert found(store.get(k)) == [(k, model.get(k))] * (k in model)
         assert sorted(found(store.get_many(ask))) == sorted((k, v) for k, v in model.items() if k % 3 == 0)
     assert len(store.levels) == 1 and Store(spark).scan().isEmpty() and Store(spark).get(1).isEmpty()
     assert Store(spark).compact(f"{tmp_path}/none").scan().isEmpty()
@@ -153,8 +153,7 @@ def test_damage_is_noticed(spark, tmp_path):
     file = next((tmp_path / "run").glob("part-*.parquet"))
     (tmp_path / "run" / f".{file.name}.crc").unlink()  # the local file system's own check
     raw = bytearray(file.read_bytes())
-    middle = len(raw) // 2
-    raw[middle] ^= 0x55
+    raw[5000] ^= 0x55  # in the first pages
     file.write_bytes(raw)
     with pytest.raises(Exception, match="(?i)crc|checksum"):
         Level.open(spark, path, verify=True).scan(ordered=False).agg(F.sum(F.crc32("value")), F.sum(F.crc32("key"))).collect()
