@@ -15,8 +15,8 @@ results are the same in any order:
    ones and each pair's failure mass; buckets hand on each word's failure mass;
 2. a block sends its different words with their counts, and gets back their counts and failure masses.
 
-A word is known by a 64-bit code, as a history by 48 bits of it, and after a known history by its place among the ``BRIEF``
-most frequent words or else by 31 bits. A word's pairs lie in an eighth of all
+A word is known by a 64-bit code, as a history by 48 bits of it, and after a known history by its place among the frequent
+words (``BRIEF`` of all tokens; there can't be many) or else by 31 bits. A word's pairs lie in a sixteenth of all
 buckets, by their second words, and the triples of a frequent pair (``HOT`` of all tokens; there can't be many) likewise by
 their third, so no word or pair is too much for a bucket. Blocks and buckets grow with the square root of the input beyond
 ``EVEN_BYTES``, so that packets don't shrink as their number grows.
@@ -50,8 +50,10 @@ BLOCK_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 1_000_000, 64
 EVEN_BYTES = 64 << 30
 #: Share of all tokens from which on a pair's triples are dealt out over several buckets.
 HOT = 1e-3
-#: Frequent words that have a short code, and a block's share from which on it proposes a word.
-BRIEF, PROPOSED = 32_768, 1e-5
+#: A word's pairs, or a hot pair's triples, lie in each APARTth bucket.
+APART = 16
+#: Share of all tokens, in the blocks where a word has it, from which on the word has a short code.
+BRIEF = 1e-5
 CACHE_WORDS = 300_000
 
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -121,18 +123,9 @@ def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values, n).astype(np.int64)
 
 
-def _frequent_pairs(words: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """Codes and numbers of pairs with a share of ``HOT``, of words in order of frequency; none goes over an end of a text."""
-    m = int((counts >= HOT * len(ids)).sum())
-    both = (ids[:-1] < m) & (ids[1:] < m) & (words[ids[:-1]] != _END)
-    n = np.bincount(ids[:-1][both] * m + ids[1:][both], minlength=m * m)
-    at = np.flatnonzero(n >= max(1, HOT * len(ids)))
-    return np.array([words[at // max(1, m)], words[at % max(1, m)], n[at].astype(np.uint64)], np.uint64).tobytes()
-
-
 def encode(docs: DataFrame, kept: list[T.StructField], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of texts: block, rows (the kept columns), n and train tokens, sizes, held, words (different codes), ids (places in words), frequent pairs and words."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(kept))), T.StructField("n", T.LongType()), T.StructField("train", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "held", "words", "ids", "frequent", "proposed"))])
+    """Blocks of texts: block, rows (the kept columns), n and train tokens, sizes, held, words (different codes), and ids (places in words)."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(kept))), T.StructField("n", T.LongType()), T.StructField("train", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "held", "words", "ids"))])
 
     def finish(block: int, parts: list[pa.RecordBatch], codes: list[np.ndarray]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -145,7 +138,7 @@ def encode(docs: DataFrame, kept: list[T.StructField], block_bytes: int = BLOCK_
         rows = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns], fields=[pa.field(f.name, c.type) for f, c in zip(kept, table.columns, strict=True)])
         listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
         values = [pa.array([block], pa.int64()), listed, pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[~held].sum())], pa.int64())]
-        values += [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack(held.astype(np.int64)), words[order].tobytes(), _pack(place[ids]), _frequent_pairs(words[order], n[order], place[ids]), np.array([words, n.astype(np.uint64)], np.uint64)[:, n >= max(2, PROPOSED * len(ids))].tobytes())]
+        values += [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack(held.astype(np.int64)), words[order].tobytes(), _pack(place[ids]))]
         return pa.RecordBatch.from_arrays(values, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +171,24 @@ class Texts:
         self.words = np.frombuffer(row["words"], np.uint64)
         self.train = np.repeat(_unpack(row["held"]) == 0, self.sizes)
 
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes u and v and numbers of pairs that have a share of ``HOT``, and of words (v is 0) that have one of ``BRIEF``."""
+        n, counts = len(self.ids), np.bincount(self.ids, minlength=len(self.words))  # words come in order of frequency
+        m, words = int((counts >= HOT * n).sum()), np.flatnonzero(counts >= max(2, BRIEF * n))
+        a, b = self.ids[:-1], self.ids[1:]
+        both = (a < m) & (b < m) & (self.words[a] != _END)
+        pairs = np.bincount(a[both] * m + b[both], minlength=m * m)
+        at = np.flatnonzero(pairs >= max(1, HOT * n))
+        u, v = np.divmod(at, max(1, m))
+        return np.concatenate((self.words[u], self.words[words])), np.concatenate((self.words[v], np.zeros(len(words), np.uint64))), np.concatenate((pairs[at], counts[words]))
+
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.ids[self.train], minlength=len(self.words))
 
     def find(self, bits: int, hot: np.ndarray, short: np.ndarray) -> Texts:
         """Finds pairs and triples; ``hot`` has the codes of frequent pairs, whose triples are dealt out over several buckets."""
         self.brief = _brief(self.words, short)
-        n, spread = len(self.words), max(1, (1 << bits) // 8)
+        n, spread = len(self.words), max(1, (1 << bits) // APART)
         inner = np.ones(len(self.ids), bool)
         inner[np.cumsum(self.sizes) - 1] = False
         self.first = np.flatnonzero(inner)  # where pairs begin
@@ -195,12 +199,12 @@ class Texts:
         self.history, self.w = np.divmod(triples, max(1, n))
         # Entries of packets: a pair, or one of a hot pair's shares; the first has the count.
         code, salt = self.words, (self.words % np.uint64(spread)).astype(np.int64)
-        home = (_mix(code, code) >> np.uint64(64 - bits)).astype(np.int64)[self.u] + 8 * salt[self.v]
+        home = (_mix(code, code) >> np.uint64(64 - bits)).astype(np.int64)[self.u] + APART * salt[self.v]
         is_hot = np.isin(_mix(code[self.u], code[self.v]), _mix(hot[0], hot[1]))
         self.owner = np.repeat(np.arange(len(pairs)), np.where(is_hot, spread, 1))
         first = np.searchsorted(self.owner, np.arange(len(pairs)))
         share = np.arange(len(self.owner)) - first[self.owner]
-        bucket = (home[self.owner] + 8 * share) % (1 << bits)
+        bucket = (home[self.owner] + APART * share) % (1 << bits)
         rank = np.empty(n, np.int64)
         rank[np.argsort(code)] = np.arange(n)
         self.order = np.argsort(bucket * n + rank[self.u[self.owner]], kind="stable")
@@ -352,19 +356,14 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
     texts = blocks.select("block", "sizes", "held", "words", "ids")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["u", "v", "n"])
-
-    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x, np.int64).reshape(2, -1) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], names=["code", "n"])
+        for r in (r for batch in batches for r in _rows(batch)):
+            u, v, k = Texts(r).frequent()
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(k, pa.int64())], names=["u", "v", "n"])
 
-    pairs = map_batches(blocks.select("frequent"), frequent, "u bigint, v bigint, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT * n)
-    words_of = map_batches(blocks.select("proposed"), proposed, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    short = np.sort(np.array([r.code for r in words_of.orderBy(F.desc("n"), "code").limit(BRIEF).collect()], np.int64).view(np.uint64))
-    hot = np.array([[r.u, r.v] for r in pairs.collect()], np.int64).reshape(-1, 2).T.astype(np.uint64)  # 1 / HOT at most
+    least_share = F.when(F.col("v") == 0, BRIEF).otherwise(HOT)
+    found = map_batches(texts, frequent, "u bigint, v bigint, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= least_share * n)
+    often = np.array([[r.u, r.v] for r in found.collect()], np.int64).reshape(-1, 2).T.view(np.uint64)  # 1 / BRIEF + 1 / HOT rows at most
+    short, hot = np.sort(often[0][often[1] == 0]), often[:, often[1] != 0]
 
     def send_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for batch in batches for r in _rows(batch)):
@@ -415,6 +414,6 @@ def lm_scores(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ("doc_i
                 own = batch.column("rows").slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays([*own.flatten(), pa.array(t.sizes), pa.array(known), pa.array(base), pa.array(score)], names=schema.names)
 
-    walked = blocks.drop("n", "train", "frequent", "proposed").join(_answers(words, "words_found"), "block").join(_answers(ngrams, "found"), "block", "left")
+    walked = blocks.drop("n", "train").join(_answers(words, "words_found"), "block").join(_answers(ngrams, "found"), "block", "left")
     scored = map_batches(walked, run, schema)
     return scored.select(*keep, "held_out", F.col("__lm_n_tokens").alias("n_tokens"), F.col("__lm_n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("__lm_base_score").alias("base_score"), F.col("__lm_score").alias("score"))

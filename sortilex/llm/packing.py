@@ -81,7 +81,8 @@ class _ShardWriter:
         self.ends = (ends[ends >= n] + at).tolist()
         pad = -n % self.seq_len
         if n:
-            self._write(np.pad(flat[:n], (0, pad)), np.pad(np.ones(n, bool), (0, pad)), np.pad(last, (0, pad)))
+            parts = [flat[:n], np.ones(n, bool), last]
+            self._write(*(np.pad(x, (0, pad)) for x in parts) if pad else parts)
         self.held, self.n_held = [flat[n:].tobytes()], len(flat) - n
 
     def _write(self, ids: np.ndarray, mask: np.ndarray, last: np.ndarray) -> None:

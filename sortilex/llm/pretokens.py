@@ -5,7 +5,7 @@ that are not white space: such a space always starts a new pre-token. A text can
 (the space and what follows) encoded alone and remembered. Where a space touches other white space or an end of the
 text, the pieces around it are joined again and encoded as one, so results are the library's for every text. New pieces are
 encoded as one text: tokens that begin with a space, and no others, begin a piece. A piece of letters is one pre-token, and
-marks that end such a piece another, so ASCII words go to the library already split.
+marks that end such a piece another, so words go to the library already split and in the vocabulary's spelling.
 
 All this holds for a byte-level pre-tokenizer with the usual split, without a normaliser and with special strings in <| |>.
 With any other, whole texts are encoded.
@@ -13,12 +13,12 @@ With any other, whole texts are encoded.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import string
 from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -33,6 +33,8 @@ FIRST_ENTRIES = 30_000
 GROUP_TEXTS, GROUP_CHARS = 64, 400_000
 
 SPACE = "Ġ"  # a space in the vocabulary's spelling of bytes
+#: That spelling by byte, for texts of words between spaces: letters as they are, 0x7F to 0xA0 and 0xAD as later characters.
+SPELLING = "".join(chr(b if b == 32 or 33 <= b < 127 or b > 160 and b != 173 else 256 + 34 + b - 128 if 127 < b < 161 else 323 if b == 173 else 289 if b == 127 else 256 + b) for b in range(256))
 
 class PieceEncoder:
     """ids(text) for one tokenizer file; pieces seen before come from the cache."""
@@ -70,8 +72,15 @@ class PieceEncoder:
         return self._cut(self.tokenizer, " " + " ".join(pieces), len(pieces)) or self.encode([" " + p for p in pieces])
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """As encode_pieces, of ASCII letters alone, which the vocabulary spells as they are."""
-        return self._cut(self.by_word, SPACE + (" " + SPACE).join(words), len(words)) or self.encode_pieces(words)
+        """As encode_pieces, of letters alone."""
+        text = " ".join(words)
+        if not text.isascii():
+            try:
+                text.encode("latin-1")  # Python and the library may differ about later letters
+            except UnicodeEncodeError:
+                return self.encode_pieces(words)
+            text = codecs.charmap_decode(text.encode(), "strict", SPELLING)[0]
+        return self._cut(self.by_word, SPACE + text.replace(" ", " " + SPACE), len(words)) or self.encode_pieces(words)
 
     def _cut(self, tokenizer, text: str, n: int) -> list[bytes] | None:
         """A text's ids before each token that begins with a space, if these are n."""
@@ -98,7 +107,7 @@ class PieceEncoder:
             if p in older:
                 cache[p] = older[p]
             elif p.isalpha():
-                (words if p.isascii() else others)[p] = None
+                words[p] = None
             elif not p or p[0].isspace() or p[-1].isspace():
                 cache[p] = None
             elif (stem := p.rstrip(string.punctuation)).isalpha():
@@ -106,7 +115,7 @@ class PieceEncoder:
                 if stem in older:
                     cache[stem] = older[stem]
                 elif stem not in cache:
-                    (words if stem.isascii() else others)[stem] = None
+                    words[stem] = None
             else:
                 others[p] = None
         if words:
@@ -116,30 +125,37 @@ class PieceEncoder:
         for p, stem in ended:
             cache[p] = cache[stem] + self.mark(p[len(stem) :])
 
-    def _look_up(self, texts: list[str], known: dict[str, int]) -> list[list[str]]:
-        """Texts cut at spaces; afterwards their pieces are in the cache, if not in ``known``."""
-        cut = [t.split(" ") for t in texts]
-        every = chain.from_iterable(c[1:] for c in cut)
-        missing = list(filterfalse(self.cache.__contains__, filterfalse(known.__contains__, every) if known else every))
+    def _look_up(self, lists: list[list[str]]) -> list[list[bytes | None]]:
+        """Each list's pieces from the cache, learning those that it misses."""
+        found = [list(map(self.cache.get, pieces)) for pieces in lists]
+        holes = [[i for i, x in enumerate(own) if x is None] for own in found]
+        missing = [p for pieces, at in zip(lists, holes, strict=True) for i in at if (p := pieces[i]) not in self.cache]
         if len(self.cache) + len(missing) > self.cache_entries:
             self.older, self.cache = self.cache, {}
-            missing = [p for c in cut for p in c[1:] if p not in known]
         self.learn(missing)
+        for pieces, own, at in zip(lists, found, holes, strict=True):
+            for i in at:
+                own[i] = self.cache.get(pieces[i])
+        return found
+
+    def _first_ids(self, firsts: list[str]) -> list[bytes]:
+        """Of texts' first pieces, which have no space before them."""
         if len(self.firsts) > FIRST_ENTRIES:
             self.firsts.clear()
-        firsts = list(dict.fromkeys(c[0] for c in cut if c[0] not in self.firsts))
-        self.firsts.update(zip(firsts, self.encode(firsts) if firsts else [], strict=True))
-        return cut
+        new = list({p for p in firsts if p not in self.firsts})
+        self.firsts.update(zip(new, self.encode(new) if new else [], strict=True))
+        return [self.firsts[p] for p in firsts]
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, as integers of ``dtype``."""
         if not self.by_piece:
             return self.encode(texts)
+        lists = [t.split(" ") for t in texts]
+        firsts = [pieces.pop(0) for pieces in lists]
         out = []
-        for first, *rest in self._look_up(texts, {}):
-            own = list(map(self.cache.get, rest))
-            broken = None in own or rest and (not first or first[-1].isspace())
-            out.append(self._joined([first, *rest]) if broken else self.firsts[first] + b"".join(own))
+        for first, ids, pieces, own in zip(firsts, self._first_ids(firsts), lists, self._look_up(lists), strict=True):
+            broken = None in own or pieces and (not first or first[-1].isspace())
+            out.append(self._joined([first, *pieces]) if broken else ids + b"".join(own))
         return out
 
     def counts_of(self, texts: list[str], known: dict[str, int]) -> list[int]:
@@ -147,14 +163,16 @@ class PieceEncoder:
         size = self.dtype.itemsize
         if not self.by_piece:
             return [len(x) // size for x in self.encode(texts)]
+        lists = [t.split(" ") for t in texts]
+        firsts = [pieces.pop(0) for pieces in lists]
+        sizes = [list(map(known.get, pieces)) for pieces in lists]
+        rest = [[p for p, n in zip(pieces, own, strict=True) if n is None] for pieces, own in zip(lists, sizes, strict=True)]
         out = []
-        for first, *rest in self._look_up(texts, known):
-            sizes = list(map(known.get, rest))
-            own = [self.cache.get(p) for p, n in zip(rest, sizes, strict=True) if n is None]
-            if None in own or rest and (not first or first[-1].isspace()):
-                out.append(len(self._joined([first, *rest])) // size)
+        for first, ids, pieces, counted, own in zip(firsts, self._first_ids(firsts), lists, sizes, self._look_up(rest), strict=True):
+            if None in own or pieces and (not first or first[-1].isspace()):
+                out.append(len(self._joined([first, *pieces])) // size)
             else:
-                out.append(sum(filter(None, sizes)) + (len(b"".join(own)) + len(self.firsts[first])) // size)
+                out.append(sum(filter(None, counted)) + (len(b"".join(own)) + len(ids)) // size)
         return out
 
     def ids(self, text: str) -> bytes:

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from sortilex.llm.decontaminate import decontaminate, merge_ranges
+from pyspark.sql import functions as F
+
+from sortilex.llm.decontaminate import _blocks, decontaminate, merge_ranges
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,3 +64,22 @@ def test_query(spark, sf):
     for r in op1_decontaminate(spark, sf).collect():
         n, hit, found = brute(docs[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), len(found) >= 2)
+
+
+def test_another_benchmark_in_the_same_workers(spark):
+    """Workers keep an automaton between tasks; a second benchmark, of the same size and made in the same place, gets its own."""
+    docs = spark.createDataFrame([(i, f"alpha{i} beta gamma delta epsilon zeta eta theta iota") for i in range(40)], "doc_id bigint, text string").repartition(4).cache()
+    for k in (3, 8, 3):
+        bench = spark.createDataFrame([(1, f"alpha{k} beta gamma delta epsilon zeta eta theta")], "item_id bigint, text string")
+        assert [r.doc_id for r in decontaminate(docs, bench).where("n_items > 0").collect()] == [k]
+
+
+def test_blocks_are_bounded_by_their_patterns(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i * 7 + j}" for j in range(60))) for i in range(12)], "item_id bigint, text string")
+    blocks = list(_blocks(items, 8, 1024))
+    assert len(blocks) >= 4 and all(sum(map(len, b)) < 1024 + 100 for b in blocks)
+    shared = spark.createDataFrame([(i, "one two three four five six seven eight") for i in range(3000)], "item_id bigint, text string")
+    assert [len(ids) for _, ids in next(_blocks(shared.select(F.col("item_id").cast("string"), "text"), 8, 1 << 20)).values()] == [3000]
+    docs = spark.createDataFrame([(0, "w8 w9 w10 w11 w12 w13 w14 w15 w16")], "doc_id bigint, text string")
+    whole, cut = (decontaminate(docs, items, block_bytes=n).first() for n in (1 << 20, 1024))
+    assert whole == cut and whole.n_items > 0
