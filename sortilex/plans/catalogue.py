@@ -490,6 +490,23 @@ def level_estimated_size(spark, sf_dir):
     return estimated_size(orders(spark, sf_dir))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS located, CAST(0 AS BIGINT) AS elsewhere, CAST(6 AS BIGINT) AS n_files FROM orders")
+def level_locate(spark, sf_dir):
+    """The file of each key by the manifest of files that were written, against how many keys each file has."""
+    level = write_level(orders(spark, sf_dir), new_path(spark, "level"), files=6)
+    found = level.locate_sstable(orders(spark, sf_dir).select("klen", "key")).groupBy("sst_id").agg(F.count("*").alias("n"))
+    both = level.manifest.select("sst_id", "num_rows").join(found, "sst_id", "full")
+    apart = F.abs(F.coalesce("num_rows", F.lit(0)) - F.coalesce("n", F.lit(0)))
+    return both.agg(F.sum("n").alias("located"), F.sum(apart).alias("elsewhere"), F.count("num_rows").alias("n_files"))
+
+
+@query(f"SELECT key, ts, value FROM ({ENTRIES}) WHERE (strlen(key) > 3 OR (strlen(key) = 3 AND key >= '700')) AND (strlen(key) < 4 OR (strlen(key) = 4 AND key < '2500'))")
+def level_pinned(spark, sf_dir):
+    """A scan that files kept in memory answer."""
+    level = write_level(orders(spark, sf_dir), new_path(spark, "level"), files=8).pin(Bound.at(100), Bound.at(4000))
+    return shown(level.scan(Bound.at(700), Bound.at(2500, False), ordered=False))
+
+
 @query("SELECT CAST(4 AS BIGINT) AS n_files, true AS blocks_add_up, true AS blocks_in_each")
 def level_blocks(spark, sf_dir):
     """Sizes of files and how many blocks they take up."""
