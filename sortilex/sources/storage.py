@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import threading
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -51,9 +52,14 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: shuffle files of tables that are written and no longer held go now, not at some time."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have the driver collect its garbage: shuffle files of tables that are written and no longer held go now, not at some time.
+
+    The first round lets go of what Python held, the second of the tables behind it; files go in the background.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
