@@ -23,6 +23,8 @@ from ..operators.bounds import NEG_INF, POS_INF, Bound, is_valid, scan
 
 MANIFEST, FILTER = "_manifest", "_filter"
 BLOCK_BYTES = 128 << 20
+#: Row groups are no smaller: a writer keeps each one's Bloom filter (1 MB where the number of keys isn't given) and statistics until the file ends.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def arranged(entries: DataFrame, files: int | None = None) -> DataFrame:
@@ -31,10 +33,13 @@ def arranged(entries: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def write_run(entries: DataFrame, path: str, files: int | None = None, expected_keys: int | None = None, fpp: float = 0.01, block_bytes: int = BLOCK_BYTES, is_arranged: bool = False) -> None:
-    """Write entries (unique keys) as sorted files; entries that come from arranged() aren't dealt out again."""
+    """Write entries (unique keys) as sorted files; entries that come from arranged() aren't dealt out again.
+
+    Row groups hold ``block_bytes``, or ``ROW_GROUP_BYTES`` if blocks are smaller; such blocks are numbers, as in operators/blocks.
+    """
     own = entries.select(*RUN_SCHEMA.fieldNames())
     ordered = (own if is_arranged else arranged(own, files)).sortWithinPartitions("klen", "key")
-    out = ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(fpp)).option("parquet.block.size", block_bytes)
+    out = ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(fpp)).option("parquet.block.size", max(block_bytes, ROW_GROUP_BYTES))
     (out.option("parquet.bloom.filter.expected.ndv#key", str(expected_keys)) if expected_keys else out).parquet(path)
 
 

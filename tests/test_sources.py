@@ -168,6 +168,15 @@ def test_damage_is_noticed(spark, tmp_path):
         Level.open(spark, f"{tmp_path}/missing")
 
 
+def test_small_blocks_make_no_row_groups(spark, tmp_path):
+    """Each row group costs its writer a Bloom filter until the file ends, so their number can't follow the blocks."""
+    import pyarrow.parquet as pq
+
+    level = write_level(K.entries(spark.range(20_000), "id", F.sha2(F.col("id").cast("string"), 256)), f"{tmp_path}/run", files=2, block_bytes=4096)
+    assert all(pq.ParquetFile(f).num_row_groups == 1 for f in (tmp_path / "run").glob("part-*.parquet"))
+    assert all(r.n_blocks == -(-r.file_bytes // 4096) > 100 for r in level.manifest.collect())
+
+
 def test_pinned_files(spark, level):
     before = numbers(level.scan(at(100), at(900)))
     level.pin(at(400), at(600))
