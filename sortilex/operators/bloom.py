@@ -1,7 +1,8 @@
 """Blocked Bloom filters as tables of 64-bit words.
 
 A filter is a DataFrame of (bucket, word, bits) rows, so it can be of any size. One hash of a key chooses a bucket of
-``BUCKET_BITS`` bits at most, another its places within, so building is one aggregation that combines on the map side, a probe row
+``BUCKET_BITS`` bits at most, another its places within. A small filter is built by one aggregation of words that combines on the
+map side; beyond ``COMBINED_BUCKETS`` each different key is dealt out once, to its bucket, and words are made there. A probe row
 meets one bucket (by broadcast up to ``BROADCAST_BYTES``, else by one join on the bucket), and union, intersection and
 difference are aggregations of words. A table of several buckets gets a multiple of 8 of them beyond 8, so that it folds.
 
@@ -22,6 +23,10 @@ MOST_HASHES = 999
 BUCKET_BITS = 4096
 #: Size of a filter that goes to every task.
 BROADCAST_BYTES = 8 << 20
+#: Up to so many buckets (1 MB) words are combined before they are dealt out; of larger filters a task's keys hardly share words.
+COMBINED_BUCKETS = 2048
+#: Buckets that a task makes beyond that. The number of tasks is fixed, so that it isn't cut down: unions read all their filters' shares in one task.
+BUCKETS_A_TASK = 1024
 
 
 @dataclass(frozen=True)
@@ -76,12 +81,14 @@ class Bloom:
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(self.seed)), F.lit(self.buckets)).cast("int")
 
-    def _places(self, key: Column) -> list[Column]:
-        """In the bucket: steps of an odd width from a start, both by a second hash."""
-        h = F.xxhash64(F.lit(self.seed), key)
+    def _places(self, h: Column) -> list[Column]:
+        """In the bucket: steps of an odd width from a start, both by a second hash of the key."""
         start, width = F.pmod(h, F.lit(self.bucket_bits)), F.pmod(F.shiftrightunsigned(h, 24), F.lit(self.bucket_bits // 2)) * 2 + 1
         return [F.pmod(start + i * width, F.lit(self.bucket_bits)).cast("int") for i in range(self.hashes)]
 
+    def _second(self, key: Column) -> Column:
+        return F.xxhash64(F.lit(self.seed), key)
+
     @staticmethod
     def build(keys: DataFrame, parameters: Parameters | None = None, column: str = "key") -> Bloom:
         """Of a table's keys."""
@@ -94,8 +101,10 @@ class Bloom:
         return Bloom(none, hashes, buckets, bits, p.seed).insert(keys, column)
 
     def insert(self, keys: DataFrame, column: str = "key") -> Bloom:
-        key = F.col(column)
-        each = keys.select(self._bucket(key).alias("bucket"), F.explode(F.array(*self._places(key))).alias("place"))
+        hashed = keys.select(self._bucket(F.col(column)).alias("bucket"), self._second(F.col(column)).alias("h"))
+        if self.buckets > COMBINED_BUCKETS:
+            hashed = hashed.distinct().repartition(-(-self.buckets // BUCKETS_A_TASK), "bucket")
+        each = hashed.select("bucket", F.explode(F.array(*self._places(F.col("h")))).alias("place"))
         new = each.groupBy("bucket", F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(63))).alias("bits"))
         empty = not self.counted and not self.uncounted
         words = new if empty else _combined([self.words, new], F.bit_or("bits"))
@@ -108,7 +117,7 @@ class Bloom:
         dense = self.words.groupBy("bucket").agg(held.alias("m")).select(F.col("bucket").alias("__b"), F.transform(every, lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("__words"))
         dense = F.broadcast(dense) if self.table_size // 8 <= BROADCAST_BYTES else dense
         met = probes.withColumn("__bucket", self._bucket(F.col(column))).join(dense, F.col("__bucket") == F.col("__b"), "left")
-        bits = [F.getbit(F.get("__words", F.shiftright(p, 6)), p.bitwiseAND(63)) == 1 for p in self._places(F.col(column))]
+        bits = [F.getbit(F.get("__words", F.shiftright(p, 6)), p.bitwiseAND(63)) == 1 for p in self._places(self._second(F.col(column)))]
         return met.withColumn("maybe", F.coalesce(reduce(Column.__and__, bits), F.lit(False))).drop("__bucket", "__b", "__words")
 
     def contains_all(self, probes: DataFrame, column: str = "key") -> DataFrame:

@@ -147,6 +147,21 @@ def test_bloom_null_keys_and_sizes(spark, monkeypatch):
     assert counts[0] == counts[1] and 20_000 <= counts[0] <= 20_000 + 260
 
 
+def test_large_bloom_deals_out_keys(spark, monkeypatch):
+    """Of a large filter a key goes out as one row, not as one for each of its places; the words are those of a small one."""
+    keys = spark.range(40_000).select((F.col("id") % 30_000).cast("string").alias("key"))
+    p = Parameters(30_000, 0.01)
+    small = Bloom.build(keys, p)
+    want = small.words.collect()
+    monkeypatch.setattr("sortilex.operators.bloom.COMBINED_BUCKETS", 8)
+    monkeypatch.setattr("sortilex.operators.bloom.BUCKETS_A_TASK", 16)
+    large = Bloom.build(keys, p)
+    assert sorted(large.words.collect()) == sorted(want) and large.inserted == small.inserted == 40_000
+    plan = large.words._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and "hashpartitioning(bucket" in plan
+    assert ((small ^ large).words).isEmpty() and large.contains_all(keys).first()[0]
+
+
 def test_bloom(spark, tmp_path):
     assert Parameters(512, 0.01).optimal() == (7, 4912)
     with pytest.raises(ValueError):
