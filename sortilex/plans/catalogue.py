@@ -520,7 +520,7 @@ def level_blocks(spark, sf_dir):
 def level_files(spark, sf_dir):
     path = new_path(spark, "level")
     level = write_level(orders(spark, sf_dir), path, files=8)
-    joined = Level.assemble(spark, [Level(spark, describe(spark, path))])
+    joined = Level.assemble(spark, [Level(spark, describe(spark, path, files=8))])
     sums = joined.manifest.agg(F.count("*").alias("n_files"), F.sum("num_rows").alias("num_rows"), F.max("max_ts").cast("bigint").alias("max_ts"))
     return sums.withColumn("overlapping", F.lit(not level.overlaps().isEmpty()))
 

@@ -177,6 +177,25 @@ def test_small_blocks_make_no_row_groups(spark, tmp_path):
     assert all(r.n_blocks == -(-r.file_bytes // 4096) > 100 for r in level.manifest.collect())
 
 
+def test_large_files_come_in_parts(spark, tmp_path, monkeypatch):
+    """What a task sorts has a bound, while a level keeps its number of files, their order and its entries."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("sortilex.sources.runs.SMALL_PLAN", 0)
+    monkeypatch.setattr("sortilex.sources.runs.PART_BYTES", 64 << 10)
+    low, high = (K.entries(spark.range(0, n, step), "id", F.lit(i)) for i, (n, step) in enumerate(((9000, 3), (9000, 1))))
+    want = [(k, int(k % 3 > 0)) for k in range(9000)]
+    for name, level in (("one", write_level(high.withColumn("value", F.when(F.col("key").cast("string").cast("int") % 3 > 0, F.lit(b"1")).otherwise(F.lit(b"0"))), f"{tmp_path}/one", files=3)), ("two", compact([low, high], f"{tmp_path}/two", files=3))):
+        files = list((tmp_path / name).glob("part-*.parquet"))
+        assert len(files) > 12 and max(pq.ParquetFile(f).metadata.num_rows for f in files) < 2000
+        assert level.count() == 3 and sum(len(r.paths) for r in level.manifest.collect()) == len(files)
+        own = [(int(r.key), int(r.value)) for i in range(3) for r in level.sstable(i).collect()]
+        assert own == want and [(int(r.key), int(r.value)) for r in level.scan().collect()] == want
+        assert numbers(level.get(4321)) == [4321] and numbers(level.scan(at(4000), at(4100, False))) == list(range(4000, 4100))
+        assert level.overlaps().isEmpty() and describe(spark, f"{tmp_path}/{name}").count() == len(files)
+        assert Level.open(spark, f"{tmp_path}/{name}").manifest.agg(F.sum("num_rows")).first()[0] == 9000
+
+
 def test_pinned_files(spark, level):
     before = numbers(level.scan(at(100), at(900)))
     level.pin(at(400), at(600))
