@@ -77,7 +77,7 @@ def describe(spark: SparkSession, path: str, level_id: int = 0, block_bytes: int
     rows = spark.read.schema(RUN_SCHEMA).parquet(path).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_bytes"))
     size = F.element_at(F.collect_set("file_bytes"), 1)  # collecting has rows aggregated as objects; least keys alone would have them all sorted
     each = rows.groupBy("path").agg(size.alias("file_bytes"), F.min(F.struct("klen", "key")).alias("f"), F.max(F.struct("klen", "key")).alias("l"), F.count("*").alias("num_rows"), F.max("ts").alias("max_ts"))
-    place, n = F.row_number().over(Window.orderBy("f")) - 1, F.count("*").over(Window.partitionBy())  # a row for each part
+    place, n = F.row_number().over(Window.orderBy("f", "file_bytes")) - 1, F.count("*").over(Window.partitionBy())  # a row for each part; the size in the order, else it might be left out
     number = place if files is None else F.when(n <= files, place).otherwise(F.floor(place * files / n)).cast("int")
     found = each.withColumn("sst_id", number).groupBy("sst_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "path"))), lambda p: p["path"]).alias("paths"), F.min("f").alias("f"), F.max("l").alias("l"), F.sum("num_rows").alias("num_rows"), F.max("max_ts").alias("max_ts"), F.sum("file_bytes").alias("file_bytes"))
     return found.select(F.lit(level_id).alias("level_id"), "sst_id", "paths", F.col("f.klen").alias("first_klen"), F.col("f.key").alias("first_key"), F.col("l.klen").alias("last_klen"), F.col("l.key").alias("last_key"), "num_rows", "max_ts", "file_bytes", F.ceil(F.col("file_bytes") / block_bytes).cast("bigint").alias("n_blocks"))

@@ -199,8 +199,9 @@ def test_large_files_come_in_parts(spark, tmp_path, monkeypatch):
 def test_manifest_sorts_no_rows(spark, level):
     """First and last keys of files come from an aggregation without a sort of all their rows."""
     path = level.manifest.first().paths[0].rsplit("/", 1)[0]
-    plan = describe(spark, path)._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
+    for asked in (describe(spark, path), describe(spark, path).select("num_rows")):
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
     same = [c for c in level.manifest.columns if c not in ("level_id", "sst_id")]
     assert sorted(map(str, describe(spark, path).select(same).collect())) == sorted(map(str, level.manifest.select(same).collect()))
 
